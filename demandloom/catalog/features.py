@@ -69,7 +69,7 @@ target AS (
   FROM panel
 )"""
 
-_EVENT_CTE = f"""
+EVENT_CTE = f"""
 event AS (SELECT d AS e FROM days WHERE event_name_1 IS NOT NULL),
 dist AS (
   SELECT d, least({CL.EVENT_CAP}, coalesce((SELECT min(e) FROM event WHERE e >= d) - d, {CL.EVENT_CAP})) AS days_to_event,
@@ -77,7 +77,7 @@ dist AS (
   FROM days
 )"""
 
-_WEEKLY_CTE = f"""
+WEEKLY_CTE = f"""
 weekly AS (
   SELECT id, wm_yr_wk, arg_min(sell_price, d) AS sell_price FROM panel WHERE sell_price IS NOT NULL GROUP BY id, wm_yr_wk
 ),
@@ -106,7 +106,7 @@ _DATE_PARTS = {
 _DATE_SELECT = ", ".join(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in _DATE_PARTS.items())
 _EVENT_SELECT = big("days_to_event", "days_since_event") + ", CAST(days_to_event = 0 AS BIGINT) AS is_event"
 
-_EVENT_SQL = with_panel(f"SELECT id, {big('d')}, event_name_1, {_EVENT_SELECT} FROM panel JOIN dist USING (d)", _EVENT_CTE)
+_EVENT_SQL = with_panel(f"SELECT id, {big('d')}, event_name_1, {_EVENT_SELECT} FROM panel JOIN dist USING (d)", EVENT_CTE)
 
 
 def _momentum(spark, sf):
@@ -129,7 +129,7 @@ joined AS (
          days_to_event, days_since_event, price_chg_7, price_rel_med, is_promo, price_rel_dept
   FROM panel JOIN target USING (id, d) JOIN dist USING (d) JOIN priced USING (id, d)
 )"""
-FEATURE_CTES = (_TARGET_CTE, _EVENT_CTE, _WEEKLY_CTE, _JOINED_CTE)
+FEATURE_CTES = (_TARGET_CTE, EVENT_CTE, WEEKLY_CTE, _JOINED_CTE)
 
 ENTRIES: dict[str, Entry] = {
     "ft_lags": entry(
@@ -176,29 +176,29 @@ ENTRIES: dict[str, Entry] = {
     ),
     "pr_week_change": entry(
         lambda s, sf: PR.week_change(retail.panel(s, sf).select("id", "d", "sell_price")),
-        with_panel(f"SELECT id, {big('d')}, {rr('sell_price', 'price_chg_7')} FROM priced", _WEEKLY_CTE),
+        with_panel(f"SELECT id, {big('d')}, {rr('sell_price', 'price_chg_7')} FROM priced", WEEKLY_CTE),
     ),
     "pr_weekly_prices": entry(
         lambda s, sf: PR.weekly_prices(retail.panel(s, sf)),
-        with_panel(f"SELECT id, {big('wm_yr_wk')}, {rr('sell_price')} FROM weekly", _WEEKLY_CTE),
+        with_panel(f"SELECT id, {big('wm_yr_wk')}, {rr('sell_price')} FROM weekly", WEEKLY_CTE),
     ),
     "pr_weekly_trailing_median": entry(
         lambda s, sf: PR.weekly_trailing_median(PR.weekly_prices(retail.panel(s, sf))).drop("sell_price"),
-        with_panel(f"SELECT id, {big('wm_yr_wk')}, {rr('trail_med')} FROM trail", _WEEKLY_CTE),
+        with_panel(f"SELECT id, {big('wm_yr_wk')}, {rr('trail_med')} FROM trail", WEEKLY_CTE),
     ),
     "pr_trailing_median": entry(
         lambda s, sf: PR.trailing_median(_prices(s, sf)).drop("wm_yr_wk"),
-        with_panel(f"SELECT id, {big('d')}, {rr('sell_price', 'trail_med')} FROM priced", _WEEKLY_CTE),
+        with_panel(f"SELECT id, {big('d')}, {rr('sell_price', 'trail_med')} FROM priced", WEEKLY_CTE),
     ),
     "pr_promotion": entry(
         lambda s, sf: PR.promotion(_prices(s, sf)).drop("wm_yr_wk"),
-        with_panel(f"SELECT id, {big('d')}, is_promo, {rr('sell_price', 'price_rel_med')} FROM priced", _WEEKLY_CTE),
+        with_panel(f"SELECT id, {big('d')}, is_promo, {rr('sell_price', 'price_rel_med')} FROM priced", WEEKLY_CTE),
     ),
     "pr_shelf_price": entry(
         lambda s, sf: PR.shelf_price(
             retail.panel(s, sf).select("id", "store_id", "dept_id", "d", "sell_price")
         ).drop("store_id", "dept_id"),
-        with_panel(f"SELECT id, {big('d')}, {rr('sell_price', 'price_rel_dept')} FROM priced", _WEEKLY_CTE),
+        with_panel(f"SELECT id, {big('d')}, {rr('sell_price', 'price_rel_dept')} FROM priced", WEEKLY_CTE),
     ),
     "pr_feature_table": entry(
         features,

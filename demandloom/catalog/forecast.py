@@ -16,13 +16,13 @@ from demandloom.catalog.base import (
     with_forecasts,
     with_panel,
 )
-from demandloom.catalog.features import features
 from demandloom.operators import forecast as FC
 from demandloom.operators import panel as P
 from demandloom.operators import regression as RG
 from demandloom.plans import retail
 from demandloom.plans.backtest import baseline_forecasts
 from demandloom.plans.features import numeric_feature_columns
+from demandloom.plans.stages import feature_table, panel_table
 
 
 def sales(spark, sf):
@@ -51,7 +51,7 @@ def _shifted_week(spark, sf):
 
 def last_fold(spark, sf):
     """(model, id, d, yhat) of all baselines on the last fold."""
-    return baseline_forecasts(retail.panel(spark, sf), FOLDS[-1:], MODELS).drop("fold")
+    return baseline_forecasts(panel_table(spark, sf), FOLDS[-1:], MODELS).drop("fold")
 
 
 def quantiles(spark, sf):
@@ -102,8 +102,8 @@ QUANTILE_CTE = _quantile_cte()
 
 def model_table(spark, sf):
     """The feature table from the earliest training day on, with its input columns."""
-    lookback = RG.lookback_days("boosted_trees")
-    table = features(spark, sf).where(F.col("d") > TRAIN_END - lookback)
+    first = TRAIN_END - RG.lookback_days("boosted_trees") + 1
+    table = P.day_slice(feature_table(spark, sf), first)
     return table, numeric_feature_columns(table)
 
 

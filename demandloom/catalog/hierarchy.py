@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from demandloom.catalog.base import (
     FOLDS,
     HORIZON,
@@ -19,9 +17,10 @@ from demandloom.catalog.base import (
 )
 from demandloom.operators import hierarchy as H
 from demandloom.operators import mint as MT
-from demandloom.operators.panel import ID_COLS
+from demandloom.operators.panel import ID_COLS, day_slice, series_dimension
 from demandloom.plans import retail
 from demandloom.plans.backtest import baseline_forecasts
+from demandloom.plans.stages import panel_table
 
 BASE_DAYS = 28
 _LEAF_MODEL = "seasonal_naive_7"
@@ -43,24 +42,32 @@ BRIDGE_CTE = f"br AS ({_bridge_sql(H.LEVELS, 'ids')})"
 
 
 def meta(spark, sf):
-    return retail.daily_sales(spark, sf).select(*ID_COLS).distinct()
+    return day_slice(panel_table(spark, sf), TRAIN_END, TRAIN_END, ID_COLS)
+
+
+def _dimension(spark, sf):
+    return series_dimension(retail.daily_sales(spark, sf))
+
+
+def _test(spark, sf):
+    return day_slice(panel_table(spark, sf), TRAIN_END + 1, None, [*ID_COLS, "d", "sales"])
 
 
-def panel(spark, sf):
+def _sales(spark, sf):
     return retail.panel(spark, sf).select(*ID_COLS, "d", "sales")
 
 
 def _leaf_forecast(spark, sf):
-    return baseline_forecasts(retail.panel(spark, sf), FOLDS[-1:], [_LEAF_MODEL]).select("id", "d", "yhat")
+    return baseline_forecasts(panel_table(spark, sf), FOLDS[-1:], [_LEAF_MODEL]).select("id", "d", "yhat")
 
 
 def base(spark, sf):
     """Upper nodes flat, leaves seasonal: they do not add up."""
-    return H.flat_node_base(panel(spark, sf), _leaf_forecast(spark, sf), TRAIN_END, HORIZON, BASE_DAYS)
+    return H.flat_node_base(_recent(spark, sf), _leaf_forecast(spark, sf), TRAIN_END, HORIZON, BASE_DAYS)
 
 
 def _recent(spark, sf):
-    return panel(spark, sf).where(F.col("d").between(TRAIN_END - BASE_DAYS + 1, TRAIN_END))
+    return day_slice(panel_table(spark, sf), TRAIN_END - BASE_DAYS + 1, TRAIN_END, [*ID_COLS, "d", "sales"])
 
 
 def _shares(spark, sf):
@@ -77,7 +84,7 @@ def _reconciled(spark, sf):
 
 
 def _level_wape(spark, sf):
-    actual = H.aggregate(panel(spark, sf).where(F.col("d") > TRAIN_END), ["sales"])
+    actual = H.aggregate(_test(spark, sf), ["sales"])
     return H.level_wape(H.stack(_reconciled(spark, sf)), actual)
 
 
@@ -128,7 +135,7 @@ def _upper_wape(spark, sf):
     weights = H.residual_variance(nodes)
     history = H.regroup_to_shelves(_recent(spark, sf), ["sales"])
     actual = H.aggregate(
-        H.regroup_to_shelves(panel(spark, sf).where(F.col("d") > TRAIN_END), ["sales"]), ["sales"], ("d",), H.UPPER_LEVELS
+        H.regroup_to_shelves(_test(spark, sf), ["sales"]), ["sales"], ("d",), H.UPPER_LEVELS
     )
     methods = {
         "base": known,
@@ -174,7 +181,7 @@ _SHELVES = "shelf AS (SELECT DISTINCT store_id || '|' || dept_id AS id, state_id
 
 ENTRIES: dict[str, Entry] = {
     "hi_nodes": entry(
-        lambda s, sf: H.nodes(meta(s, sf)),
+        lambda s, sf: H.nodes(_dimension(s, sf)),
         with_panel(
             "SELECT level, key, row_number() OVER (ORDER BY level_no, key) - 1 AS node_idx "
             "FROM (SELECT DISTINCT level_no, level, key FROM br)",
@@ -182,14 +189,14 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "hi_bridge": entry(
-        lambda s, sf: H.bridge(meta(s, sf)).drop("level_no"), with_panel("SELECT level, key, id FROM br", BRIDGE_CTE)
+        lambda s, sf: H.bridge(_dimension(s, sf)).drop("level_no"), with_panel("SELECT level, key, id FROM br", BRIDGE_CTE)
     ),
     "hi_level_sizes": entry(
-        lambda s, sf: H.level_sizes(meta(s, sf)),
+        lambda s, sf: H.level_sizes(_dimension(s, sf)),
         with_panel("SELECT level, count(DISTINCT key) AS n_nodes FROM br GROUP BY level", BRIDGE_CTE),
     ),
     "hi_aggregate": entry(
-        lambda s, sf: H.aggregate(panel(s, sf), ["sales"]),
+        lambda s, sf: H.aggregate(_sales(s, sf), ["sales"]),
         with_panel(
             f"SELECT level, key, {big('d')}, CAST(sum(sales) AS BIGINT) AS sales FROM panel JOIN br USING (id) GROUP BY level, key, panel.d",
             BRIDGE_CTE,
@@ -231,7 +238,7 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "hi_shelf_leaves": entry(
-        lambda s, sf: H.regroup_to_shelves(panel(s, sf), ["sales"]),
+        lambda s, sf: H.regroup_to_shelves(_sales(s, sf), ["sales"]),
         with_panel(
             "SELECT store_id || '|' || dept_id AS id, state_id, store_id, cat_id, dept_id, CAST(d AS BIGINT) AS d, "
             "CAST(sum(sales) AS BIGINT) AS sales FROM panel GROUP BY ALL"

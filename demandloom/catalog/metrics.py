@@ -24,9 +24,10 @@ from demandloom.catalog.hierarchy import BRIDGE_CTE
 from demandloom.operators import forecast as FC
 from demandloom.operators import hierarchy as H
 from demandloom.operators import metrics as M
-from demandloom.operators.panel import ID_COLS
+from demandloom.operators.panel import ID_COLS, day_slice
 from demandloom.plans import retail
 from demandloom.plans.backtest import backtest, compare_models, holdout, score_levels
+from demandloom.plans.stages import panel_table
 
 _POINT = (
     f"{r('avg(abs(yhat - sales))', 'mae')}, {r('sqrt(avg((yhat - sales) * (yhat - sales)))', 'rmse')}, "
@@ -34,8 +35,11 @@ _POINT = (
 )
 
 
+RUNS = [(m,) for m in MODELS]
+
+
 def actuals(spark, sf):
-    return sales(spark, sf).where(F.col("d") > TRAIN_END)
+    return day_slice(panel_table(spark, sf), TRAIN_END + 1, None, ["id", "d", "sales"])
 
 
 def _pinball_rows(spark, sf):
@@ -45,7 +49,7 @@ def _pinball_rows(spark, sf):
 
 
 def _history(spark, sf):
-    return retail.panel(spark, sf).where(F.col("d") <= TRAIN_END)
+    return day_slice(panel_table(spark, sf), None, TRAIN_END)
 
 
 def _leaf_scale(spark, sf):
@@ -58,29 +62,29 @@ def _scales(spark, sf):
 
 
 def _weights(spark, sf):
-    panel = retail.panel(spark, sf)
-    dimension = panel.where(F.col("d") == TRAIN_END).select(*ID_COLS)
+    panel = panel_table(spark, sf)
+    dimension = day_slice(panel, TRAIN_END, TRAIN_END, ID_COLS)
     return M.level_weights(M.leaf_revenue(panel, TRAIN_END).join(dimension, "id"))
 
 
 def _rmsse(spark, sf):
-    test = retail.panel(spark, sf).where(F.col("d") > TRAIN_END).select(*ID_COLS, "d", "sales")
+    test = day_slice(panel_table(spark, sf), TRAIN_END + 1, None, [*ID_COLS, "d", "sales"])
     leaves = test.join(last_fold(spark, sf), ["id", "d"])
     return M.node_rmsse(leaves, _scales(spark, sf), ("model",))
 
 
 def _levels(spark, sf):
-    return score_levels(retail.panel(spark, sf), last_fold(spark, sf), TRAIN_END, HORIZON)
+    return score_levels(panel_table(spark, sf), last_fold(spark, sf), TRAIN_END, HORIZON, runs=RUNS)
 
 
 def _functionals(spark, sf):
-    made = FC.point_functionals(sales(spark, sf), TRAIN_END, HORIZON)
-    return score_levels(retail.panel(spark, sf), made, TRAIN_END, HORIZON)
+    panel = panel_table(spark, sf)
+    return score_levels(panel, FC.point_functionals(panel, TRAIN_END, HORIZON), TRAIN_END, HORIZON)
 
 
 def _compare(spark, sf):
     quantile = quantiles(spark, sf).withColumn("model", F.lit("moving_avg_28"))
-    return compare_models(retail.panel(spark, sf), last_fold(spark, sf), quantile, TRAIN_END, HORIZON)
+    return compare_models(panel_table(spark, sf), last_fold(spark, sf), quantile, TRAIN_END, HORIZON, MODELS)
 
 
 _N_LEVELS = len(H.LEVELS)
@@ -206,11 +210,11 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "me_backtest": entry(
-        lambda s, sf: backtest(retail.panel(s, sf), FOLDS, MODELS),
+        lambda s, sf: backtest(panel_table(s, sf), FOLDS, MODELS),
         with_forecasts(f"SELECT model, {big('fold')}, {_POINT} FROM fc JOIN panel USING (id, d) GROUP BY model, fold"),
     ),
     "me_mean_over_folds": entry(
-        lambda s, sf: M.mean_over_folds(backtest(retail.panel(s, sf), FOLDS, MODELS)),
+        lambda s, sf: M.mean_over_folds(backtest(panel_table(s, sf), FOLDS, MODELS)),
         with_forecasts(
             f"SELECT model, {r('avg(mae)', 'mae')}, {r('avg(rmse)', 'rmse')}, {r('avg(wape)', 'wape')}, {r('avg(bias)', 'bias')} "
             "FROM (SELECT model, fold, avg(abs(yhat - sales)) AS mae, sqrt(avg((yhat - sales) * (yhat - sales))) AS rmse, "
@@ -229,7 +233,7 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "me_holdout": entry(
-        lambda s, sf: holdout(retail.panel(s, sf), MODELS, TRAIN_END, HORIZON),
+        lambda s, sf: holdout(panel_table(s, sf), MODELS, TRAIN_END, HORIZON),
         with_forecasts(f"SELECT model, {rr('wrmsse')} FROM wr WHERE level = 'overall'", *_score(LAST_FOLD)),
     ),
 }

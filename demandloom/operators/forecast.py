@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.operators.panel import day_slice
+
 # Fixed values.
 QUANTILE_LEVELS = (0.05, 0.165, 0.25, 0.5, 0.75, 0.835, 0.95)
 CONTEXT_DAYS = 84
@@ -100,9 +102,8 @@ def fit(history: DataFrame, train_ends: dict[int, int], models: Iterable[Baselin
     """
     models = list(models)
     reach = [m.lookback for m in models]
-    rows = history.where(F.col("d") <= max(train_ends.values()))
-    if None not in reach:
-        rows = rows.where(F.col("d") > min(train_ends.values()) - max(reach))
+    first = None if None in reach else min(train_ends.values()) - max(reach) + 1
+    rows = day_slice(history, first, max(train_ends.values()))
     fits = [(m, fold, end) for fold, end in train_ends.items() for m in models]
     per_series = rows.groupBy("id").agg(*[m.pattern(end).alias(f"_p{i}") for i, (m, _, end) in enumerate(fits)])
     entries = [
@@ -153,7 +154,7 @@ def forecast(model: str | Baseline, history: DataFrame, future: DataFrame, train
 
 
 def _recent(history: DataFrame, train_end: int, days: int) -> DataFrame:
-    return history.where(F.col("d").between(train_end - days + 1, train_end))
+    return day_slice(history, train_end - days + 1, train_end)
 
 
 def _levels(levels: Iterable[float]) -> Column:

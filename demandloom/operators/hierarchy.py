@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions.ordering import dense_index
+from demandloom.operators.panel import day_slice
 
 Level = tuple[str, tuple[str, ...]]
 
@@ -179,7 +180,7 @@ def flat_node_base(
     Upper nodes repeat the mean of their last ``days`` days; leaves take the
     given forecast (id, d, yhat), null as 0.
     """
-    recent = leaf_history.where(F.col("d").between(train_end - days + 1, train_end))
+    recent = day_slice(leaf_history, train_end - days + 1, train_end)
     node_history = aggregate(recent, ["sales"], ("d",), levels)
     steps = F.sequence(F.lit(train_end + 1), F.lit(train_end + horizon))
     upper = (

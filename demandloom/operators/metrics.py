@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.windows import ratio
 from demandloom.operators.hierarchy import LEVELS, Level, aggregate
+from demandloom.operators.panel import day_slice
 
 # Fixed value: revenue of the last training days weighs the nodes.
 REVENUE_DAYS = 28
@@ -120,7 +121,7 @@ def naive_scale(node_history: DataFrame, value: str = "sales", exclude_days: Dat
 
 def leaf_revenue(panel: DataFrame, train_end: int, days: int = REVENUE_DAYS) -> DataFrame:
     """(id, revenue) over the last ``days`` training days; no price counts as 0."""
-    recent = panel.where(F.col("d").between(train_end - days + 1, train_end))
+    recent = day_slice(panel, train_end - days + 1, train_end)
     return recent.groupBy("id").agg(F.sum(F.col("sales") * F.coalesce("sell_price", F.lit(0.0))).alias("revenue"))
 
 
@@ -163,7 +164,11 @@ def weighted_rmsse(
     level's own score; the overall score is the mean of the levels' scores.
     """
     joined = rmsse.join(weights, ["level", "key"])
-    contribution = F.sum(F.col("weight") * F.col("rmsse"))
-    per_level = joined.groupBy(*by, "level").agg((contribution * len(levels)).alias("wrmsse"))
-    overall = per_level.groupBy(*by).agg((F.sum("wrmsse") / len(levels)).alias("wrmsse"))
-    return per_level.unionByName(overall.withColumn("level", F.lit("overall")))
+    whole = F.grouping("level") == 1
+    score = F.sum(F.col("weight") * F.col("rmsse"))
+    sums = joined.groupingSets([[*by, "level"], [*by]], *by, "level").agg(score.alias("_score"), whole.alias("_whole"))
+    return sums.select(
+        *by,
+        F.when(F.col("_whole"), "overall").otherwise(F.col("level")).alias("level"),
+        F.when(F.col("_whole"), F.col("_score")).otherwise(F.col("_score") * len(levels)).alias("wrmsse"),
+    )

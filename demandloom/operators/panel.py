@@ -13,6 +13,8 @@ PANEL_COLS = [
     *ID_COLS, "d", "date", "wm_yr_wk", "sales", "sell_price", "snap",
     "event_name_1", "event_type_1", "event_name_2", "event_type_2",
 ]
+BLOCK = "d_block"
+BLOCK_DAYS = 182
 DAY_PREFIX = "d_"
 FLAG_PREFIX = "snap_"
 
@@ -90,13 +92,24 @@ def densify(rows: DataFrame, first_day: int, last_day: int, fill: dict[str, obje
     return spans.withColumn("_day", F.explode("_days")).select(*keep, F.col("_day").alias("d"), *filled)
 
 
+def day_block(day: Column) -> Column:
+    """The block of days a stored panel keeps together."""
+    return F.floor((day - 1) / BLOCK_DAYS).cast("int")
+
+
 def day_slice(panel: DataFrame, first: int | None = None, last: int | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Rows with first <= d <= last, projected; both reach a Parquet scan."""
+    """Rows with first <= d <= last, projected; both reach a Parquet scan.
+
+    On a panel stored in blocks of days the bounds also prune whole blocks.
+    """
+    stored = BLOCK in panel.columns
     kept = panel
     if first is not None:
         kept = kept.where(F.col("d") >= first)
+        kept = kept.where(F.col(BLOCK) >= (first - 1) // BLOCK_DAYS) if stored else kept
     if last is not None:
         kept = kept.where(F.col("d") <= last)
+        kept = kept.where(F.col(BLOCK) <= (last - 1) // BLOCK_DAYS) if stored else kept
     return kept.select(*columns) if columns else kept
 
 

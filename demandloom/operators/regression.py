@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.operators.forecast import not_negative
+from demandloom.operators.panel import day_slice
 
 # Training spans in days and the Tweedie power.
 LINEAR_TRAIN_DAYS = 180
@@ -44,7 +46,7 @@ def lookback_days(model: str, train_days: int = TREE_TRAIN_DAYS) -> int | None:
 
 def training_rows(features: DataFrame, train_end: int, train_days: int, valid_days: int = 0) -> DataFrame:
     """The last ``train_days`` days; ``is_valid`` marks the final ``valid_days`` of them."""
-    rows = features.where(F.col("d").between(train_end - train_days + 1, train_end))
+    rows = day_slice(features, train_end - train_days + 1, train_end)
     return rows.withColumn("is_valid", F.col("d") > train_end - valid_days)
 
 
@@ -52,6 +54,19 @@ def _as_numbers(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     return features.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
 
+def _fit(rows: DataFrame, stages: list, columns: Sequence[str]) -> FittedRegression:
+    """Fit on kept rows: the solvers pass over them many times.
+
+    Rows lost with an executor are computed again from the feature table.
+    """
+    needed = [c for c in rows.columns if c in {*columns, *CATEGORIES, "sales", "is_valid"}]
+    kept = rows.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return FittedRegression(Pipeline(stages=stages).fit(kept), list(columns))
+    finally:
+        kept.unpersist()
+
+
 @dataclass
 class FittedRegression:
     model: PipelineModel
@@ -81,7 +96,7 @@ def fit_linear(features: DataFrame, columns: Sequence[str], train_end: int, trai
         VectorAssembler(inputCols=list(columns), outputCol="_x"),
         LinearRegression(featuresCol="_x", labelCol="sales", solver="normal"),
     ]
-    return FittedRegression(Pipeline(stages=stages).fit(rows), list(columns))
+    return _fit(rows, stages, columns)
 
 
 def fit_trees(
@@ -116,7 +131,7 @@ def fit_trees(
             maxBins=64, minInstancesPerNode=20,
         ),
     ]
-    return FittedRegression(Pipeline(stages=stages).fit(rows), list(columns))
+    return _fit(rows, stages, columns)
 
 
 def fit_tweedie(
@@ -137,4 +152,4 @@ def fit_tweedie(
             regParam=ridge, maxIter=50,
         ),
     ]
-    return FittedRegression(Pipeline(stages=stages).fit(rows), list(columns))
+    return _fit(rows, stages, columns)

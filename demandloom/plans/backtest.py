@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from demandloom.operators import forecast as FC
 from demandloom.operators import hierarchy as H
 from demandloom.operators import metrics as M
-from demandloom.operators.panel import ID_COLS
+from demandloom.operators.panel import ID_COLS, day_slice
 
 
 def baseline_forecasts(panel: DataFrame, folds: Sequence[M.Fold], models: Iterable[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def baseline_forecasts(panel: DataFrame, folds: Sequence[M.Fold], models: Iterab
 def backtest(panel: DataFrame, folds: Sequence[M.Fold], models: Iterable[str]) -> DataFrame:
     """(model, fold, mae, rmse, wape, bias, n)."""
     first, last = min(f.test_start for f in folds), max(f.test_end for f in folds)
-    actuals = panel.where(F.col("d").between(first, last)).select("id", "d", "sales")
+    actuals = day_slice(panel, first, last, ["id", "d", "sales"])
     return M.point_metrics(baseline_forecasts(panel, folds, models), actuals, ("model", "fold"))
 
 
@@ -36,39 +36,50 @@ def score_levels(
     train_end: int,
     horizon: int,
     by: Sequence[str] = ("model",),
+    runs: Sequence[tuple] | None = None,
     levels: Sequence[H.Level] = H.LEVELS,
 ) -> DataFrame:
     """(*by, level, wrmsse): forecasts summed up all levels against the actuals.
 
     Scales come from the whole training history, weights from the revenue of its
-    last days. Forecasts have ``by``, id, d and yhat.
+    last days. ``forecasts`` has ``by``, id, d and yhat. Every run is scored on
+    every actual, and what it does not forecast counts as 0. ``runs`` lists the
+    values of ``by``; without it they are read from the forecasts first.
     """
-    history = panel.where(F.col("d") <= train_end)
-    scales = M.naive_scale(H.aggregate(history.select(*ID_COLS, "d", "sales"), ["sales"], ("d",), levels))
-    dimension = panel.where(F.col("d") == train_end).select(*ID_COLS)
+    history = day_slice(panel, None, train_end, [*ID_COLS, "d", "sales"])
+    scales = M.naive_scale(H.aggregate(history, ["sales"], ("d",), levels))
+    dimension = day_slice(panel, train_end, train_end, ID_COLS)
     weights = M.level_weights(M.leaf_revenue(panel, train_end).join(dimension, "id"), levels)
-    actuals = panel.where(F.col("d").between(train_end + 1, train_end + horizon)).select(*ID_COLS, "d", "sales")
-    # every run is scored on every actual; what a run does not forecast counts as 0
-    runs = forecasts.agg(F.collect_set(F.struct(*by))).scalar()
-    wanted = actuals.withColumn("_run", F.explode(runs)).select(*ID_COLS, "d", "sales", "_run.*")
+    actuals = day_slice(panel, train_end + 1, train_end + horizon, [*ID_COLS, "d", "sales"])
+    if runs is None:
+        known = forecasts.agg(F.collect_set(F.struct(*by))).scalar()
+    else:
+        known = F.array(*[F.struct(*[F.lit(v).alias(name) for name, v in zip(by, run)]) for run in runs])
+    wanted = actuals.withColumn("_run", F.explode(known)).select(*ID_COLS, "d", "sales", "_run.*")
     leaves = wanted.join(forecasts, [*by, "id", "d"], "left")
-    rmsse = M.node_rmsse(leaves, scales, by, levels)
-    return M.weighted_rmsse(rmsse, weights, by, levels)
+    return M.weighted_rmsse(M.node_rmsse(leaves, scales, by, levels), weights, by, levels)
 
 
 def compare_models(
-    panel: DataFrame, forecasts: DataFrame, quantiles: DataFrame, train_end: int, horizon: int
+    panel: DataFrame,
+    forecasts: DataFrame,
+    quantiles: DataFrame,
+    train_end: int,
+    horizon: int,
+    models: Sequence[str] | None = None,
 ) -> DataFrame:
     """(model, wrmsse, mean_pinball): one row per model; no pinball without quantiles."""
-    overall = score_levels(panel, forecasts, train_end, horizon).where(F.col("level") == "overall")
-    actuals = panel.where(F.col("d").between(train_end + 1, train_end + horizon))
+    runs = [(m,) for m in models] if models else None
+    overall = score_levels(panel, forecasts, train_end, horizon, runs=runs).where(F.col("level") == "overall")
+    actuals = day_slice(panel, train_end + 1, train_end + horizon)
     pinball = M.mean_pinball(M.quantile_report(quantiles, actuals, ("model",)), ("model",))
     return overall.select("model", "wrmsse").join(pinball, "model", "left")
 
 
 def holdout(panel: DataFrame, models: Iterable[str], train_end: int, horizon: int) -> DataFrame:
     """(model, wrmsse) on the days after ``train_end``, forecast once from all days before."""
+    models = list(models)
     fold = M.Fold(1, train_end, train_end + 1, train_end + horizon)
     forecasts = baseline_forecasts(panel, [fold], models).drop("fold")
-    scores = score_levels(panel, forecasts, train_end, horizon)
+    scores = score_levels(panel, forecasts, train_end, horizon, runs=[(m,) for m in models])
     return scores.where(F.col("level") == "overall").select("model", "wrmsse")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandloom.operators.panel import BLOCK, day_block
+
 RUN_KEYS = ["model", "fold"]
 
 
@@ -20,6 +22,16 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return table.select(*columns) if columns else table
 
 
+def write_panel(panel: DataFrame, path: str) -> None:
+    """The panel in blocks of days, so that a read of recent days opens few folders.
+
+    Inside a block the rows of a series stay together, in day order.
+    """
+    blocks = panel.withColumn(BLOCK, day_block(F.col("d")))
+    placed = blocks.hint("rebalance", F.col(BLOCK)).sortWithinPartitions(BLOCK, "id", "d")
+    write_table(placed, path, [BLOCK])
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """One folder per store, in a single job.
 
