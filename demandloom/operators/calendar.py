@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.functions.joins import join_small
+
 # Fixed values.
 EVENT_CAP = 30
 BASE_YEAR = 2011
@@ -51,7 +53,7 @@ def event_features(df: DataFrame, events: DataFrame | None = None, cap: int = EV
     on days present in ``df`` count, so the last days cannot see the next one.
     """
     distances = event_distances(event_days(df) if events is None else events, cap)
-    joined = df.join(distances, "d", "left")
+    joined = join_small(df, distances, ["d"])
     return joined.withColumns(
         {
             "days_to_event": F.coalesce("days_to_event", F.lit(cap)),

@@ -3,7 +3,8 @@
 Rolling mean, deviation and zero share come from running totals: a total up to
 ``shift`` days ago minus the total up to ``shift + window`` days ago. Sales are
 whole numbers, so the totals are exact, and a 90-day window costs as little as a
-7-day one. Only the median needs the framed values themselves.
+7-day one. Only the median needs the values themselves: the longest window is
+gathered once per row and the shorter ones are its tails.
 """
 
 from __future__ import annotations
@@ -46,6 +47,17 @@ def _min_periods(window: int) -> int:
     return max(window // 2, 2)
 
 
+def _whole(n: Column) -> Column:
+    return n.cast("int")
+
+
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array."""
+    size = F.size(ordered)
+    low, high = F.floor((size + 1) / 2), F.floor(size / 2) + 1
+    return (F.element_at(ordered, _whole(low)) + F.element_at(ordered, _whole(high))) / 2.0
+
+
 def rolling_features(
     df: DataFrame,
     windows: Iterable[int] = WINDOWS,
@@ -72,27 +84,32 @@ def rolling_features(
         for name, total in totals.items()
         for mark in marks
     }
-    out = df.withColumns(running)
     if "median" in stats:
-        out = out.withColumns(
-            {f"_m{w}": F.percentile(F.col("sales"), 0.5).over(trailing(w, shift)) for w in windows}
-        )
+        running["_recent"] = F.collect_list(units).over(trailing(max(windows), shift))
+    out = df.withColumns(running)
 
     def inside(name: str, window: int) -> Column:
         return F.col(f"{name}{shift}") - F.col(f"{name}{shift + window}")
 
+    if "median" in stats:
+        # the gathered values are in day order, so the last n of them are the window's
+        tails = {w: F.slice("_recent", F.size("_recent") - _whole(inside("_n", w)) + 1, _whole(inside("_n", w))) for w in windows}
+        filled = {
+            f"_tail{w}": F.when(inside("_n", w) >= _min_periods(w), F.sort_array(tail)) for w, tail in tails.items()
+        }
+        out = out.withColumns(filled)
     made = {}
     for w in windows:
         n, s, q = inside("_n", w), inside("_s", w), inside("_q", w)
         values = {
             "mean": s / n,
             "std": F.sqrt(ratio((n * q - s * s).cast("double"), n * (n - 1))),
-            "median": F.col(f"_m{w}") if "median" in stats else None,
+            "median": _middle(F.col(f"_tail{w}")) if "median" in stats else None,
             "zero_frac": inside("_z", w) / n,
         }
         for stat in stats:
             made[f"r_{stat}_{w}"] = F.when(n >= _min_periods(w), values[stat])
-    return out.withColumns(made).drop(*running, *[f"_m{w}" for w in windows])
+    return out.withColumns(made).drop(*running, *[f"_tail{w}" for w in windows])
 
 
 def ewm_name(alpha: float) -> str:

@@ -131,9 +131,11 @@ def level_weights(revenue: DataFrame, levels: Sequence[Level] = LEVELS) -> DataF
     ``revenue`` has one row per leaf with the key columns.
     """
     per_node = aggregate(revenue, ["revenue"], (), levels)
-    per_level = per_node.groupBy("level").agg(F.sum("revenue").alias("_whole"))
-    weight = ratio(F.col("revenue"), F.col("_whole")) / len(levels)
-    return per_node.join(per_level, "level").select("level", "key", F.coalesce(weight, F.lit(0.0)).alias("weight"))
+    # every level holds every leaf once, so all levels have the same revenue
+    whole = revenue.agg(F.sum("revenue").cast("double")).scalar()
+    return per_node.withColumn("_whole", whole).select(
+        "level", "key", F.coalesce(ratio(F.col("revenue"), F.col("_whole")) / len(levels), F.lit(0.0)).alias("weight")
+    )
 
 
 def node_rmsse(

@@ -118,14 +118,16 @@ def _solve(
         sums = sums.withColumn("alpha", alpha)
         after = F.col("rr") - 2 * F.col("alpha") * F.col("rq") + F.col("alpha") * F.col("alpha") * F.col("qq")
         beta = F.coalesce(after / F.nullif(F.col("rr"), F.lit(0.0)), F.lit(0.0))
-        sums = sums.select("d", "alpha", beta.alias("beta"))
-        rest = r - F.col("alpha") * q
+        # one entry per day of the horizon, read as a scalar: no join, no shuffle of the state
+        steps = sums.agg(F.map_from_entries(F.collect_list(F.struct("d", F.struct("alpha", beta.alias("beta")))))).scalar()
+        moved = here.withColumn("_step", F.element_at(steps, F.col("d")))
+        rest = r - F.col("_step.alpha") * q
         state = cut_lineage(
-            here.join(sums, "d").select(
+            moved.select(
                 "node", "d", "diag", "goal",
-                (F.col("x") + F.col("alpha") * p).alias("x"),
+                (F.col("x") + F.col("_step.alpha") * p).alias("x"),
                 rest.alias("r"),
-                (rest / diag + F.col("beta") * p).alias("p"),
+                (rest / diag + F.col("_step.beta") * p).alias("p"),
             )
         )
     raise NotConverged(f"no convergence to {tol} in {max_iter} iterations")

@@ -77,12 +77,15 @@ def promotion(df: DataFrame, threshold: float = PROMO_THRESHOLD) -> DataFrame:
 def shelf_price(df: DataFrame) -> DataFrame:
     """``price_rel_dept``: price against the mean of its store, department and day.
 
-    The one price feature that shuffles: run it first, on the narrow panel.
+    The means are folded before they are shuffled and joined back, so a shelf
+    that holds most of the items is never gathered in one place, and its rows
+    can be split over several tasks of the join. The one price feature that
+    shuffles on other keys than ``id``: run it first, on the narrow panel.
     """
-    shelf = Window.partitionBy("store_id", "dept_id", "d")
-    return df.withColumn("_shelf", F.avg("sell_price").over(shelf)).withColumn(
-        "price_rel_dept", ratio(F.col("sell_price"), F.col("_shelf"))
-    ).drop("_shelf")
+    shelf = ["store_id", "dept_id", "d"]
+    means = df.where(F.col("sell_price").isNotNull()).groupBy(*shelf).agg(F.avg("sell_price").alias("_shelf"))
+    joined = df.join(means, shelf, "left")
+    return joined.select(*df.columns, ratio(F.col("sell_price"), F.col("_shelf")).alias("price_rel_dept"))
 
 
 def price_features(df: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ COVARIATES = ("dow", "dom", "month", "snap", "is_event", "price")
 MIN_VOLUME = 0.01
 HORIZON = 28
 
+_CELL_BLOCK = 10_000
+
 
 def covariates() -> Column:
     """The six covariates as one array, in the order of ``COVARIATES``."""
@@ -65,6 +67,19 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(2**52)).cast("double") / float(2**52)
 
 
+def _unit_cells(spans: DataFrame) -> DataFrame:
+    """One row per whole number a span [_begin, _end] touches, as ``_cell``.
+
+    In two steps with a shuffle between them, so that a series that takes a
+    third of all draws is spread over the tasks.
+    """
+    first, last = F.floor(F.col("_begin")), F.floor(F.col("_end"))
+    blocks = spans.withColumn("_block", F.explode(F.sequence(F.floor(first / _CELL_BLOCK), F.floor(last / _CELL_BLOCK))))
+    low = F.greatest(first, F.col("_block") * _CELL_BLOCK)
+    high = F.least(last, F.col("_block") * _CELL_BLOCK + _CELL_BLOCK - 1)
+    return blocks.repartition("_block", "id").withColumn("_cell", F.explode(F.sequence(low, high))).drop("_block")
+
+
 def sample_windows(
     weights: DataFrame, n_windows: int, train_end: int, context: int = CONTEXT_DAYS, horizon: int = HORIZON, seed: int = 42
 ) -> DataFrame:
@@ -79,11 +94,7 @@ def sample_windows(
     whole = weights.agg(F.sum("weight")).scalar()
     scaled = weights.withColumn("_width", F.col("weight") / whole * n_windows)
     laid = running_total(scaled, ["id"], F.col("_width"), "_end")
-    laid = laid.withColumn("_begin", F.col("_end") - F.col("_width"))
-    cells = laid.select(
-        "id", "_begin", "_end",
-        F.explode(F.sequence(F.floor("_begin"), F.floor("_end"))).alias("_cell"),
-    )
+    cells = _unit_cells(laid.withColumn("_begin", F.col("_end") - F.col("_width")).select("id", "_begin", "_end"))
     draws = weights.sparkSession.range(n_windows).select(
         F.col("id").alias("draw"), (_uniform(F.lit(seed), F.col("id")) * n_windows).alias("_at")
     )
