@@ -84,32 +84,34 @@ def rolling_features(
         for name, total in totals.items()
         for mark in marks
     }
-    if "median" in stats:
-        running["_recent"] = F.collect_list(units).over(trailing(max(windows), shift))
-    out = df.withColumns(running)
 
     def inside(name: str, window: int) -> Column:
         return F.col(f"{name}{shift}") - F.col(f"{name}{shift + window}")
 
-    if "median" in stats:
-        # the gathered values are in day order, so the last n of them are the window's
-        tails = {w: F.slice("_recent", F.size("_recent") - _whole(inside("_n", w)) + 1, _whole(inside("_n", w))) for w in windows}
-        filled = {
-            f"_tail{w}": F.when(inside("_n", w) >= _min_periods(w), F.sort_array(tail)) for w, tail in tails.items()
-        }
-        out = out.withColumns(filled)
     made = {}
     for w in windows:
         n, s, q = inside("_n", w), inside("_s", w), inside("_q", w)
         values = {
             "mean": s / n,
             "std": F.sqrt(ratio((n * q - s * s).cast("double"), n * (n - 1))),
-            "median": _middle(F.col(f"_tail{w}")) if "median" in stats else None,
             "zero_frac": inside("_z", w) / n,
         }
-        for stat in stats:
-            made[f"r_{stat}_{w}"] = F.when(n >= _min_periods(w), values[stat])
-    return out.withColumns(made).drop(*running, *[f"_tail{w}" for w in windows])
+        made |= {f"r_{stat}_{w}": F.when(n >= _min_periods(w), values[stat]) for stat in stats if stat in values}
+    out = df.withColumns(running).withColumns(made)
+    if "median" in stats:
+        # a window of its own, so that the code generated for either part stays small enough to be compiled
+        out = out.drop(*[c for c in running if not c.startswith("_n")])
+        out = out.withColumn("_recent", F.collect_list(units).over(trailing(max(windows), shift)))
+        # the gathered values are in day order, so the last n of them are the window's
+        tails = {
+            f"_tail{w}": F.when(
+                inside("_n", w) >= _min_periods(w),
+                F.sort_array(F.slice("_recent", F.size("_recent") - _whole(inside("_n", w)) + 1, _whole(inside("_n", w)))),
+            )
+            for w in windows
+        }
+        out = out.withColumns(tails).withColumns({f"r_median_{w}": _middle(F.col(f"_tail{w}")) for w in windows})
+    return out.select(*df.columns, *[f"r_{stat}_{w}" for w in windows for stat in stats])
 
 
 def ewm_name(alpha: float) -> str:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.functions.joins import join_small
 from demandloom.functions.windows import by_series, share
 
 # The identity columns of a series and the panel's column order.
@@ -23,18 +26,19 @@ class PanelError(ValueError):
     """The panel breaks its contract; the message lists every broken rule."""
 
 
-def melt_days(sales: DataFrame) -> DataFrame:
+def melt_days(sales: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Wide sales (one column per day) to one row per (series, day).
 
     One generator over an array of the day columns: the row is read once, where
-    ``unpivot`` would expand it through one projection per day.
+    ``unpivot`` would expand it through one projection per day. ``keep`` are
+    further columns of the series to carry along.
     """
     day_cols = [c for c in sales.columns if c.startswith(DAY_PREFIX)]
     # as SQL text: thousands of Column objects would cost seconds to build
     days = F.expr("array(" + ", ".join(c[len(DAY_PREFIX):] for c in day_cols) + ")")
     values = F.expr("array(" + ", ".join(f"`{c}`" for c in day_cols) + ")")
-    return sales.select(*ID_COLS, F.posexplode(values).alias("pos", "sales")).select(
-        *ID_COLS, F.element_at(days, F.col("pos") + 1).cast("short").alias("d"), "sales"
+    return sales.select(*ID_COLS, *keep, F.posexplode(values).alias("pos", "sales")).select(
+        *ID_COLS, *keep, F.element_at(days, F.col("pos") + 1).cast("short").alias("d"), "sales"
     )
 
 
@@ -50,10 +54,10 @@ def own_state_flag(df: DataFrame, prefix: str = FLAG_PREFIX) -> DataFrame:
 def join_calendar(long: DataFrame, calendar: DataFrame) -> DataFrame:
     """Left join of the day-level calendar, then the row's own state flag.
 
-    No broadcast hint: the calendar has one row per day, so its size decides.
+    The calendar is broadcast once a count shows it to be small.
     """
     days = calendar.withColumn("d", F.substring("d", len(DAY_PREFIX) + 1, 10).cast("short"))
-    return own_state_flag(long.join(days, "d", "left"))
+    return own_state_flag(join_small(long, days, ["d"]))
 
 
 def join_prices(long: DataFrame, prices: DataFrame) -> DataFrame:
@@ -62,8 +66,18 @@ def join_prices(long: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def assemble(sales: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:
-    """Wide sales, calendar and prices to the panel."""
-    return join_prices(join_calendar(melt_days(sales), calendar), prices).select(*PANEL_COLS)
+    """Wide sales, calendar and prices to the panel.
+
+    The same rows as melt, calendar join and ``join_prices`` in turn, but prices
+    meet sales while a series is still one row: its weekly prices travel as a map
+    (one entry per week) that every day looks up. The long panel, by far the
+    largest table, is not shuffled at all.
+    """
+    weekly = F.map_from_entries(F.collect_list(F.struct("wm_yr_wk", "sell_price")))
+    by_series = prices.groupBy("store_id", "item_id").agg(weekly.alias("_prices"))
+    wide = sales.join(by_series, ["store_id", "item_id"], "left")
+    long = join_calendar(melt_days(wide, ["_prices"]), calendar)
+    return long.withColumn("sell_price", F.element_at("_prices", F.col("wm_yr_wk"))).select(*PANEL_COLS)
 
 
 def clustered(panel: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -25,11 +25,11 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 def write_panel(panel: DataFrame, path: str) -> None:
     """The panel in blocks of days, so that a read of recent days opens few folders.
 
-    Inside a block the rows of a series stay together, in day order.
+    Tasks hold whole series and write their days to one file per block; nothing
+    is shuffled, and rows are sorted by the block number only. For files in
+    strict (id, d) order pass ``operators.panel.clustered(panel)``.
     """
-    blocks = panel.withColumn(BLOCK, day_block(F.col("d")))
-    placed = blocks.hint("rebalance", F.col(BLOCK)).sortWithinPartitions(BLOCK, "id", "d")
-    write_table(placed, path, [BLOCK])
+    write_table(panel.withColumn(BLOCK, day_block(F.col("d"))), path, [BLOCK])
 
 
 def write_features(features: DataFrame, path: str) -> None:
