@@ -54,12 +54,12 @@ def _as_numbers(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     return features.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
 
-def _fit(rows: DataFrame, stages: list, columns: Sequence[str]) -> FittedRegression:
+def _fit(rows: DataFrame, stages: list, columns: Sequence[str], categories: Sequence[str] = ()) -> FittedRegression:
     """Fit on kept rows: the solvers pass over them many times.
 
     Rows lost with an executor are computed again from the feature table.
     """
-    needed = [c for c in rows.columns if c in {*columns, *CATEGORIES, "sales", "is_valid"}]
+    needed = [c for c in rows.columns if c in {*columns, *categories, "sales", "is_valid"}]
     kept = rows.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return FittedRegression(Pipeline(stages=stages).fit(kept), list(columns))
@@ -117,10 +117,11 @@ def fit_trees(
     subsampled at 0.8.
     """
     rows = _as_numbers(training_rows(features, train_end, train_days, valid_days), columns)
+    categories = list(categories)
     indexed = [f"_{c}_code" for c in categories]
     stages = [
         *(
-            [StringIndexer(inputCols=list(categories), outputCols=indexed, handleInvalid="keep")]
+            [StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep")]
             if categories
             else []
         ),
@@ -131,7 +132,7 @@ def fit_trees(
             maxBins=64, minInstancesPerNode=20,
         ),
     ]
-    return _fit(rows, stages, columns)
+    return _fit(rows, stages, columns, categories)
 
 
 def fit_tweedie(
