@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 # Odd multipliers of the two hash lanes (fixed values of this library).
@@ -71,7 +72,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text; a longer text is a range of its own."""
     first, size = 0, 0
-    lengths = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     for row, n in enumerate(lengths):
         if size and size + n > limit:
             yield first, row

@@ -109,11 +109,18 @@ def _stays(keep: Column, position: Column) -> Column:
     return F.getbit(word, position % _BITS) == 1
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, kept_text, n_lines, n_dropped), one row per input row."""
-    source = pick(docs, doc_id=doc_id, text=text)
-    keyed = source.select(
-        F.coalesce(F.col("doc_id"), F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), "doc_id", "text"
+def dedup_lines(
+    docs: DataFrame,
+    min_chars: int = MIN_KEY_CHARS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """(doc_id, kept_text, n_lines, n_dropped) and the columns named in ``carry``, one row per input row."""
+    others = {f"carry_{i}": name for i, name in enumerate(carry)}
+    source = pick(docs, doc_id=doc_id, text=text, **others)
+    keyed = source.withColumns(
+        {"id": F.coalesce(F.col("doc_id"), F.lit(_LAST_ID)), "text_hash": F.xxhash64("text")}
     )
     bitmaps = keep_bitmaps(docs, min_chars, doc_id, text)
     marked = keyed.join(bitmaps, ["id", "text_hash"], "left")
@@ -125,6 +132,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, doc_id: str = "
         F.when(F.col("keep").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col(inner).alias(name) for inner, name in others.items()],
     )
 
 

@@ -5,26 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from demandloom.llm import decontaminate, line_dedup
+from demandloom.llm import ann, bpe, decontaminate, html_extract, line_dedup, minhash, quality, substring_dedup, warc
+from demandloom.llm import license as licenses
 from demandloom.llm.tables import load
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 class Entry(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
 
 
-def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup_digest(load(spark, sf_dir, "documents"))
+def on(work: Callable[..., DataFrame], *tables: str, sql: str | None = None) -> Entry:
+    """A query that hands the named tables to ``work``."""
+    return Entry(lambda spark, sf_dir: work(*[load(spark, sf_dir, t) for t in tables]), sql)
+
+
+def near_duplicate_query(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_links of every document."""
+    return minhash.near_duplicates(documents)
 
 
-def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+def bpe_query(documents: DataFrame) -> DataFrame:
+    return bpe.bpe_digest(documents, RANKS, public_tokenizers.PATTERN)
 
 
 ENTRIES: dict[str, Entry] = {
-    "op6_line_dedup": Entry(line_dedup_query, line_dedup.SQL),
-    "op9_decontamination": Entry(decontamination_query, decontaminate.SQL),
+    "op1_nearest_neighbours": on(ann.nearest_query, "embeddings", sql=ann.SQL),
+    "op2_byte_bpe": on(bpe_query, "documents"),
+    "op3_quality": on(quality.quality_scores, "documents", "labels"),
+    "op4_licenses": on(licenses.license_query, "documents"),
+    "op5_main_text": on(html_extract.extract_main_text, "pages"),
+    "op6_line_dedup": on(line_dedup.line_dedup_digest, "documents", sql=line_dedup.SQL),
+    "op7_near_duplicates": on(near_duplicate_query, "documents"),
+    "op8_passages": on(substring_dedup.passage_digest, "documents", sql=substring_dedup.SQL),
+    "op9_decontamination": on(decontaminate.contamination, "documents", "benchmark", sql=decontaminate.SQL),
+    "op10_revisits": on(warc.revisit_query, "pages", sql=warc.SQL),
 }
