@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by spreading the smallest label."""
+"""Connected components of a table of links, by contraction to the smallest neighbour."""
 
 from __future__ import annotations
 
@@ -9,24 +9,28 @@ from demandloom.session import cut_lineage
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): every node of a link with the smallest node it is connected to.
+    """(node, component): every node of a link with one node that stands for its component, the same for all of them.
 
-    Each round sends labels over the links (the smallest label is found by
-    partial aggregation, so a hub with many links is no hot spot) and then lets
-    every node take the label of its label, which halves the remaining distances. Every round
-    is cut by a reliable checkpoint. Null nodes and links of a node with itself say nothing.
+    Each round maps every node to its smallest neighbour, itself included, and
+    moves the links along; links that become loops go. Stars are done in one round. The
+    smallest neighbour is found by partial aggregation, so a hub is no hot spot, and every round
+    is cut by a reliable checkpoint. The maps are chained at the end. Null nodes and links of a node
+    with itself say nothing.
     """
     ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
-    both = cut_lineage(ends.union(ends.select("y", "x")).distinct())
-    labels = cut_lineage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("component")))
+    maps: list[DataFrame] = []
     while True:
-        sent = both.join(labels, F.col("y") == F.col("node")).select(F.col("x").alias("node"), "component")
-        nearest = sent.union(labels).groupBy("node").agg(F.min("component").alias("near"))
-        far = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        jumped = nearest.join(far, "near", "left")
-        moved = jumped.select("node", F.coalesce("far", "near").alias("new")).join(labels, "node")
-        moved = cut_lineage(moved)
-        done = moved.where("new <> component").isEmpty()
-        labels = moved.select("node", F.col("new").alias("component"))
-        if done:
-            return labels
+        low_high = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        both = low_high.select("x", "y").union(low_high.select("y", "x"))
+        near = cut_lineage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("component")))
+        maps.append(near)
+        moved = low_high.join(near.toDF("x", "to_x"), "x").join(near.toDF("y", "to_y"), "y").where("to_x <> to_y")
+        moved = moved.select(F.least("to_x", "to_y").alias("x"), F.greatest("to_x", "to_y").alias("y")).distinct()
+        ends = cut_lineage(moved)
+        if ends.isEmpty():
+            break
+    labels = maps[0]
+    for step in maps[1:]:
+        labels = labels.join(step.toDF("component", "next"), "component", "left")
+        labels = labels.select("node", F.coalesce("next", "component").alias("component"))
+    return labels

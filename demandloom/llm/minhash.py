@@ -9,10 +9,10 @@ arrived first. A shingle stops as soon as its next arrival is later than all
 components' first ones, so long documents cost about one arrival per shingle.
 
 Documents that share a band of components are candidates. Copies are folded
-first. In each band bucket all members are compared with one leader; buckets whose
-members end up in one component are finished, in the others the members outside the largest
-component meet all others, with more leaders per round until every pair across
-components has been compared. So no link between two different texts that
+first. In each band bucket all members are compared with the first one; buckets whose
+members then are one component are finished. In the others the members outside the first one's
+component are compared with all that are not of their own component, more of them each round,
+until every pair across components has been compared. So no link between two different texts that
 share a bucket is lost to the classes, and groups that hang together never list their pairs.
 
 Defined results: words are runs of letters, digits and characters beyond ASCII,
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.llm import hashing as H
@@ -156,32 +156,26 @@ def _verify_rows(size: int, similarity: float):
     return run
 
 
-def _next_pairs(buckets: DataFrame, labels: DataFrame | None, served: DataFrame | None, leaders: int) -> tuple:
-    """(pairs (a, b) still to compare, leaders chosen as (bucket, id)) for buckets that span several components.
+def _leaders(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Members of buckets that span several components, with their component and whether they lead now.
 
-    ``buckets`` has (bucket, id, size). Without labels the smallest member of each bucket leads.
+    The first member of a bucket has been compared with all others; its component is the main one. Of the
+    members outside it that have not led, ``most`` lead now; in small buckets all of them do.
     """
-    if labels is None:
-        lead = buckets.groupBy("bucket").agg(F.min("id").alias("a"))
-        pairs = buckets.join(lead, "bucket").where("id <> a").select("a", F.col("id").alias("b"))
-        return pairs, lead.select("bucket", F.col("a").alias("id"))
-    placed = buckets.join(labels, buckets["id"] == labels["node"], "left")
-    placed = placed.select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(
-        F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")
+    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "id"))
+    spans = placed.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main")
     )
-    mixed = mixed.where("parts > 1").select("bucket", "main")
-    open_members = placed.join(mixed, "bucket")
-    # whoever is outside the main component and has not led yet; small buckets let all of them lead at once
-    waiting = open_members.where("component <> main").join(served, ["bucket", "id"], "left_anti")
-    order = Window.partitionBy("bucket").orderBy("id")
-    chosen = waiting.withColumn("turn", F.row_number().over(order))
-    chosen = chosen.where((F.col("turn") <= leaders) | ((F.col("size") <= SMALL_BUCKET) & (F.col("turn") <= SMALL_BUCKET)))
-    lead = chosen.select("bucket", F.col("id").alias("a"), F.col("component").alias("lead_component"))
-    others = open_members.select("bucket", F.col("id").alias("b"), "component")
-    pairs = others.join(lead, "bucket").where("component <> lead_component")
-    return pairs.select("a", "b"), lead.select("bucket", F.col("a").alias("id"))
+    placed = placed.join(spans.where("low < high").select("bucket", "main"), "bucket")
+    waiting = placed.where("component <> main AND NOT served")
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+    chosen = waiting.select("bucket", "id", "size", turn.alias("turn"))
+    chosen = chosen.where((F.col("turn") <= most) | (F.col("size") <= SMALL_BUCKET)).select(
+        "bucket", "id", F.lit(True).alias("leads")
+    )
+    found = placed.join(chosen, ["bucket", "id"], "left").drop("main")
+    return found.withColumn("leads", F.coalesce("leads", F.lit(False)))
 
 
 def near_duplicates(
@@ -210,56 +204,64 @@ def near_duplicates(
     signed = cut_lineage(signed.groupBy("id").agg(one_text).select("id", "s.*"))
     filled = signed.where("n_words > 0")
     owners = filled.groupBy("t1", "t2").agg(F.min("id").alias("owner"))
-    members = signed.select("id", "t1", "t2", "n_words").join(owners, ["t1", "t2"], "left")
-    members = members.select("id", F.when(F.col("n_words") > 0, F.col("owner")).otherwise(F.col("id")).alias("owner"))
-
-    heads = filled.groupBy("t1", "t2").agg(F.min_by(F.struct("id", "h", "bands"), "id").alias("s"))
-    heads = heads.select("s.*")
-    spread = heads.select("id", F.posexplode("bands").alias("band", "hash"))
-    spread = spread.select("id", F.xxhash64("band", "hash").alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = cut_lineage(spread.join(sizes, "bucket"))
-
-    names = heads.select("id", "h")
-    links = tested = served = labels = None
-    leaders = 1
+    owned = signed.select("id", "t1", "t2", "n_words").join(owners, ["t1", "t2"], "left")
+    owned = owned.select("id", F.when(F.col("n_words") > 0, F.col("owner")).otherwise(F.col("id")).alias("owner"))
+
+    heads = filled.groupBy("t1", "t2").agg(F.min_by(F.struct("id", "h", "bands"), "id").alias("s")).select("s.*")
+    spread = heads.select("id", "h", F.posexplode("bands").alias("band", "hash"))
+    spread = spread.select("id", "h", F.xxhash64("band", "hash").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "h")).alias("first"))
+    members = cut_lineage(spread.join(shared.where("size > 1"), "bucket"))
+    pairs = members.where(F.col("id") != F.col("first.id"))
+    pairs = pairs.select(_side("a", "first.id", "first.h"), _side("b", "id", "h"))
+    links = _verified(pairs, source, size, similarity)
+    labels = connected_components(links)
+
+    # the first member has served: it was compared with all others
+    members = members.where("size > 2").select("bucket", "id", "h", "size", (F.col("id") == F.col("first.id")).alias("served"))
+    most = 8
     while True:
-        pairs, lead = _next_pairs(buckets, labels, served, leaders)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        lead = cut_lineage(lead)
-        if labels is not None and lead.isEmpty():
+        members = cut_lineage(_leaders(members, labels, most))
+        leaders = members.where("leads")
+        if leaders.isEmpty():
             break
-        verified = cut_lineage(_verify(pairs, names, source, size, similarity))
-        fresh = verified.where("similar").select("a", "b")
-        links = fresh if links is None else links.union(fresh)
-        tested = verified.select("a", "b") if tested is None else tested.union(verified.select("a", "b"))
-        served = lead if served is None else served.union(lead)
+        lead = leaders.select("bucket", _side("a", "id", "h"), F.col("component").alias("lead_component"))
+        others = members.where("NOT served").select("bucket", _side("b", "id", "h"), "component")
+        pairs = others.join(lead, "bucket").where("component <> lead_component").select("a", "b")
+        links = links.union(_verified(pairs, source, size, similarity))
         labels = connected_components(links)
-        leaders = 8 if leaders == 1 else leaders * 4
+        members = members.select("bucket", "id", "h", "size", (F.col("served") | F.col("leads")).alias("served"))
+        most *= 4
 
-    ends = links.select(F.col("a").alias("owner")).union(links.select(F.col("b").alias("owner")))
+    ends = links.distinct()
+    ends = ends.select(F.col("a").alias("owner")).union(ends.select(F.col("b").alias("owner")))
     counts = ends.groupBy("owner").agg(F.count("*").alias("n_links"))
-    classes = members.join(labels, members["owner"] == labels["node"], "left").join(counts, "owner", "left")
-    found = classes.select(
-        "id",
-        F.coalesce("component", "owner").alias("class_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    placed = owned.join(labels.withColumnRenamed("node", "owner"), "owner", "left").join(counts, "owner", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "owner"))
+    # a component is known by some member; the class is named after its smallest document
+    smallest = placed.groupBy("component").agg(F.min("id").alias("class_id"))
+    found = placed.join(smallest, "component").select(
+        "id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
     unknown = pick(docs, id=doc_id).where("id IS NULL")
     unknown = unknown.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.union(unknown).withColumnRenamed("id", "doc_id")
 
 
-def _verify(pairs: DataFrame, names: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b, similar): exact similarity of the texts of each pair; ``names`` says which text of an id counts."""
-    side = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") for c in df.columns])
-    named = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
-    named = named.join(side(names, "a"), "id_a").join(side(names, "b"), "id_b")
-    joined = named.join(side(texts, "a"), ["id_a", "h_a"]).join(side(texts, "b"), ["id_b", "h_b"])
+def _side(name: str, doc: str, text_hash: str) -> Column:
+    """One side of a pair: the document and which of its texts counts."""
+    return F.struct(F.col(doc).alias("id"), F.col(text_hash).alias("h")).alias(name)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose texts are similar enough, each with the smaller id first."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered = ordered.select(
+        F.col("a.id").alias("id_a"), F.col("a.h").alias("h_a"), F.col("b.id").alias("id_b"), F.col("b.h").alias("h_b")
+    )
+    joined = ordered.join(texts.toDF("id_a", "h_a", "text_a"), ["id_a", "h_a"])
+    joined = joined.join(texts.toDF("id_b", "h_b", "text_b"), ["id_b", "h_b"])
     joined = joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b")
-    id_type = pairs.schema["a"].dataType.simpleString()
+    id_type = joined.schema["a"].dataType.simpleString()
     checked = joined.mapInArrow(_verify_rows(size, similarity), f"a {id_type}, b {id_type}, similar boolean")
-    # rows that repeat a document repeat its pairs
-    return checked.groupBy("a", "b").agg(F.max("similar").alias("similar"))
+    return cut_lineage(checked.where("similar").select("a", "b"))
