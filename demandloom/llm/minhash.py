@@ -10,10 +10,11 @@ components' first ones, so long documents cost about one arrival per shingle.
 
 Documents that share a band of components are candidates. Copies are folded
 first. In each band bucket all members are compared with the first one; buckets whose
-members then are one component are finished. In the others the members outside the first one's
-component are compared with all that are not of their own component, more of them each round,
-until every pair across components has been compared. So no link between two different texts that
-share a bucket is lost to the classes, and groups that hang together never list their pairs.
+members then are one component are finished. In the others the members of different
+components meet block by block; of them only the pairs whose signatures, in all components,
+come near the similarity leave their task and are verified. So no link between two
+different texts is lost to the classes, but by the stated chance of a signature, and
+groups that hang together never list their pairs.
 
 Defined results: words are runs of letters, digits and characters beyond ASCII,
 lower-cased. A document of fewer than five words is one shingle; one without words is
@@ -27,21 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm import hashing as H
 from demandloom.llm.components import connected_components
-from demandloom.llm.tables import pick
-from demandloom.session import cut_lineage
+from demandloom.llm.tables import pick, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
 # At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS = 32
 ROWS = 5
-# Buckets up to this size compare all pairs across components at once.
-SMALL_BUCKET = 32
+# Components of a signature; the bands take the first BANDS * ROWS, estimates take all.
+COMPONENTS = 320
+# A pair is not verified if its estimate lies this many standard deviations below the similarity asked for.
+DEVIATIONS = 4.5
+# Members of a bucket that are compared at once.
+BLOCK = 512
+# Arrivals drawn at once for a batch of texts whose shingles are few.
+_ARRIVALS = 1 << 16
 
 
 def shingles(words: H.Words, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,28 +68,33 @@ def shingles(words: H.Words, size: int, lane: int = 0) -> tuple[np.ndarray, np.n
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, components: int) -> np.ndarray:
     """ProbMinHash of every text: per component the shingle whose Poisson process arrives first.
 
-    All texts of a batch advance together, one arrival per living shingle and round.
+    All texts of a batch advance together, one arrival per living shingle and round; the
+    fewer are left, the more arrivals each draws at once.
     """
     first = np.full(n * components, np.inf)
     owner = np.zeros(n * components, np.uint64)
-    seed = shingle.copy()
-    clock = np.zeros(len(shingle))
-    while len(seed):
-        seed = H.mix(seed + np.uint64(0x9E3779B97F4A7C15))
+    clock, drawn = np.zeros(len(shingle)), 0
+    while len(shingle):
+        ahead = max(1, min(256, _ARRIVALS // len(shingle)))
+        numbers = np.arange(drawn + 1, drawn + ahead + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        seed = H.mix(shingle[:, None] + numbers)
         uniform = ((seed >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
-        clock = clock - np.log(uniform) / weight
-        target = text * components + ((seed & np.uint64(0x7FF)) * np.uint64(components) >> np.uint64(11)).astype(np.int64)
-        np.minimum.at(first, target, clock)
-        won = first[target] == clock
-        owner[target[won]] = shingle[won]
+        times = np.cumsum(np.column_stack([clock, -np.log(uniform) / weight[:, None]]), axis=1)[:, 1:]
+        target = text[:, None] * components + (
+            (seed & np.uint64(0x7FF)) * np.uint64(components) >> np.uint64(11)
+        ).astype(np.int64)
+        np.minimum.at(first, target.ravel(), times.ravel())
+        won = first[target] == times
+        owner[target[won]] = np.broadcast_to(shingle[:, None], target.shape)[won]
         latest = first.reshape(n, components).max(axis=1)
+        drawn, clock = drawn + ahead, times[:, -1]
         alive = clock < latest[text]
-        text, shingle, weight, seed, clock = (v[alive] for v in (text, shingle, weight, seed, clock))
+        text, shingle, weight, clock = (v[alive] for v in (text, shingle, weight, clock))
     return owner.reshape(n, components)
 
 
-def _signature_rows(size: int, bands: int, rows: int):
-    """(id, h, t1, t2, n_words, bands): 128 bits naming the word sequence, and one hash per band."""
+def _signature_rows(size: int, bands: int, rows: int, components: int):
+    """(id, h, t1, t2, n_words, bands, signature): 128 bits naming the word sequence, one hash per band, one byte per component."""
     spread = H._power_tables(H.WORD_BASES[1], rows)[0][:rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +103,12 @@ def _signature_rows(size: int, bands: int, rows: int):
                 part = batch.slice(low, high - low)
                 words = H.Words(part.column("text"), H.NOT_WORD)
                 n = len(part)
-                drawn = signatures(*shingles(words, size), n, bands * rows)
-                by_band = H.mix((drawn.reshape(n, bands, rows) * spread).sum(axis=2, dtype=np.uint64))
+                drawn = signatures(*shingles(words, size), n, components)
+                banded = drawn[:, : bands * rows].reshape(n, bands, rows)
+                by_band = H.mix((banded * spread).sum(axis=2, dtype=np.uint64))
                 whole = [H.as_long(H.sequence_hashes(words.hashes(lane), words.first, lane)) for lane in (0, 1)]
                 flat = pa.array(H.as_long(by_band.ravel()))
+                short = (drawn >> np.uint64(56)).astype(np.uint8)
                 yield pa.record_batch(
                     {
                         "id": part.column("id"),
@@ -104,6 +117,7 @@ def _signature_rows(size: int, bands: int, rows: int):
                         "t2": pa.array(whole[1]),
                         "n_words": pa.array(words.lengths.astype(np.int64)),
                         "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat),
+                        "signature": pa.array([x.tobytes() for x in short], pa.binary()),
                     }
                 )
 
@@ -156,26 +170,85 @@ def _verify_rows(size: int, similarity: float):
     return run
 
 
-def _leaders(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Members of buckets that span several components, with their component and whether they lead now.
-
-    The first member of a bucket has been compared with all others; its component is the main one. Of the
-    members outside it that have not led, ``most`` lead now; in small buckets all of them do.
-    """
+def _spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, band, size, id, component) of the members of buckets that span several components."""
     placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
-    spans = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main")
-    )
-    placed = placed.join(spans.where("low < high").select("bucket", "main"), "bucket")
-    waiting = placed.where("component <> main AND NOT served")
-    turn = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    chosen = waiting.select("bucket", "id", "size", turn.alias("turn"))
-    chosen = chosen.where((F.col("turn") <= most) | (F.col("size") <= SMALL_BUCKET)).select(
-        "bucket", "id", F.lit(True).alias("leads")
-    )
-    found = placed.join(chosen, ["bucket", "id"], "left").drop("main")
-    return found.withColumn("leads", F.coalesce("leads", F.lit(False)))
+    spans = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    placed = placed.join(spans.where("low < high").select("bucket"), "bucket", "left_semi")
+    return placed.select("bucket", "band", "size", "id", "component")
+
+
+def _likely_pairs(cut: float):
+    """(a, b) of members of one bucket and two components whose signatures agree in at least ``cut`` components.
+
+    Rows come sorted by bucket and pair of blocks. A pair is reported in the first band it shares only.
+    """
+
+    def compare(group: pa.RecordBatch) -> pa.RecordBatch:
+        half = group.column("half").to_numpy()
+        ids, parts = group.column("id"), group.column("component").to_numpy(zero_copy_only=False)
+        signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(group), -1)
+        bands = group.column("bands").flatten().to_numpy().reshape(len(group), -1)
+        band = group.column("band")[0].as_py()
+        one_block = group.column("left")[0].as_py() == group.column("right")[0].as_py()
+        left = np.flatnonzero(half == group.column("left")[0].as_py())
+        right = left if one_block else np.flatnonzero(half == group.column("right")[0].as_py())
+        found = []
+        for low in range(0, len(left), 32):
+            some = left[low : low + 32]
+            agree = (signs[some][:, None, :] == signs[right][None, :, :]).sum(axis=2)
+            likely = (agree >= cut) & (parts[some][:, None] != parts[right][None, :])
+            x, y = np.nonzero(likely)
+            x, y = some[x], right[y]
+            if one_block:
+                x, y = x[x < y], y[x < y]
+            found.append((x, y))
+        x, y = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        mine = (bands[x] == bands[y]).argmax(axis=1) == band if len(x) else np.empty(0, bool)
+        return pa.record_batch({"a": ids.take(pa.array(x[mine])), "b": ids.take(pa.array(y[mine]))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "left", "right")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            edges = [0, *cuts.tolist(), len(batch)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                part = batch.slice(low, high - low)
+                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("bucket", "left", "right")):
+                    yield compare(_joined(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield compare(_joined(held))
+
+    return run
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _cross_pairs(spanning: DataFrame, names: DataFrame, similarity: float, components: int) -> DataFrame:
+    """(a, b) to verify among members of one bucket and different components, found block by block.
+
+    A bucket is cut into blocks of BLOCK members, and every two blocks meet in a group of their own. Only
+    likely pairs leave a task.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = spanning.withColumns({"blocks": blocks, "half": F.pmod(F.hash("id"), blocks).cast("int")})
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(
+        "bucket", F.least("half", "other").alias("left"), F.greatest("half", "other").alias("right"),
+        "half", "band", "id", "component",
+    )
+    placed = placed.join(names.select("id", "bands", "signature"), "id")
+    grouped = placed.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id")
+    chance = similarity + (1 - similarity) / 256
+    cut = components * (chance - DEVIATIONS * np.sqrt(chance * (1 - chance) / components))
+    id_type = spanning.schema["id"].dataType.simpleString()
+    return grouped.mapInArrow(_likely_pairs(cut), f"a {id_type}, b {id_type}")
 
 
 def near_duplicates(
@@ -195,43 +268,38 @@ def near_duplicates(
     source = pick(docs, id=doc_id, text=text).where("id IS NOT NULL")
     source = source.select("id", F.xxhash64("text").alias("h"), F.lower("text").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
+    components = max(COMPONENTS, bands * rows)
     signed = source.mapInArrow(
-        _signature_rows(size, bands, rows),
-        f"id {id_type}, h long, t1 long, t2 long, n_words long, bands array<long>",
+        _signature_rows(size, bands, rows, components),
+        f"id {id_type}, h long, t1 long, t2 long, n_words long, bands array<long>, signature binary",
     )
     # one text per id, then one document per text
-    one_text = F.min(F.struct("h", "t1", "t2", "n_words", "bands")).alias("s")
-    signed = cut_lineage(signed.groupBy("id").agg(one_text).select("id", "s.*"))
+    one_text = F.min(F.struct("h", "t1", "t2", "n_words", "bands", "signature")).alias("s")
+    signed = stage(signed.groupBy("id").agg(one_text).select("id", "s.*"))
     filled = signed.where("n_words > 0")
     owners = filled.groupBy("t1", "t2").agg(F.min("id").alias("owner"))
     owned = signed.select("id", "t1", "t2", "n_words").join(owners, ["t1", "t2"], "left")
     owned = owned.select("id", F.when(F.col("n_words") > 0, F.col("owner")).otherwise(F.col("id")).alias("owner"))
 
-    heads = filled.groupBy("t1", "t2").agg(F.min_by(F.struct("id", "h", "bands"), "id").alias("s")).select("s.*")
-    spread = heads.select("id", "h", F.posexplode("bands").alias("band", "hash"))
-    spread = spread.select("id", "h", F.xxhash64("band", "hash").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "h")).alias("first"))
-    members = cut_lineage(spread.join(shared.where("size > 1"), "bucket"))
-    pairs = members.where(F.col("id") != F.col("first.id"))
-    pairs = pairs.select(_side("a", "first.id", "first.h"), _side("b", "id", "h"))
-    links = _verified(pairs, source, size, similarity)
-    labels = connected_components(links)
-
-    # the first member has served: it was compared with all others
-    members = members.where("size > 2").select("bucket", "id", "h", "size", (F.col("id") == F.col("first.id")).alias("served"))
-    most = 8
-    while True:
-        members = cut_lineage(_leaders(members, labels, most))
-        leaders = members.where("leads")
-        if leaders.isEmpty():
-            break
-        lead = leaders.select("bucket", _side("a", "id", "h"), F.col("component").alias("lead_component"))
-        others = members.where("NOT served").select("bucket", _side("b", "id", "h"), "component")
-        pairs = others.join(lead, "bucket").where("component <> lead_component").select("a", "b")
-        links = links.union(_verified(pairs, source, size, similarity))
+    heads = signed.join(owners.select(F.col("owner").alias("id")), "id", "left_semi")
+    spread = heads.select("id", F.posexplode("bands").alias("band", "hash"))
+    spread = spread.select("id", "band", F.xxhash64("band", "hash").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    members = stage(spread.join(shared.where("size > 1"), "bucket"))
+    involved = members.select("id").distinct()
+    names = stage(heads.join(involved, "id", "left_semi").select("id", "h", "bands", "signature"))
+    texts = source.join(names.select("id", "h"), ["id", "h"], "left_semi").select("id", "text")
+    texts = stage(texts.dropDuplicates(["id"]))
+
+    pairs = members.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    links = _verified(pairs, texts, size, similarity)
+    labels = stage(connected_components(links))
+    # the two members of a pair have met
+    spanning = _spanning(members.where("size > 2"), labels)
+    more = _verified(_cross_pairs(spanning, names, similarity, components), texts, size, similarity)
+    if not more.isEmpty():
+        links = links.union(more)
         labels = connected_components(links)
-        members = members.select("bucket", "id", "h", "size", (F.col("served") | F.col("leads")).alias("served"))
-        most *= 4
 
     ends = links.distinct()
     ends = ends.select(F.col("a").alias("owner")).union(ends.select(F.col("b").alias("owner")))
@@ -248,20 +316,12 @@ def near_duplicates(
     return found.union(unknown).withColumnRenamed("id", "doc_id")
 
 
-def _side(name: str, doc: str, text_hash: str) -> Column:
-    """One side of a pair: the document and which of its texts counts."""
-    return F.struct(F.col(doc).alias("id"), F.col(text_hash).alias("h")).alias(name)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b) of the pairs whose texts are similar enough, each with the smaller id first."""
+    """(a, b) of the pairs whose texts are similar enough, the smaller id first."""
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ordered = ordered.select(
-        F.col("a.id").alias("id_a"), F.col("a.h").alias("h_a"), F.col("b.id").alias("id_b"), F.col("b.h").alias("h_b")
-    )
-    joined = ordered.join(texts.toDF("id_a", "h_a", "text_a"), ["id_a", "h_a"])
-    joined = joined.join(texts.toDF("id_b", "h_b", "text_b"), ["id_b", "h_b"])
-    joined = joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b")
+    joined = ordered.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     id_type = joined.schema["a"].dataType.simpleString()
-    checked = joined.mapInArrow(_verify_rows(size, similarity), f"a {id_type}, b {id_type}, similar boolean")
-    return cut_lineage(checked.where("similar").select("a", "b"))
+    checked = joined.select("a", "b", "text_a", "text_b").mapInArrow(
+        _verify_rows(size, similarity), f"a {id_type}, b {id_type}, similar boolean"
+    )
+    return stage(checked.where("similar").select("a", "b"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandloom.session import scratch_path
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,3 +38,16 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, even where nested lambdas use it for every element."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage and plan end here, and sizes are known.
+
+    The table lives as long as the session; Spark's file system drops it when that ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "llm-stage")
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
