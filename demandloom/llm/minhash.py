@@ -11,10 +11,10 @@ components' first ones, so long documents cost about one arrival per shingle.
 Documents that share a band of components are candidates. Copies are folded
 first. In each band bucket all members are compared with the first one; buckets whose
 members then are one component are finished. In the others the members of different
-components meet block by block; of them only the pairs whose signatures, in all components,
-come near the similarity leave their task and are verified. So no link between two
-different texts is lost to the classes, but by the stated chance of a signature, and
-groups that hang together never list their pairs.
+components meet block by block, and pairs whose signatures, in all components, come near the
+similarity are verified there. A task returns a spanning set of the links it finds. So no link
+between two different texts is lost to the classes, but by the stated chance of a signature,
+and groups that hang together never list their pairs.
 
 Defined results: words are runs of letters, digits and characters beyond ASCII,
 lower-cased. A document of fewer than five words is one shingle; one without words is
@@ -44,8 +44,9 @@ ROWS = 5
 COMPONENTS = 320
 # A pair is not verified if its estimate lies this many standard deviations below the similarity asked for.
 DEVIATIONS = 4.5
-# Members of a bucket that are compared at once.
+# Members of a bucket, and their words, that are compared with as many others at once.
 BLOCK = 512
+BLOCK_WORDS = 500_000
 # Arrivals drawn at once for a batch of texts whose shingles are few.
 _ARRIVALS = 1 << 16
 
@@ -171,42 +172,65 @@ def _verify_rows(size: int, similarity: float):
 
 
 def _spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, band, size, id, component) of the members of buckets that span several components."""
+    """(bucket, band, size, words, id, component) of the members of buckets that span several components."""
     placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     spans = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = placed.join(spans.where("low < high").select("bucket"), "bucket", "left_semi")
-    return placed.select("bucket", "band", "size", "id", "component")
+    return placed.select("bucket", "band", "size", "words", "id", "component")
 
 
-def _likely_pairs(cut: float):
-    """(a, b) of members of one bucket and two components whose signatures agree in at least ``cut`` components.
+def _cross_rows(cut: float, size: int, similarity: float):
+    """(a, b): links between members of one bucket and two components, a spanning set for each two blocks.
 
-    Rows come sorted by bucket and pair of blocks. A pair is reported in the first band it shares only.
+    Rows come sorted by bucket and pair of blocks. A pair is compared in the first band it shares only, exactly
+    if its signatures agree in at least ``cut`` components, and not at all once links join its members.
     """
 
-    def compare(group: pa.RecordBatch) -> pa.RecordBatch:
-        half = group.column("half").to_numpy()
-        ids, parts = group.column("id"), group.column("component").to_numpy(zero_copy_only=False)
+    def likely(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        half, band = group.column("half").to_numpy(), group.column("band")[0].as_py()
+        sides = [np.flatnonzero(half == group.column(c)[0].as_py()) for c in ("left", "right")]
+        one_block = group.column("left")[0].as_py() == group.column("right")[0].as_py()
+        parts = group.column("component").to_numpy(zero_copy_only=False)
         signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(group), -1)
         bands = group.column("bands").flatten().to_numpy().reshape(len(group), -1)
-        band = group.column("band")[0].as_py()
-        one_block = group.column("left")[0].as_py() == group.column("right")[0].as_py()
-        left = np.flatnonzero(half == group.column("left")[0].as_py())
-        right = left if one_block else np.flatnonzero(half == group.column("right")[0].as_py())
-        found = []
-        for low in range(0, len(left), 32):
-            some = left[low : low + 32]
-            agree = (signs[some][:, None, :] == signs[right][None, :, :]).sum(axis=2)
-            likely = (agree >= cut) & (parts[some][:, None] != parts[right][None, :])
-            x, y = np.nonzero(likely)
-            x, y = some[x], right[y]
-            if one_block:
-                x, y = x[x < y], y[x < y]
-            found.append((x, y))
-        x, y = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
-        mine = (bands[x] == bands[y]).argmax(axis=1) == band if len(x) else np.empty(0, bool)
-        return pa.record_batch({"a": ids.take(pa.array(x[mine])), "b": ids.take(pa.array(y[mine]))})
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for low in range(0, len(sides[0]), 32):
+            some = sides[0][low : low + 32]
+            agree = (signs[some][:, None, :] == signs[sides[1]][None, :, :]).sum(axis=2)
+            x, y = np.nonzero((agree >= cut) & (parts[some][:, None] != parts[sides[1]][None, :]))
+            x, y = some[x], sides[1][y]
+            mine = (bands[x] == bands[y]).argmax(axis=1) == band if len(x) else np.empty(0, bool)
+            mine &= (x < y) | (not one_block)
+            found.append((x[mine], y[mine]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
+
+    def compare(group: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = likely(group)
+        rows = np.unique(np.append(x, y))
+        words = H.Words(group.column("text").take(pa.array(rows)), H.NOT_WORD)
+        text, shingle, count = shingles(words, size)
+        at = np.searchsorted(text, np.arange(len(rows) + 1))
+        sets = [(shingle[low:high], count[low:high]) for low, high in zip(at, at[1:], strict=False)]
+        place = dict(zip(rows.tolist(), range(len(rows)), strict=True))
+        # members of one component are joined from the start
+        parts = group.column("component").to_pylist()
+        root: dict = {}
+
+        def top(part):
+            while (above := root.get(part, part)) != part:
+                root[part] = root.get(above, above)
+                part = above
+            return part
+
+        links = []
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            high, low = top(parts[a]), top(parts[b])
+            if high != low and probability_jaccard(sets[place[a]], sets[place[b]]) >= similarity - 1e-12:
+                root[high] = low
+                links.append((a, b))
+        ids = group.column("id")
+        return pa.record_batch({c: ids.take(pa.array([p[i] for p in links], pa.int64())) for i, c in enumerate("ab")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -230,25 +254,25 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def _cross_pairs(spanning: DataFrame, names: DataFrame, similarity: float, components: int) -> DataFrame:
-    """(a, b) to verify among members of one bucket and different components, found block by block.
+def _cross_links(spanning: DataFrame, texts: DataFrame, size: int, similarity: float, components: int) -> DataFrame:
+    """(a, b): verified links among members of one bucket and different components, found block by block.
 
-    A bucket is cut into blocks of BLOCK members, and every two blocks meet in a group of their own. Only
-    likely pairs leave a task.
+    A bucket is cut into blocks of bounded members and words, and every two blocks meet in a group of their
+    own. What leaves a task is linear in what it has read.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = spanning.withColumns({"blocks": blocks, "half": F.pmod(F.hash("id"), blocks).cast("int")})
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    placed = spanning.withColumn("blocks", blocks).withColumn("half", F.pmod(F.hash("id"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
         "bucket", F.least("half", "other").alias("left"), F.greatest("half", "other").alias("right"),
         "half", "band", "id", "component",
     )
-    placed = placed.join(names.select("id", "bands", "signature"), "id")
+    placed = placed.join(texts, "id")
     grouped = placed.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id")
     chance = similarity + (1 - similarity) / 256
     cut = components * (chance - DEVIATIONS * np.sqrt(chance * (1 - chance) / components))
     id_type = spanning.schema["id"].dataType.simpleString()
-    return grouped.mapInArrow(_likely_pairs(cut), f"a {id_type}, b {id_type}")
+    return stage(grouped.mapInArrow(_cross_rows(cut, size, similarity), f"a {id_type}, b {id_type}"))
 
 
 def near_duplicates(
@@ -282,21 +306,23 @@ def near_duplicates(
     owned = owned.select("id", F.when(F.col("n_words") > 0, F.col("owner")).otherwise(F.col("id")).alias("owner"))
 
     heads = signed.join(owners.select(F.col("owner").alias("id")), "id", "left_semi")
-    spread = heads.select("id", F.posexplode("bands").alias("band", "hash"))
-    spread = spread.select("id", "band", F.xxhash64("band", "hash").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    members = stage(spread.join(shared.where("size > 1"), "bucket"))
+    spread = heads.select("id", "n_words", F.posexplode("bands").alias("band", "hash"))
+    spread = spread.select("id", "n_words", "band", F.xxhash64("band", "hash").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.sum("n_words").alias("words"), F.min("id").alias("first")
+    )
+    members = stage(spread.drop("n_words").join(shared.where("size > 1"), "bucket"))
     involved = members.select("id").distinct()
-    names = stage(heads.join(involved, "id", "left_semi").select("id", "h", "bands", "signature"))
-    texts = source.join(names.select("id", "h"), ["id", "h"], "left_semi").select("id", "text")
+    names = heads.join(involved, "id", "left_semi").select("id", "h", "bands", "signature")
+    texts = source.join(names, ["id", "h"]).select("id", "bands", "signature", "text")
     texts = stage(texts.dropDuplicates(["id"]))
 
     pairs = members.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    links = _verified(pairs, texts, size, similarity)
+    links = _verified(pairs, texts.select("id", "text"), size, similarity)
     labels = stage(connected_components(links))
     # the two members of a pair have met
     spanning = _spanning(members.where("size > 2"), labels)
-    more = _verified(_cross_pairs(spanning, names, similarity, components), texts, size, similarity)
+    more = _cross_links(spanning, texts, size, similarity, components)
     if not more.isEmpty():
         links = links.union(more)
         labels = connected_components(links)
