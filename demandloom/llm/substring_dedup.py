@@ -1,16 +1,17 @@
 """Repeated passages: every window of 35 words that occurs twice is cut out of every text.
 
-Windows are named by two Rabin-Karp hashes (128 bits) and counted in Spark. So
+Windows are named by two Rabin-Karp hashes (96 bits) and counted in Spark. So
 that not every window of every text has to travel, each window first names its
 anchor, the 6-gram of smallest hash inside it. Equal windows have equal
 anchors, so a window whose anchor occurs once in the corpus cannot repeat. Only
 windows under repeated anchors are shuffled and counted. The repeated ones go
 back to their texts, where overlapping windows merge into intervals.
 
-Equal texts are folded: one of them stands for all and counts twice. Hot passages are
-folded before the shuffle (counts are partial sums), and the joins back to texts
-are plain equi-joins whose hot keys adaptive execution splits. The shuffled
-texts are used by both joins; Spark reuses the exchange.
+Equal texts are folded: one of them stands for all and counts twice; a window that a text repeats
+is settled inside the text. Windows under anchors that are common (a hot passage) are folded by
+partial sums before the shuffle and found again by a plain equi-join, whose hot keys adaptive execution
+splits. All others have few rows per window; they are shuffled once and counted in place. The
+shuffled texts serve both joins; Spark reuses the exchange.
 
 Defined results: null or empty texts and texts shorter than a window keep all
 their words unless the whole text is one repeated window; rows that repeat an id
@@ -34,6 +35,8 @@ _INTERVALS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 WINDOW = 35
 GRAM = 6
+# Windows under an anchor with more occurrences are counted by partial sums.
+HOT_ANCHOR = 1000
 
 
 def window_anchors(words: np.ndarray, first: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple:
@@ -100,7 +103,11 @@ def _anchor_rows(window: int, gram: int):
 
 
 def _window_rows(window: int, gram: int):
-    """(h1, h2, t1, t2, start, n) of the windows whose anchor is among the text's repeated anchors."""
+    """(kind, h1, h2, t1, t2, start, n) of the windows whose anchor is among the text's repeated anchors.
+
+    kind 0: a window to be counted, under an anchor of at most HOT_ANCHOR texts; 1: the same under a commoner
+    one; 2: a window that its own text repeats, so it needs no count. start is -1 in rows that only count for others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,32 +116,50 @@ def _window_rows(window: int, gram: int):
                 starts, h1 = H.window_hashes(first_lane, words.first, window)
                 if not len(starts):
                     continue
-                h2 = H.window_hashes(words.hashes(1), words.first, window, 1)[1]
+                h2 = H.window_hashes(words.hashes(1), words.first, window, 1)[1] >> np.uint64(32)
                 anchors = window_anchors(first_lane, words.first, starts, window, gram)[0]
                 text = words.text_of_word()[starts]
-                wanted = part.column("anchors")
-                lists = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                sizes = pc.list_value_length(wanted).fill_null(0).to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(len(part)), sizes)
                 # (text, anchor) pairs mixed into one number; a chance match only sends a window that is then counted once
-                known = H.mix(lists + H.mix(owner.astype(np.uint64)))
-                chosen = np.isin(H.mix(anchors + H.mix(text.astype(np.uint64))), known)
-                text, begin = text[chosen], starts[chosen]
-                rows = pa.array(text)
+                mine = H.mix(anchors + H.mix(text.astype(np.uint64)))
+                hot = np.isin(mine, _pairs(part.column("hot_anchors")))
+                chosen = np.flatnonzero(hot | np.isin(mine, _pairs(part.column("anchors"))))
+                order = chosen[np.lexsort((starts[chosen], h2[chosen], h1[chosen], text[chosen]))]
+                if not len(order):
+                    continue
+                text, h1, h2, hot = text[order], h1[order], h2[order], hot[order]
+                begin = starts[order] - words.first[text]
+                head = np.append(True, (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+                size = np.diff(np.append(np.flatnonzero(head), len(head)))
+                again = np.repeat(size > 1, size)
+                copies = part.column("n").to_numpy(zero_copy_only=False)[text]
+                counts_only = again | (copies > 1)
+                counted, sure = np.flatnonzero(head), np.flatnonzero(again & (copies == 1))
+                rows = np.append(counted, sure)
+                texts = pa.array(text[rows])
                 yield pa.record_batch(
                     {
-                        "h1": pa.array(H.as_long(h1[chosen])),
-                        "h2": pa.array(H.as_long(h2[chosen])),
-                        "t1": part.column("t1").take(rows),
-                        "t2": part.column("t2").take(rows),
-                        "start": pa.array((begin - words.first[text]).astype(np.int32)),
-                        "n": part.column("n").take(rows),
+                        "kind": pa.array(np.append(hot[counted], np.full(len(sure), 2)).astype(np.int32)),
+                        "h1": pa.array(H.as_long(h1[rows])),
+                        "h2": pa.array(h2[rows].astype(np.uint32).view(np.int32)),
+                        "t1": part.column("t1").take(texts),
+                        "t2": part.column("t2").take(texts),
+                        "start": pa.array(
+                            np.append(np.where(counts_only, -1, begin)[counted], begin[sure]).astype(np.int32)
+                        ),
+                        "n": pa.array(np.where(counts_only, 2, 1)[rows].astype(np.int32)),
                     }
                 )
 
     return run
 
 
+def _pairs(lists: pa.Array) -> np.ndarray:
+    """One number for every (row, element) of a column of lists."""
+    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    return H.mix(values + H.mix(np.repeat(np.arange(len(lists)), sizes).astype(np.uint64)))
+
+
 def merge_windows(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal intervals [from, to) covered by windows at sorted ``starts``; touching ones become one."""
     if not len(starts):
@@ -200,19 +225,28 @@ def dedup_passages(
     anchors = source.select("t1", "t2", "text").mapInArrow(
         _anchor_rows(window, gram), "t1 long, t2 long, anchor long, n int"
     )
-    repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.select("t1", "t2", "anchor").join(repeated, "anchor", "left_semi")
-    wanted = wanted.groupBy(*key).agg(F.collect_set("anchor").alias("anchors"))
+    repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    wanted = anchors.select("t1", "t2", "anchor").join(repeated, "anchor").groupBy(*key)
+    hot = F.col("n") > HOT_ANCHOR
+    wanted = wanted.agg(
+        F.collect_set(F.when(~hot, F.col("anchor"))).alias("anchors"),
+        F.collect_set(F.when(hot, F.col("anchor"))).alias("hot_anchors"),
+    )
 
     # the first of equal texts stands for all of them
     chosen = source.join(owners, key).where(F.col("doc_id").eqNullSafe(F.col("owner"))).join(wanted, key)
-    chosen = chosen.select(*key, "text", "anchors", F.least("copies", F.lit(2)).cast("int").alias("n"))
+    chosen = chosen.select(*key, "text", "anchors", "hot_anchors", F.least("copies", F.lit(2)).cast("int").alias("n"))
     windows = chosen.mapInArrow(
-        _window_rows(window, gram), "h1 long, h2 long, t1 long, t2 long, start int, n int"
+        _window_rows(window, gram), "kind int, h1 long, h2 int, t1 long, t2 long, start int, n int"
     )
-    counted = windows.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-    # equal texts lose all their windows anyway
-    hits = windows.where("n = 1").select("h1", "h2", *key, "start").join(counted, ["h1", "h2"], "left_semi")
+    # few rows per window: shuffled once, counted where they lie, and met again by the same exchange
+    cold = windows.where("kind = 0").select("h1", "h2", *key, "start", "n").repartition("h1", "h2")
+    common = windows.where("kind = 1").select("h1", "h2", *key, "start", "n")
+    hits = windows.where("kind = 2").select(*key, "start")
+    for rows in (cold, common):
+        counted = rows.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
+        found = rows.where("start >= 0").join(counted, ["h1", "h2"], "left_semi")
+        hits = hits.union(found.select(*key, "start"))
     hits = hits.groupBy(*key).agg(F.collect_set("start").alias("starts"))
 
     marked = source.join(owners, key).join(hits, key, "left").select("doc_id", "text", "copies", "starts")
