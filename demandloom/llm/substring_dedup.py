@@ -7,11 +7,10 @@ anchors, so a window whose anchor occurs once in the corpus cannot repeat. Only
 windows under repeated anchors are shuffled and counted. The repeated ones go
 back to their texts, where overlapping windows merge into intervals.
 
-Equal texts are folded: one of them stands for all and counts twice; a window that a text repeats
-is settled inside the text. Windows under anchors that are common (a hot passage) are folded by
-partial sums before the shuffle and found again by a plain equi-join, whose hot keys adaptive execution
-splits. All others have few rows per window; they are shuffled once and counted in place. The
-shuffled texts serve both joins; Spark reuses the exchange.
+Equal texts are folded: one of them stands for all and counts twice. Windows under anchors that are
+common (a hot passage) are folded by partial sums before the shuffle and found again by a plain
+equi-join, whose hot keys adaptive execution splits. All others have few rows per window; they are
+shuffled once and counted in place. The shuffled texts serve both joins; Spark reuses the exchange.
 
 Defined results: null or empty texts and texts shorter than a window keep all
 their words unless the whole text is one repeated window; rows that repeat an id
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.llm import hashing as H
@@ -105,8 +104,8 @@ def _anchor_rows(window: int, gram: int):
 def _window_rows(window: int, gram: int):
     """(kind, h1, h2, t1, t2, start, n) of the windows whose anchor is among the text's repeated anchors.
 
-    kind 0: a window to be counted, under an anchor of at most HOT_ANCHOR texts; 1: the same under a commoner
-    one; 2: a window that its own text repeats, so it needs no count. start is -1 in rows that only count for others.
+    kind 1 is a window under an anchor of more than HOT_ANCHOR occurrences; n is 2 where the window occurs twice
+    in any case, because its text repeats it or has equals; start is -1 in rows that only count for others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,23 +129,24 @@ def _window_rows(window: int, gram: int):
                 begin = starts[order] - words.first[text]
                 head = np.append(True, (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
                 size = np.diff(np.append(np.flatnonzero(head), len(head)))
-                again = np.repeat(size > 1, size)
-                copies = part.column("n").to_numpy(zero_copy_only=False)[text]
-                counts_only = again | (copies > 1)
-                counted, sure = np.flatnonzero(head), np.flatnonzero(again & (copies == 1))
-                rows = np.append(counted, sure)
+                again, copied = np.repeat(size > 1, size), part.column("n").to_numpy(zero_copy_only=False)[text] > 1
+                # windows that count for others only: of equal texts, and of common windows that their text repeats
+                for_others = np.flatnonzero(head & (copied | (again & hot)))
+                own = np.flatnonzero(~copied)
+                rows = np.append(for_others, own)
+                kind = np.append(hot[for_others], (hot & ~again)[own])
+                start = np.append(np.full(len(for_others), -1), begin[own])
+                n = np.append(np.full(len(for_others), 2), np.where(again, 2, 1)[own])
                 texts = pa.array(text[rows])
                 yield pa.record_batch(
                     {
-                        "kind": pa.array(np.append(hot[counted], np.full(len(sure), 2)).astype(np.int32)),
+                        "kind": pa.array(kind.astype(np.int32)),
                         "h1": pa.array(H.as_long(h1[rows])),
                         "h2": pa.array(h2[rows].astype(np.uint32).view(np.int32)),
                         "t1": part.column("t1").take(texts),
                         "t2": part.column("t2").take(texts),
-                        "start": pa.array(
-                            np.append(np.where(counts_only, -1, begin)[counted], begin[sure]).astype(np.int32)
-                        ),
-                        "n": pa.array(np.where(counts_only, 2, 1)[rows].astype(np.int32)),
+                        "start": pa.array(start.astype(np.int32)),
+                        "n": pa.array(n.astype(np.int32)),
                     }
                 )
 
@@ -234,19 +234,20 @@ def dedup_passages(
     )
 
     # the first of equal texts stands for all of them
-    chosen = source.join(owners, key).where(F.col("doc_id").eqNullSafe(F.col("owner"))).join(wanted, key)
+    # (not a key of the join, so that the texts' exchange is the one that the last join uses)
+    is_owner = (F.col("doc_id") == F.col("owner")) | (F.col("doc_id").isNull() & F.col("owner").isNull())
+    chosen = source.join(owners, key).where(is_owner).join(wanted, key)
     chosen = chosen.select(*key, "text", "anchors", "hot_anchors", F.least("copies", F.lit(2)).cast("int").alias("n"))
     windows = chosen.mapInArrow(
         _window_rows(window, gram), "kind int, h1 long, h2 int, t1 long, t2 long, start int, n int"
     )
-    # few rows per window: shuffled once, counted where they lie, and met again by the same exchange
-    cold = windows.where("kind = 0").select("h1", "h2", *key, "start", "n").repartition("h1", "h2")
-    common = windows.where("kind = 1").select("h1", "h2", *key, "start", "n")
-    hits = windows.where("kind = 2").select(*key, "start")
-    for rows in (cold, common):
-        counted = rows.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-        found = rows.where("start >= 0").join(counted, ["h1", "h2"], "left_semi")
-        hits = hits.union(found.select(*key, "start"))
+    # few rows per window under an uncommon anchor: they meet in one sort
+    total = F.sum("n").over(Window.partitionBy("h1", "h2"))
+    cold = windows.where("kind = 0").withColumn("total", total).where("total > 1 AND start >= 0")
+    common = windows.where("kind = 1")
+    counted = common.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
+    common = common.where("start >= 0").join(counted, ["h1", "h2"], "left_semi")
+    hits = cold.select(*key, "start").union(common.select(*key, "start"))
     hits = hits.groupBy(*key).agg(F.collect_set("start").alias("starts"))
 
     marked = source.join(owners, key).join(hits, key, "left").select("doc_id", "text", "copies", "starts")
