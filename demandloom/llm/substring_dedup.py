@@ -110,6 +110,7 @@ def _window_rows(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("stands_for_all"))
             for part, words in _slices(batch):
                 first_lane = words.hashes()
                 starts, h1 = H.window_hashes(first_lane, words.first, window)
@@ -234,10 +235,12 @@ def dedup_passages(
     )
 
     # the first of equal texts stands for all of them
-    # (not a key of the join, so that the texts' exchange is the one that the last join uses)
-    is_owner = (F.col("doc_id") == F.col("owner")) | (F.col("doc_id").isNull() & F.col("owner").isNull())
-    chosen = source.join(owners, key).where(is_owner).join(wanted, key)
-    chosen = chosen.select(*key, "text", "anchors", "hot_anchors", F.least("copies", F.lit(2)).cast("int").alias("n"))
+    # (marked, not filtered: as a key of the join it would have the texts shuffled once more)
+    chosen = source.join(owners, key).join(wanted, key)
+    chosen = chosen.select(
+        *key, "text", "anchors", "hot_anchors", F.least("copies", F.lit(2)).cast("int").alias("n"),
+        F.col("doc_id").eqNullSafe(F.col("owner")).alias("stands_for_all"),
+    )
     windows = chosen.mapInArrow(
         _window_rows(window, gram), "kind int, h1 long, h2 int, t1 long, t2 long, start int, n int"
     )
