@@ -7,10 +7,10 @@ anchors, so a window whose anchor occurs once in the corpus cannot repeat. Only
 windows under repeated anchors are shuffled and counted. The repeated ones go
 back to their texts, where overlapping windows merge into intervals.
 
-Equal texts are folded: one of them stands for all and counts twice. Windows under anchors that are
-common (a hot passage) are folded by partial sums before the shuffle and found again by a plain
-equi-join, whose hot keys adaptive execution splits. All others have few rows per window; they are
-shuffled once and counted in place. The shuffled texts serve both joins; Spark reuses the exchange.
+Equal texts are folded: one of them stands for all and counts twice. Windows are shuffled once and
+counted where they meet. Those under common anchors (a hot passage) are dealt out by a salt; nearly all
+meet an equal in their part, the rest look up the sum over all parts. The shuffled
+texts serve both joins; Spark reuses the exchange.
 
 Defined results: null or empty texts and texts shorter than a window keep all
 their words unless the whole text is one repeated window; rows that repeat an id
@@ -34,8 +34,9 @@ _INTERVALS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 WINDOW = 35
 GRAM = 6
-# Windows under an anchor with more occurrences are counted by partial sums.
+# Windows under an anchor with more occurrences are dealt out over SALTS parts.
 HOT_ANCHOR = 1000
+SALTS = 64
 
 
 def window_anchors(words: np.ndarray, first: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple:
@@ -244,13 +245,15 @@ def dedup_passages(
     windows = chosen.mapInArrow(
         _window_rows(window, gram), "kind int, h1 long, h2 int, t1 long, t2 long, start int, n int"
     )
-    # few rows per window under an uncommon anchor: they meet in one sort
-    total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    cold = windows.where("kind = 0").withColumn("total", total).where("total > 1 AND start >= 0")
-    common = windows.where("kind = 1")
-    counted = common.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-    common = common.where("start >= 0").join(counted, ["h1", "h2"], "left_semi")
-    hits = cold.select(*key, "start").union(common.select(*key, "start"))
+    # a window under an uncommon anchor has few rows, which meet in one sort; the others are dealt out by a salt,
+    # and only those that are alone in their part ask for the sum over all parts
+    salt = F.when(F.col("kind") == 1, F.pmod(F.hash("t1"), F.lit(SALTS))).otherwise(0)
+    total = F.sum("n").over(Window.partitionBy("h1", "h2", "salt"))
+    met = windows.withColumn("salt", salt).withColumn("total", total).where("start >= 0")
+    alone = met.where("kind = 1 AND total = 1").select("h1", "h2", *key, "start")
+    common = windows.where("kind = 1").groupBy("h1", "h2").agg(F.sum("n").alias("sum")).where("sum > 1")
+    alone = alone.join(common.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    hits = met.where("total > 1").select(*key, "start").union(alone.select(*key, "start"))
     hits = hits.groupBy(*key).agg(F.collect_set("start").alias("starts"))
 
     marked = source.join(owners, key).join(hits, key, "left").select("doc_id", "text", "copies", "starts")
