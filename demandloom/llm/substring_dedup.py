@@ -253,7 +253,8 @@ def dedup_passages(
     alone = met.where("kind = 1 AND total = 1").select("h1", "h2", *key, "start")
     common = windows.where("kind = 1").groupBy("h1", "h2").agg(F.sum("n").alias("sum")).where("sum > 1")
     alone = alone.join(common.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    hits = met.where("total > 1").select(*key, "start").union(alone.select(*key, "start"))
+    # (naming kind here gives both uses the same columns, so one exchange serves them)
+    hits = met.where("total > 1 AND kind IN (0, 1)").select(*key, "start").union(alone.select(*key, "start"))
     hits = hits.groupBy(*key).agg(F.collect_set("start").alias("starts"))
 
     marked = source.join(owners, key).join(hits, key, "left").select("doc_id", "text", "copies", "starts")
