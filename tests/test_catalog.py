@@ -55,4 +55,5 @@ def test_flagship(spark):
 def test_contract():
     queries, oracle = driver.queries(), driver.oracle_sql()
     assert set(oracle) <= set(queries) and all(callable(q) for q in queries.values())
-    assert len(queries) - len(oracle) <= 10
+    # of this catalog; the training-data queries have tests of their own
+    assert sum(e.sql is None for e in ENTRIES.values()) <= 10
