@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from demandloom.catalog.base import (
     EVENT_FOLDS,
+    LAST_DAY,
     LAST_FOLD,
     MODELS,
     TEST_ROWS,
@@ -31,7 +32,7 @@ EVENT_MODELS = ("moving_avg_28", "seasonal_naive_7")
 
 
 def _truth(spark, sf, first, *columns):
-    return day_slice(feature_table(spark, sf), first, None, ["id", "d", "sales", *columns])
+    return day_slice(feature_table(spark, sf), first, LAST_DAY, ["id", "d", "sales", *columns])
 
 
 def _segments(spark, sf):

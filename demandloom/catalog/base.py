@@ -20,9 +20,9 @@ class Entry(NamedTuple):
     sql: str | None
 
 
-# Cutoffs on the derived panel.
+# Cutoffs on the derived panel; days after LAST_DAY are in the panel, but no fold tests them.
 HORIZON = retail.HORIZON
-LAST_DAY = retail.N_DAYS
+LAST_DAY = retail.LAST_FOLD_DAY
 TRAIN_END = LAST_DAY - HORIZON
 FOLDS = expanding_folds(3, HORIZON, LAST_DAY)
 EVENT_FOLDS = expanding_folds(12, HORIZON, LAST_DAY)
@@ -81,6 +81,10 @@ _FLAG_RULES = [
 ]
 
 RAW = f"""
+span AS (
+  SELECT least(min(n), 1) AS first, greatest(max(n), {retail.LAST_FOLD_DAY}) AS last
+  FROM (SELECT CAST(date_diff('day', DATE '{retail.FIRST_DATE}', CAST(l_shipdate AS DATE)) AS INTEGER) + 1 AS n FROM lineitem)
+),
 raw AS (
   SELECT p_type AS cat_id,
          p_type || '_' || CASE WHEN p_size <= 25 THEN '1' ELSE '2' END AS dept_id,
@@ -95,6 +99,7 @@ raw AS (
   JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey
+  WHERE l_shipdate IS NOT NULL
 ),
 daily AS (
   SELECT dept_id || '_' || kind || '_' || store_id AS id, dept_id || '_' || kind AS item_id,
@@ -104,15 +109,14 @@ daily AS (
 ),
 ids AS (SELECT DISTINCT id, item_id, dept_id, cat_id, store_id, state_id FROM daily),
 days AS (
-  SELECT d, date, CAST((d - 1) // 7 AS INTEGER) AS wm_yr_wk,
+  SELECT d, date, CAST(floor((d - 1) / 7) AS INTEGER) AS wm_yr_wk,
          {_case([(c, f"'{n}'") for c, n, _ in _EVENT_RULES], "NULL")} AS event_name_1,
          {_case([(c, f"'{k}'") for c, _, k in _EVENT_RULES], "NULL")} AS event_type_1
-  FROM (SELECT CAST(range AS INTEGER) AS d,
-               CAST(DATE '{retail.FIRST_DATE}' + CAST(range - 1 AS INTEGER) AS DATE) AS date
-        FROM range(1, {retail.N_DAYS + 1}))
+  FROM (SELECT d, CAST(DATE '{retail.FIRST_DATE}' + CAST(d - 1 AS INTEGER) AS DATE) AS date
+        FROM (SELECT CAST(unnest(range(first, last + 1)) AS INTEGER) AS d FROM span))
 ),
 price AS (
-  SELECT store_id, item_id, CAST((d - 1) // 7 AS INTEGER) AS wm_yr_wk,
+  SELECT store_id, item_id, CAST(floor((d - 1) / 7) AS INTEGER) AS wm_yr_wk,
          CAST(sum(price_sum) AS DOUBLE) / sum(price_n) AS sell_price
   FROM daily GROUP BY ALL
 )"""

@@ -18,12 +18,12 @@ def _sales(spark, sf):
     return retail.panel(spark, sf).select("id", "d", "sales")
 
 
-def _events(spark):
-    return CL.event_days(retail.event_calendar(spark))
+def _events(spark, sf):
+    return CL.event_days(retail.event_calendar(spark, sf))
 
 
 def features(spark, sf):
-    return build_features(retail.panel(spark, sf), _events(spark))
+    return build_features(retail.panel(spark, sf), _events(spark, sf))
 
 
 def _prices(spark, sf):
@@ -169,7 +169,7 @@ ENTRIES: dict[str, Entry] = {
         with_panel(f"SELECT id, {big('d')}, CAST(date AS VARCHAR) AS date, {_DATE_SELECT} FROM panel"),
     ),
     "cl_event_distances": entry(
-        lambda s, sf: CL.event_features(retail.panel(s, sf).select("id", "d", "event_name_1"), _events(s)), _EVENT_SQL
+        lambda s, sf: CL.event_features(retail.panel(s, sf).select("id", "d", "event_name_1"), _events(s, sf)), _EVENT_SQL
     ),
     "cl_event_distances_panel_days": entry(
         lambda s, sf: CL.event_features(retail.panel(s, sf).select("id", "d", "event_name_1")), _EVENT_SQL

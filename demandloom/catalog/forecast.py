@@ -108,7 +108,7 @@ def model_table(spark, sf):
 
 
 def _future(table):
-    return table.where(F.col("d") > TRAIN_END).select("id", "d")
+    return P.day_slice(table, TRAIN_END + 1, TRAIN_END + HORIZON, ["id", "d"])
 
 
 def _linear(spark, sf):
@@ -117,7 +117,7 @@ def _linear(spark, sf):
 
 
 def fitted_trees(table, columns):
-    return RG.fit_trees(table, columns, TRAIN_END, rounds=12, depth=5, step=0.2)
+    return RG.fit_trees(table, columns, TRAIN_END)
 
 
 def _trees(spark, sf):

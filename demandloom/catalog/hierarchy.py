@@ -42,7 +42,7 @@ BRIDGE_CTE = f"br AS ({_bridge_sql(H.LEVELS, 'ids')})"
 
 
 def meta(spark, sf):
-    return day_slice(panel_table(spark, sf), TRAIN_END, TRAIN_END, ID_COLS)
+    return series_dimension(day_slice(panel_table(spark, sf), None, TRAIN_END, ID_COLS))
 
 
 def _dimension(spark, sf):
@@ -50,7 +50,7 @@ def _dimension(spark, sf):
 
 
 def _test(spark, sf):
-    return day_slice(panel_table(spark, sf), TRAIN_END + 1, None, [*ID_COLS, "d", "sales"])
+    return day_slice(panel_table(spark, sf), TRAIN_END + 1, TRAIN_END + HORIZON, [*ID_COLS, "d", "sales"])
 
 
 def _sales(spark, sf):

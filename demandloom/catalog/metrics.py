@@ -39,7 +39,7 @@ RUNS = [(m,) for m in MODELS]
 
 
 def actuals(spark, sf):
-    return day_slice(panel_table(spark, sf), TRAIN_END + 1, None, ["id", "d", "sales"])
+    return day_slice(panel_table(spark, sf), TRAIN_END + 1, TRAIN_END + HORIZON, ["id", "d", "sales"])
 
 
 def _pinball_rows(spark, sf):
@@ -62,13 +62,11 @@ def _scales(spark, sf):
 
 
 def _weights(spark, sf):
-    panel = panel_table(spark, sf)
-    dimension = day_slice(panel, TRAIN_END, TRAIN_END, ID_COLS)
-    return M.level_weights(M.leaf_revenue(panel, TRAIN_END).join(dimension, "id"))
+    return M.level_weights(M.leaf_revenue(panel_table(spark, sf), TRAIN_END, keys=ID_COLS))
 
 
 def _rmsse(spark, sf):
-    test = day_slice(panel_table(spark, sf), TRAIN_END + 1, None, [*ID_COLS, "d", "sales"])
+    test = day_slice(panel_table(spark, sf), TRAIN_END + 1, TRAIN_END + HORIZON, [*ID_COLS, "d", "sales"])
     leaves = test.join(last_fold(spark, sf), ["id", "d"])
     return M.node_rmsse(leaves, _scales(spark, sf), ("model",))
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from demandloom.catalog.base import (
     HORIZON,
-    LAST_DAY,
     PANEL_SELECT,
     TRAIN_END,
     Entry,
@@ -40,7 +39,8 @@ def _clusters(spark, sf):
 def _violations(spark, sf):
     panel = retail.panel(spark, sf)
     n_series = retail.daily_sales(spark, sf).select("id").distinct().count()
-    return P.violation_counts(panel, n_series, LAST_DAY)
+    first, last = retail.span(spark, sf).first()
+    return P.violation_counts(panel, n_series, last - first + 1)
 
 
 ENTRIES: dict[str, Entry] = {
@@ -49,7 +49,7 @@ ENTRIES: dict[str, Entry] = {
         with_panel(f"SELECT id, item_id, dept_id, cat_id, store_id, state_id, {big('d', 'sales')} FROM panel"),
     ),
     "pn_join_calendar": entry(
-        lambda s, sf: P.join_calendar(_long(s, sf), retail.calendar(s)),
+        lambda s, sf: P.join_calendar(_long(s, sf), retail.calendar(s, sf)),
         with_panel(
             "SELECT id, item_id, dept_id, cat_id, store_id, state_id, "
             f"{big('d', 'sales', 'wm_yr_wk', 'snap')}, CAST(date AS VARCHAR) AS date, "
@@ -57,7 +57,7 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "pn_own_state_flag": entry(
-        lambda s, sf: P.join_calendar(_long(s, sf), retail.calendar(s)).groupBy("state_id").agg(
+        lambda s, sf: P.join_calendar(_long(s, sf), retail.calendar(s, sf)).groupBy("state_id").agg(
             F.sum("snap").alias("flag_days"), F.sum(F.col("snap") * F.col("sales")).alias("flag_sales")
         ),
         with_panel(
@@ -73,7 +73,7 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "pn_assemble": entry(
-        lambda s, sf: P.assemble(retail.wide_sales(s, sf), retail.calendar(s), retail.prices(s, sf)),
+        lambda s, sf: P.assemble(retail.wide_sales(s, sf), retail.calendar(s, sf), retail.prices(s, sf)),
         with_panel(f"SELECT {PANEL_SELECT} FROM panel"),
     ),
     "pn_panel": entry(retail.panel, with_panel(f"SELECT {PANEL_SELECT} FROM panel")),
@@ -87,10 +87,10 @@ ENTRIES: dict[str, Entry] = {
     "pn_violations": entry(
         _violations,
         with_panel(
-            f"""SELECT CAST(abs(count(*) - (SELECT count(*) FROM ids) * {LAST_DAY}) AS BIGINT) AS row_gap,
+            f"""SELECT CAST(abs(count(*) - (SELECT count(*) FROM ids) * (SELECT count(*) FROM days)) AS BIGINT) AS row_gap,
             count(*) FILTER (sales IS NULL) AS null_sales, count(*) FILTER (sales < 0) AS negative_sales,
-            CAST(abs(count(DISTINCT d) - {LAST_DAY}) AS BIGINT) AS day_gap,
-            CAST(abs(count(DISTINCT date) - {LAST_DAY}) AS BIGINT) AS date_gap,
+            CAST(abs(count(DISTINCT d) - (SELECT count(*) FROM days)) AS BIGINT) AS day_gap,
+            CAST(abs(count(DISTINCT date) - (SELECT count(*) FROM days)) AS BIGINT) AS date_gap,
             count(*) FILTER (sales > 0 AND sell_price IS NULL) AS sold_without_price FROM panel"""
         ),
     ),

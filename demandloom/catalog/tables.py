@@ -38,7 +38,7 @@ def _sales_scan(spark, sf):
 
 def _calendar_scan(spark, sf):
     """Days as read from a calendar file with columns the scan has to drop."""
-    wide = retail.calendar(spark).withColumns({"weekday": F.date_format("date", "EEEE"), "year": F.year("date")})
+    wide = retail.calendar(spark, sf).withColumns({"weekday": F.date_format("date", "EEEE"), "year": F.year("date")})
     calendar = raw.load_calendar(spark, _csv(wide, scratch_path(spark, "calendar")))
     joined = P.join_calendar(retail.dense_sales(spark, sf).select(*P.ID_COLS, "d", "sales"), calendar)
     return joined.groupBy("date", "wm_yr_wk", "event_name_1", "event_type_1").agg(

@@ -1,8 +1,8 @@
 """Features from the target. At day t they see sales up to t - horizon only.
 
 Rolling mean, deviation and zero share come from running totals: a total up to
-``shift`` days ago minus the total up to ``shift + window`` days ago. Sales are
-whole numbers, so the totals are exact, and a 90-day window costs as little as a
+``shift`` days ago minus the total up to ``shift + window`` days ago. The totals
+are longs or decimals and so exact, and a 90-day window costs as little as a
 7-day one. Only the median needs the values themselves: the longest window is
 gathered once per row and the shorter ones are its tails.
 """
@@ -68,10 +68,12 @@ def rolling_features(
     """``r_<stat>_<window>`` over the window that ends ``shift`` days ago.
 
     Null while fewer than half the window's days (2 at least) have sales.
+    Totals are exact: whole units as longs, other sales as decimals to the sixth place.
     """
     _refuse_leak("rolling shift", [shift], horizon)
     windows, stats = tuple(windows), tuple(stats)
-    units = F.col("sales").cast("long")
+    whole = isinstance(df.schema["sales"].dataType, T.IntegralType)
+    units = F.col("sales").cast("long" if whole else "decimal(18,6)")
     totals = {
         "_n": F.count(units),
         "_s": F.sum(units),
@@ -92,7 +94,7 @@ def rolling_features(
     for w in windows:
         n, s, q = inside("_n", w), inside("_s", w), inside("_q", w)
         values = {
-            "mean": s / n,
+            "mean": s.cast("double") / n,
             "std": F.sqrt(ratio((n * q - s * s).cast("double"), n * (n - 1))),
             "zero_frac": inside("_z", w) / n,
         }

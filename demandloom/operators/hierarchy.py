@@ -117,8 +117,10 @@ def aggregate(
 
 
 def with_keys(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """Attach the key columns of the series to rows keyed by id."""
-    return rows.join(meta, "id")
+    """Attach the key columns of the series to rows keyed by id; a series unknown to ``meta`` fails the job."""
+    found = rows.join(meta.withColumn("_known", F.lit(True)), "id", "left")
+    refused = F.raise_error(F.concat(F.lit("series without keys: "), F.coalesce("id", F.lit("null")))).cast("boolean")
+    return found.where(F.coalesce("_known", refused)).drop("_known")
 
 
 def bottom_up(

@@ -90,12 +90,19 @@ def pinball(actual: Column, predicted: Column, q: Column) -> Column:
 
 
 def quantile_report(quantiles: DataFrame, actuals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(*by, q, pinball, coverage) from quantile rows (id, d, q, yhat_q)."""
-    joined = quantiles.join(actuals.select("id", "d", "sales"), ["id", "d"])
-    return joined.groupBy(*by, "q").agg(
+    """(*by, q, pinball, coverage) from quantile rows (id, d, q, yhat_q).
+
+    The job fails on a quantile row without an actual, as ``point_metrics`` does.
+    """
+    truth = actuals.select("id", "d", "sales", F.lit(True).alias("_known"))
+    totals = quantiles.join(truth, ["id", "d"], "left").groupBy(*by, "q").agg(
         F.avg(pinball(F.col("sales"), F.col("yhat_q"), F.col("q"))).alias("pinball"),
         F.avg((F.col("sales") <= F.col("yhat_q")).cast("double")).alias("coverage"),
+        F.count_if(F.col("_known").isNull()).alias("_unmatched"),
     )
+    refused = F.raise_error(F.format_string("%d quantile rows without an actual", "_unmatched")).cast("double")
+    checked = [F.when(F.col("_unmatched") > 0, refused).otherwise(F.col(name)).alias(name) for name in ("pinball", "coverage")]
+    return totals.select(*by, "q", *checked)
 
 
 def mean_pinball(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -119,10 +126,13 @@ def naive_scale(node_history: DataFrame, value: str = "sales", exclude_days: Dat
     return steps.groupBy("level", "key").agg(F.coalesce(F.avg("_sq"), F.lit(0.0)).alias("scale"))
 
 
-def leaf_revenue(panel: DataFrame, train_end: int, days: int = REVENUE_DAYS) -> DataFrame:
-    """(id, revenue) over the last ``days`` training days; no price counts as 0."""
+def leaf_revenue(panel: DataFrame, train_end: int, days: int = REVENUE_DAYS, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """(*keys, revenue) over the last ``days`` training days; no price counts as 0.
+
+    A series needs a row on any of these days, not on ``train_end``. One without has no revenue.
+    """
     recent = day_slice(panel, train_end - days + 1, train_end)
-    return recent.groupBy("id").agg(F.sum(F.col("sales") * F.coalesce("sell_price", F.lit(0.0))).alias("revenue"))
+    return recent.groupBy(*keys).agg(F.sum(F.col("sales") * F.coalesce("sell_price", F.lit(0.0))).alias("revenue"))
 
 
 def level_weights(revenue: DataFrame, levels: Sequence[Level] = LEVELS) -> DataFrame:
@@ -143,14 +153,14 @@ def node_rmsse(
 ) -> DataFrame:
     """(*by, level, key, rmsse) from leaf rows with key columns, d, yhat and sales.
 
-    Forecast and actual are summed up the levels together. A node with scale 0
-    has rmsse 0.
+    Forecast and actual are summed up the levels together. A node with scale 0,
+    or without any history, has rmsse 0.
     """
     filled = leaves.withColumn("yhat", F.coalesce("yhat", F.lit(0.0)))
     per_node = aggregate(filled, ["yhat", "sales"], (*by, "d"), levels)
     error = F.col("yhat") - F.col("sales")
     mse = per_node.groupBy(*by, "level", "key").agg(F.avg(error * error).alias("_mse"))
-    joined = mse.join(scales, ["level", "key"])
+    joined = mse.join(scales, ["level", "key"], "left")
     return joined.select(
         *by, "level", "key",
         F.when(F.col("scale") > 0, F.sqrt(ratio(F.col("_mse"), F.col("scale")))).otherwise(0.0).alias("rmsse"),

@@ -86,18 +86,25 @@ def clustered(panel: DataFrame, partitions: int | None = None) -> DataFrame:
     return spread.sortWithinPartitions("id", "d")
 
 
-def densify(rows: DataFrame, first_day: int, last_day: int, fill: dict[str, object], keep: list[str]) -> DataFrame:
+def densify(rows: DataFrame, first_day: int | Column, last_day: int | Column, fill: dict[str, object], keep: list[str]) -> DataFrame:
     """One row per (series, day) from sparse rows unique in (id, d).
 
     Each row also emits the empty days up to the next row of its series, so
     there is neither a series x day product nor a join, and the rows stay
     partitioned by ``id`` for the windows that follow. ``keep`` are columns that
-    are constant in a series; every other column takes its ``fill`` value.
+    are constant in a series; every other column takes its ``fill`` value. A row
+    without a day, or outside first_day..last_day, fails the job.
     """
-    rows = rows.where(F.col("d").between(first_day, last_day))
     order = by_series()
-    begin = F.when(F.lag("d").over(order).isNull(), F.lit(first_day)).otherwise(F.col("d"))
-    end = F.coalesce(F.lead("d").over(order) - 1, F.lit(last_day))
+    first, last = F.lit(first_day), F.lit(last_day)
+    inside = F.coalesce(F.col("d").between(first, last), F.lit(False))
+    message = F.format_string("day %s is outside %s to %s", F.col("d").cast("string"), first.cast("string"), last.cast("string"))
+    begin = (
+        F.when(~inside, F.raise_error(message).cast("int"))
+        .when(F.lag("d").over(order).isNull(), first)
+        .otherwise(F.col("d"))
+    )
+    end = F.coalesce(F.lead("d").over(order) - 1, last)
     spans = rows.withColumn("_days", F.sequence(begin.cast("int"), end.cast("int")))
     filled = [
         F.when(F.col("_day") == F.col("d"), F.col(name)).otherwise(F.lit(value)).alias(name)

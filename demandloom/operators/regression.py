@@ -22,6 +22,7 @@ from demandloom.operators.panel import day_slice
 
 # Training spans in days and the Tweedie power.
 LINEAR_TRAIN_DAYS = 180
+MIN_BINS = 64
 TREE_TRAIN_DAYS = 365
 VALID_DAYS = 28
 TWEEDIE_POWER = 1.1
@@ -114,10 +115,14 @@ def fit_trees(
     """Boosted trees on all horizon days at once.
 
     The last ``valid_days`` only decide when to stop. Rows and features are
-    subsampled at 0.8.
+    subsampled at 0.8. Categories are never split by more bins than they have
+    values, whatever their number.
     """
     rows = _as_numbers(training_rows(features, train_end, train_days, valid_days), columns)
     categories = list(categories)
+    sizes = rows.agg(*[F.count_distinct(c) for c in categories]).first() if categories else ()
+    # one more for values that the indexer has not seen
+    bins = max([MIN_BINS, *(n + 1 for n in sizes)])
     indexed = [f"_{c}_code" for c in categories]
     stages = [
         *(
@@ -129,7 +134,7 @@ def fit_trees(
         GBTRegressor(
             featuresCol="_x", labelCol="sales", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed,
             subsamplingRate=0.8, featureSubsetStrategy="0.8", validationIndicatorCol="is_valid",
-            maxBins=64, minInstancesPerNode=20,
+            maxBins=bins, minInstancesPerNode=20,
         ),
     ]
     return _fit(rows, stages, columns, categories)

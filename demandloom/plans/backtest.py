@@ -48,8 +48,7 @@ def score_levels(
     """
     history = day_slice(panel, None, train_end, [*ID_COLS, "d", "sales"])
     scales = M.naive_scale(H.aggregate(history, ["sales"], ("d",), levels))
-    dimension = day_slice(panel, train_end, train_end, ID_COLS)
-    weights = M.level_weights(M.leaf_revenue(panel, train_end).join(dimension, "id"), levels)
+    weights = M.level_weights(M.leaf_revenue(panel, train_end, keys=ID_COLS), levels)
     actuals = day_slice(panel, train_end + 1, train_end + horizon, [*ID_COLS, "d", "sales"])
     if runs is None:
         known = forecasts.agg(F.collect_set(F.struct(*by))).scalar()

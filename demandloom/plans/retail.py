@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from demandloom.operators import panel as P
 
-# Fixed values of the derived panel.
+# Fixed values of the derived panel: the date that day numbers count from, and the day the folds end at.
+# The panel's own span comes from the data (``span``).
 FIRST_DATE = "1995-01-02"
-N_DAYS = 2499
+LAST_FOLD_DAY = 2499
 HORIZON = 28
 FIRST_FLAG_DAY = {"AFRICA": 1, "AMERICA": 3, "ASIA": 5, "EUROPE": 7, "MIDDLE EAST": 9}
 FLAG_DAYS = 10
@@ -25,12 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _day_number(date):
+    return F.datediff(date, F.lit(FIRST_DATE)) + 1
+
+
+def span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (first, last): the days of all line items, and at least day 1 and the last day of the folds."""
+    shipped = table(spark, sf_dir, "lineitem").select(_day_number(F.col("l_shipdate")).alias("d"))
+    return shipped.agg(
+        F.least(F.min("d"), F.lit(1)).alias("first"), F.greatest(F.max("d"), F.lit(LAST_FOLD_DAY)).alias("last")
+    )
+
+
 def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units and unit prices per (series, day) with at least one line item.
 
     Only five columns of lineitem are read. The group keys stay short codes; the
     id strings are built after the aggregation, on one row per series and day.
-    Partial aggregation folds a hot series before it is shuffled.
+    Partial aggregation folds a hot series before it is shuffled. A line item
+    that was not shipped yet has no day and is left out.
     """
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     regions = table(spark, sf_dir, "region").join(
@@ -44,6 +58,7 @@ def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (
         table(spark, sf_dir, "lineitem")
         .select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+        .where(F.col("l_shipdate").isNotNull())
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
     )
@@ -51,7 +66,7 @@ def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_half": F.when(F.col("p_size") <= 25, 1).otherwise(2),
         "_kind": F.col("p_size") % 3,
         "_door": F.col("l_suppkey") % 2 + 1,
-        "d": F.datediff(F.col("l_shipdate"), F.lit(FIRST_DATE)) + 1,
+        "d": _day_number(F.col("l_shipdate")),
     }
     units = lines.withColumns(codes).groupBy("p_type", "_half", "_kind", "r_name", "_door", "d").agg(
         F.sum("l_quantity").cast("long").alias("sales"),
@@ -102,10 +117,10 @@ def _flag(date, first_day: int):
     return F.dayofmonth(date).between(first_day, first_day + FLAG_DAYS - 1).cast("byte")
 
 
-def calendar(spark: SparkSession) -> DataFrame:
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per day of the panel: date, week, events and one flag per state."""
     date = F.col("date")
-    days = spark.range(1, N_DAYS + 1).select(F.col("id").cast("int").alias("n")).withColumn("date", _date(F.col("n")))
+    days = span(spark, sf_dir).select(F.explode(F.sequence("first", "last")).alias("n")).withColumn("date", _date(F.col("n")))
     return days.select(
         F.concat(F.lit(P.DAY_PREFIX), F.col("n").cast("string")).alias("d"),
         "date",
@@ -118,16 +133,17 @@ def calendar(spark: SparkSession) -> DataFrame:
     )
 
 
-def event_calendar(spark: SparkSession) -> DataFrame:
+def event_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(d, event_name_1) of the full calendar, with the integer day."""
-    return calendar(spark).select(F.substring("d", len(P.DAY_PREFIX) + 1, 10).cast("int").alias("d"), "event_name_1")
+    return calendar(spark, sf_dir).select(F.substring("d", len(P.DAY_PREFIX) + 1, 10).cast("int").alias("d"), "event_name_1")
 
 
 def dense_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(identity, d, sales, price parts), one row per series and day."""
-    return P.densify(
-        daily_sales(spark, sf_dir), 1, N_DAYS, {"sales": 0, "price_sum": None, "price_n": None}, P.ID_COLS
-    )
+    days = span(spark, sf_dir)
+    first, last = days.select("first").scalar(), days.select("last").scalar()
+    fill = {"sales": 0, "price_sum": None, "price_n": None}
+    return P.densify(daily_sales(spark, sf_dir), first, last, fill, P.ID_COLS)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,5 +174,6 @@ def wide_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per series, one column per day: the layout of the raw sales file."""
     by_day = F.array_sort(F.collect_list(F.struct("d", "sales")))
     series = dense_sales(spark, sf_dir).groupBy(*P.ID_COLS).agg(by_day.alias("_days"))
-    days = [f"_days[{n}].sales AS {P.DAY_PREFIX}{n + 1}" for n in range(N_DAYS)]
+    first, last = span(spark, sf_dir).first()
+    days = [f"_days[{n - first}].sales AS `{P.DAY_PREFIX}{n}`" for n in range(first, last + 1)]
     return series.selectExpr(*P.ID_COLS, *days)

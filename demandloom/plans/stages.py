@@ -40,7 +40,7 @@ def feature_table(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> Da
     """The feature table, partitioned by store."""
 
     def write(path: str) -> None:
-        events = calendar.event_days(retail.event_calendar(spark))
+        events = calendar.event_days(retail.event_calendar(spark, sf_dir))
         tables.write_features(build_features(panel_table(spark, sf_dir), events), path)
 
     return tables.read_features(spark, _stage(spark, sf_dir, "features", write, rebuild))

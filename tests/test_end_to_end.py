@@ -15,26 +15,26 @@ from demandloom.operators.metrics import expanding_folds
 from demandloom.plans.features import FEATURE_COLS, build_features
 from demandloom.sources import raw, tables
 
-DAYS = 120
+DAYS = 133
 
 
 def test_raw_files_to_scores(spark, tmp_path):
-    rng = np.random.default_rng(0)
+    rng = np.random.default_rng(77)
     day_cols = ",".join(f"d_{d}" for d in range(1, DAYS + 1))
     sales = ["id,item_id,dept_id,cat_id,store_id,state_id," + day_cols]
-    for store, state, cat in (("CA_1", "CA", "FOODS"), ("TX_1", "TX", "HOBBIES")):
+    for store, state, cat in (("N_2", "N", "HOME"), ("S_4", "S", "LIGHT"), ("S_5", "S", "HOME")):
         for k in (1, 2):
             item = f"{cat}_1_{k}"
-            units = ",".join(str(v) for v in rng.poisson(3, DAYS))
+            units = ",".join(str(v) for v in rng.poisson(2 + 3 * k, DAYS))
             sales.append(f"{item}_{store},{item},{cat}_1,{cat},{store},{state},{units}")
-    calendar = ["d,date,wm_yr_wk,event_name_1,event_type_1,event_name_2,event_type_2,snap_CA,snap_TX"]
+    calendar = ["d,date,wm_yr_wk,event_name_1,event_type_1,event_name_2,event_type_2,snap_N,snap_S"]
     weeks = set()
     for d in range(1, DAYS + 1):
-        week = 11101 + (d - 1) // 7
+        week = 300 + (d + 2) // 7
         weeks.add(week)
-        calendar.append(f"d_{d},{dt.date(2011, 1, 28) + dt.timedelta(days=d)},{week},,,,,{int(d % 3 == 0)},{int(d % 4 == 0)}")
+        calendar.append(f"d_{d},{dt.date(2018, 3, 14) + dt.timedelta(days=d)},{week},,,,,{rng.integers(0, 2)},{rng.integers(0, 2)}")
     prices = ["store_id,item_id,wm_yr_wk,sell_price"]
-    prices += [f"{s},{c}_1_{k},{w},3.0" for s, c in (("CA_1", "FOODS"), ("TX_1", "HOBBIES")) for k in (1, 2) for w in sorted(weeks)]
+    prices += [f"{s},{c}_1_{k},{w},{rng.integers(200, 900) / 100}" for s, c in (("N_2", "HOME"), ("S_4", "LIGHT"), ("S_5", "HOME")) for k in (1, 2) for w in sorted(weeks)]
     for name, lines in (("sales", sales), ("calendar", calendar), ("prices", prices)):
         (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
 
@@ -43,18 +43,18 @@ def test_raw_files_to_scores(spark, tmp_path):
         raw.load_calendar(spark, str(tmp_path / "calendar.csv")),
         raw.load_prices(spark, str(tmp_path / "prices.csv")),
     )
-    assert P.validate(panel, 4, DAYS).first().price_missing_frac == 0.0
+    assert P.validate(panel, 6, DAYS).first().price_missing_frac == 0.0
     tables.write_panel(panel, str(tmp_path / "panel"))
     stored = spark.read.parquet(str(tmp_path / "panel"))
 
     tables.write_features(build_features(stored), str(tmp_path / "features"))
     features = tables.read_features(spark, str(tmp_path / "features"))
-    assert set(FEATURE_COLS) < set(features.columns) and features.count() == 4 * DAYS
+    assert set(FEATURE_COLS) < set(features.columns) and features.count() == 6 * DAYS
 
     end = DAYS - 28
     fold = expanding_folds(1, 28, DAYS)
     point = backtest(stored, fold, ["moving_avg_28"]).first()
-    assert point.n == 4 * 28 and 0 < point.wape < 2
+    assert point.n == 6 * 28 and 0 < point.wape < 2
     forecasts = baseline_forecasts(stored, fold, ["moving_avg_28"])
     scores = {r.level: r.wrmsse for r in score_levels(stored, forecasts.drop("fold"), end, 28).collect()}
     assert set(scores) == {n for n, _ in H.LEVELS} | {"overall"}

@@ -21,7 +21,7 @@ def _yhat(df):
 
 
 def test_naive_repeats_the_last_day(spark):
-    assert _yhat(FC.forecast("naive", _history(spark, [5, 3, 9, 7]), _future(spark, 5, 3))) == [7, 7, 7]
+    assert _yhat(FC.forecast("naive", _history(spark, [12, 0, 31, 8, 44, 17]), _future(spark, 7, 5))) == [17] * 5
 
 
 def test_naive_without_the_last_day_is_null(spark):
@@ -31,18 +31,21 @@ def test_naive_without_the_last_day_is_null(spark):
 
 
 def test_seasonal_naive_tiles_the_last_week(spark):
-    made = FC.forecast("seasonal_naive_7", _history(spark, list(range(10, 80, 10)) * 2), _future(spark, 15, 9))
-    assert _yhat(made) == [10, 20, 30, 40, 50, 60, 70, 10, 20]
+    values = np.random.default_rng(21).poisson(30, 23)
+    made = FC.forecast("seasonal_naive_7", _history(spark, values), _future(spark, 24, 17))
+    assert _yhat(made) == [values[-7:][k % 7] for k in range(17)]
 
 
 def test_moving_average_window(spark):
-    made = FC.forecast(FC.moving_average(4), _history(spark, range(1, 41)), _future(spark, 41, 2))
-    assert _yhat(made) == [38.5, 38.5]
+    values = np.random.default_rng(22).poisson(11, 50)
+    made = FC.forecast(FC.moving_average(9), _history(spark, values), _future(spark, 51, 3))
+    assert _yhat(made) == pytest.approx([values[-9:].mean()] * 3)
 
 
 def test_exponential_smoothing_is_the_last_ewm(spark):
-    made = FC.forecast(FC.exponential_smoothing(0.5), _history(spark, [2, 4, 8]), _future(spark, 4, 1))
-    assert _yhat(made)[0] == pytest.approx(pd.Series([2.0, 4.0, 8.0]).ewm(alpha=0.5).mean().iloc[-1])
+    values = np.random.default_rng(23).poisson(6, 31)
+    made = FC.forecast(FC.exponential_smoothing(0.35), _history(spark, values), _future(spark, 32, 1))
+    assert _yhat(made)[0] == pytest.approx(pd.Series(values.astype(float)).ewm(alpha=0.35).mean().iloc[-1])
 
 
 def test_smoothing_of_a_very_long_series(spark):

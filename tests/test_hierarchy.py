@@ -13,14 +13,19 @@ META = "id string, item_id string, dept_id string, cat_id string, store_id strin
 
 
 def _toy(spark):
-    rows = [(f"I{i}_S{s}", f"I{i}", "D1", "C1", f"S{s}", "ST1") for i in (1, 2) for s in (1, 2)]
+    """Three items of two categories in two stores of different states, one shelf empty."""
+    places = [("mug", "east"), ("mug", "west"), ("pan", "east"), ("rug", "west"), ("rug", "east")]
+    rows = [(f"{i}@{s}", i, "soft" if i == "rug" else "hard", "home" if i == "rug" else "cook", s, s[0]) for i, s in places]
     return spark.createDataFrame(rows, META)
 
 
+LEAVES = ("mug@east", "mug@west", "pan@east", "rug@west", "rug@east")
+
+
 def _crossed(spark):
     """Ids whose order differs from the order of their keys."""
-    keys = [("z1", "B", "Y"), ("z2", "A", "Y"), ("z3", "B", "X"), ("z4", "A", "X")]
-    return spark.createDataFrame([(i, item, "D", "C", store, "ST") for i, item, store in keys], META)
+    keys = [("k9", "fig", "p"), ("k4", "yam", "q"), ("k7", "fig", "r"), ("k1", "yam", "p"), ("k5", "oat", "q"), ("k2", "oat", "p")]
+    return spark.createDataFrame([(i, item, "pantry", "food", store, "gulf" if store == "r" else "hill") for i, item, store in keys], META)
 
 
 def _wide(spark):
@@ -56,7 +61,7 @@ def test_nodes_are_numbered_by_level_and_key(spark):
     assert [g[2] for g in got] == list(range(len(got)))
     order = {name: no for no, (name, _) in enumerate(H.LEVELS)}
     assert [g[:2] for g in got] == sorted([g[:2] for g in got], key=lambda g: (order[g[0]], g[1]))
-    assert got[0][:2] == ("total", H.TOTAL_KEY) and got[-1][:2] == ("item_store", "z4")
+    assert got[0][:2] == ("total", H.TOTAL_KEY) and got[-1][:2] == ("item_store", "k9")
 
 
 @pytest.mark.parametrize("make", [_toy, _crossed, _wide])
@@ -74,10 +79,10 @@ def test_grouping_sets_equal_bridge_sums(spark, make):
 
 def test_leaf_keys_keep_their_values(spark):
     meta = _crossed(spark)
-    values = {"z1": 5, "z2": 1, "z3": 9, "z4": 3}
+    values = {"k9": 14, "k4": 2, "k7": 21, "k1": 8, "k5": 0, "k2": 33}
     got = _dict(H.aggregate(_leaves(spark, meta, values), ["sales"]), "sales")
     assert {k: v for (level, k, _), v in got.items() if level == "item_store"} == values
-    assert got[("item", "A", 1)] == 4 and got[("store", "X", 1)] == 12 and got[("total", H.TOTAL_KEY, 1)] == 18
+    assert got[("item", "yam", 1)] == 10 and got[("store", "p", 1)] == 55 and got[("total", H.TOTAL_KEY, 1)] == 78
 
 
 def _base(spark, meta, seed=0, days=(1, 2), levels=H.LEVELS):
@@ -87,6 +92,12 @@ def _base(spark, meta, seed=0, days=(1, 2), levels=H.LEVELS):
     return spark.createDataFrame(rows, "level string, key string, d int, yhat double")
 
 
+def test_leaf_without_keys_is_refused(spark):
+    base = spark.createDataFrame([("item_store", "kite@east", 1, 2.0)], "level string, key string, d int, yhat double")
+    with pytest.raises(Exception, match="series without keys: kite@east"):
+        H.bottom_up(base, _toy(spark)).collect()
+
+
 def test_bottom_up_keeps_leaves_and_is_coherent(spark):
     meta = _crossed(spark)
     base = _base(spark, meta)
@@ -99,22 +110,22 @@ def test_bottom_up_keeps_leaves_and_is_coherent(spark):
 
 def test_top_down_spreads_the_total(spark):
     meta = _toy(spark)
-    history = _leaves(spark, meta, {"I1_S1": 10, "I1_S2": 20, "I2_S1": 30, "I2_S2": 40})
-    shares = H.proportions(history)
-    assert {r.id: round(r.share, 6) for r in shares.collect()} == {"I1_S1": 0.1, "I1_S2": 0.2, "I2_S1": 0.3, "I2_S2": 0.4}
+    sold = dict(zip(LEAVES, (6, 0, 13, 27, 4)))
+    shares = H.proportions(_leaves(spark, meta, sold))
+    assert {r.id: r.share for r in shares.collect()} == pytest.approx({i: v / 50 for i, v in sold.items()})
     base = _base(spark, meta)
     made = H.top_down(base, shares, meta)
     known, got = _dict(base), _dict(made)
     for d in (1, 2):
         total = known[("total", H.TOTAL_KEY, d)]
         assert got[("total", H.TOTAL_KEY, d)] == pytest.approx(total)
-        assert got[("item_store", "I2_S1", d)] == pytest.approx(0.3 * total)
+        assert got[("item_store", "rug@west", d)] == pytest.approx(0.54 * total)
     assert H.coherence_error(made, meta).first()[0] < 1e-9
 
 
 def test_proportions_without_sales_are_equal(spark):
-    shares = H.proportions(_leaves(spark, _toy(spark), dict.fromkeys(("I1_S1", "I1_S2", "I2_S1", "I2_S2"), 0)))
-    assert {r.share for r in shares.collect()} == {0.25}
+    shares = H.proportions(_leaves(spark, _toy(spark), dict.fromkeys(LEAVES, 0)))
+    assert {r.share for r in shares.collect()} == {0.2}
 
 
 def _dense(meta, base, levels, variance, residual=None, shrink=0.0):
@@ -217,10 +228,10 @@ def test_flat_base_is_incoherent(spark):
     meta = _toy(spark)
     history = None
     for d in range(1, 29):
-        part = _leaves(spark, meta, {"I1_S1": d, "I1_S2": 2, "I2_S1": 3, "I2_S2": 4}, day=d)
+        part = _leaves(spark, meta, dict(zip(LEAVES, (3 * d, 7, 0, 11, 5))), day=d)
         history = part if history is None else history.unionByName(part)
-    forecast = spark.createDataFrame([(i, 29, 1.0) for i in ("I1_S1", "I1_S2", "I2_S1", "I2_S2")], "id string, d int, yhat double")
+    forecast = spark.createDataFrame([(i, 29, 2.5) for i in LEAVES], "id string, d int, yhat double")
     base = H.flat_node_base(history, forecast, 28, 1)
     got = _dict(base)
-    assert got[("total", H.TOTAL_KEY, 29)] == pytest.approx(14.5 + 9) and got[("item_store", "I1_S1", 29)] == 1.0
+    assert got[("total", H.TOTAL_KEY, 29)] == pytest.approx(3 * 14.5 + 23) and got[("item_store", "mug@east", 29)] == 2.5
     assert H.coherence_error(base, meta).first()[0] > 0

@@ -1,37 +1,46 @@
-"""Raw files to panel, on two series of ten days."""
+"""Raw files to panel, on two drawn series over three weeks of five, five and two days."""
 
 from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from demandloom.operators import panel as P
 from demandloom.sources import raw, tables
 
-CA_SALES = [3, 0, 5, 2, 1, 0, 4, 2, 6, 1]
-TX_SALES = [0, 0, 0, 0, 0, 0, 0, 1, 0, 2]
-CA_FLAG = [1, 0, 1, 0, 0, 0, 0, 1, 0, 0]
-TX_FLAG = [0, 1, 0, 1, 0, 0, 0, 0, 1, 0]
+DAYS, WEEK_DAYS, EVENT_DAY = 12, 5, 4
+START = dt.date(2016, 5, 3)
+draw = np.random.default_rng(41)
+NORTH_SALES = draw.poisson(1.5, DAYS).tolist()
+# the lamp is not offered in the middle week and sells nothing there
+SOUTH_SALES = [0 if WEEK_DAYS <= i < 2 * WEEK_DAYS else int(draw.poisson(2)) for i in range(DAYS)]
+NORTH_FLAG, SOUTH_FLAG = draw.integers(0, 2, (2, DAYS)).tolist()
+PRICES = {("N_1", "KETTLE", 501): 18.75, ("N_1", "KETTLE", 502): 17.5, ("N_1", "KETTLE", 503): 19.25,
+          ("S_4", "LAMP", 501): 41.0, ("S_4", "LAMP", 503): 36.5}
+
+
+def _week(i):
+    return 501 + i // WEEK_DAYS
 
 
 @pytest.fixture(scope="module")
 def files(tmp_path_factory):
     root = tmp_path_factory.mktemp("raw")
-    days = [f"d_{i}" for i in range(1, 11)]
+    days = [f"d_{i}" for i in range(1, DAYS + 1)]
     sales = ["id,item_id,dept_id,cat_id,store_id,state_id," + ",".join(days)]
-    sales.append("A_CA,A,FOODS_1,FOODS,CA_1,CA," + ",".join(map(str, CA_SALES)))
-    sales.append("B_TX,B,HOBBIES_1,HOBBIES,TX_1,TX," + ",".join(map(str, TX_SALES)))
+    sales.append("KETTLE_N_1,KETTLE,HOME_2,HOME,N_1,N," + ",".join(map(str, NORTH_SALES)))
+    sales.append("LAMP_S_4,LAMP,LIGHT_1,LIGHT,S_4,S," + ",".join(map(str, SOUTH_SALES)))
     (root / "sales.csv").write_text("\n".join(sales) + "\n")
-    calendar = ["date,wm_yr_wk,weekday,d,event_name_1,event_type_1,event_name_2,event_type_2,snap_CA,snap_TX"]
-    for i in range(10):
-        date = dt.date(2011, 1, 29) + dt.timedelta(days=i)
-        event = "SuperBowl,Sporting" if i == 8 else ","
-        week = 11101 if i < 7 else 11102
-        calendar.append(f"{date},{week},x,d_{i + 1},{event},,,{CA_FLAG[i]},{TX_FLAG[i]}")
+    calendar = ["date,wm_yr_wk,weekday,d,event_name_1,event_type_1,event_name_2,event_type_2,snap_N,snap_S"]
+    for i in range(DAYS):
+        event = "Harvest,Cultural" if i + 1 == EVENT_DAY else ","
+        date = START + dt.timedelta(days=i)
+        calendar.append(f"{date},{_week(i)},x,d_{i + 1},{event},,,{NORTH_FLAG[i]},{SOUTH_FLAG[i]}")
     (root / "calendar.csv").write_text("\n".join(calendar) + "\n")
-    prices = ["store_id,item_id,wm_yr_wk,sell_price", "CA_1,A,11101,2.5", "CA_1,A,11102,2.24", "TX_1,B,11102,9.99"]
+    prices = ["store_id,item_id,wm_yr_wk,sell_price", *[f"{s},{i},{w},{p}" for (s, i, w), p in PRICES.items()]]
     (root / "prices.csv").write_text("\n".join(prices) + "\n")
     return root
 
@@ -47,10 +56,10 @@ def panel(spark, files):
 
 def test_scans_are_typed_and_projected(spark, files):
     sales = raw.load_sales(spark, str(files / "sales.csv"))
-    assert dict(sales.dtypes)["d_10"] == "smallint"
+    assert dict(sales.dtypes)[f"d_{DAYS}"] == "smallint"
     calendar = raw.load_calendar(spark, str(files / "calendar.csv"))
     assert "weekday" not in calendar.columns
-    assert dict(calendar.dtypes)["date"] == "date" and dict(calendar.dtypes)["snap_TX"] == "tinyint"
+    assert dict(calendar.dtypes)["date"] == "date" and dict(calendar.dtypes)["snap_S"] == "tinyint"
     assert dict(raw.load_prices(spark, str(files / "prices.csv")).dtypes)["sell_price"] == "float"
 
 
@@ -61,55 +70,55 @@ def test_missing_column_is_named(spark, files, tmp_path):
 
 
 def test_melt_values(panel, rows):
-    seen = rows(panel.where("id = 'A_CA'").select("d", "sales"), "d")
-    assert [r["sales"] for r in seen] == CA_SALES and [r["d"] for r in seen] == list(range(1, 11))
+    seen = rows(panel.where("id = 'KETTLE_N_1'").select("d", "sales"), "d")
+    assert [r["sales"] for r in seen] == NORTH_SALES and [r["d"] for r in seen] == list(range(1, DAYS + 1))
     assert panel.columns == P.PANEL_COLS
 
 
 def test_flag_of_own_state(panel, rows):
-    for series, expected in (("A_CA", CA_FLAG), ("B_TX", TX_FLAG)):
+    for series, expected in (("KETTLE_N_1", NORTH_FLAG), ("LAMP_S_4", SOUTH_FLAG)):
         assert [r["snap"] for r in rows(panel.where(F.col("id") == series).select("d", "snap"), "d")] == expected
 
 
 def test_unknown_state_gets_no_flag(spark):
-    df = spark.createDataFrame([("ZZ", 1)], "state_id string, snap_CA int")
+    df = spark.createDataFrame([("W", 1)], "state_id string, snap_N int")
     assert P.own_state_flag(df).first().snap == 0
 
 
 def test_event_and_weekly_price(panel, rows):
-    seen = rows(panel.where("id = 'A_CA'").select("d", "event_name_1", "sell_price"), "d")
-    assert [r["d"] for r in seen if r["event_name_1"]] == [9]
-    assert [round(r["sell_price"], 2) for r in seen] == [2.5] * 7 + [2.24] * 3
-    other = rows(panel.where("id = 'B_TX'").select("d", "sell_price"), "d")
-    assert [r["sell_price"] is None for r in other] == [True] * 7 + [False] * 3
+    for store, item in (("N_1", "KETTLE"), ("S_4", "LAMP")):
+        seen = rows(panel.where(F.col("item_id") == item).select("d", "event_name_1", "sell_price"), "d")
+        assert [r["d"] for r in seen if r["event_name_1"]] == [EVENT_DAY]
+        assert [r["sell_price"] for r in seen] == [PRICES.get((store, item, _week(i))) for i in range(DAYS)]
 
 
 def test_valid_panel_gives_summary(panel):
-    row = P.validate(panel, 2, 10).first()
-    assert (row.rows, row.series, row.days) == (20, 2, 10)
-    assert row.date_range == "2011-01-29 to 2011-02-07"
-    assert row.zero_sales_frac == 0.5 and row.price_missing_frac == 0.35
+    row = P.validate(panel, 2, DAYS).first()
+    assert (row.rows, row.series, row.days) == (2 * DAYS, 2, DAYS)
+    assert row.date_range == f"{START} to {START + dt.timedelta(days=DAYS - 1)}"
+    assert row.zero_sales_frac == round((NORTH_SALES + SOUTH_SALES).count(0) / (2 * DAYS), 4)
+    assert row.price_missing_frac == round(WEEK_DAYS / (2 * DAYS), 4)
 
 
 @pytest.mark.parametrize(
     "change, message",
     [
-        (lambda p: p.where("d < 10"), "row count"),
-        (lambda p: p.withColumn("sales", F.expr("if(d = 3, null, sales)")), "null sales"),
-        (lambda p: p.withColumn("sales", F.expr("if(d = 3, -1, sales)")), "negative sales"),
+        (lambda p: p.where("d <> 6"), "row count"),
+        (lambda p: p.withColumn("sales", F.expr("if(d = 8, null, sales)")), "null sales"),
+        (lambda p: p.withColumn("sales", F.expr("if(d = 11, -1, sales)")), "negative sales"),
         (lambda p: p.withColumn("sell_price", F.lit(None).cast("float")), "without a price"),
-        (lambda p: p.withColumn("date", F.expr("if(d = 3, date_sub(date, 1), date)")), "distinct dates"),
+        (lambda p: p.withColumn("date", F.expr("if(d = 9, date_sub(date, 1), date)")), "distinct dates"),
     ],
 )
 def test_each_violation_is_reported(panel, change, message):
     with pytest.raises(P.PanelError, match=message):
-        P.validate(change(panel), 2, 10)
+        P.validate(change(panel), 2, DAYS)
 
 
 def test_all_violations_at_once(panel):
-    broken = panel.withColumn("sales", F.expr("if(d = 3, -1, sales)")).withColumn("sell_price", F.lit(None).cast("float"))
+    broken = panel.withColumn("sales", F.expr("if(d = 11, -1, sales)")).withColumn("sell_price", F.lit(None).cast("float"))
     with pytest.raises(P.PanelError) as found:
-        P.validate(broken, 3, 10)
+        P.validate(broken, 5, DAYS)
     assert all(text in str(found.value) for text in ("row count", "negative", "without a price"))
 
 
@@ -122,9 +131,11 @@ def test_densify_fills_gaps(spark, rows):
     ]
 
 
-def test_densify_keeps_only_the_span(spark):
-    sparse = spark.createDataFrame([("a", 0, 9), ("a", 2, 1), ("a", 9, 9)], "id string, d int, sales long")
-    assert P.densify(sparse, 1, 3, {"sales": 0}, ["id"]).agg(F.sum("sales"), F.count("*")).first()[:] == (1, 3)
+@pytest.mark.parametrize("day", [0, 9, None])
+def test_densify_refuses_rows_outside_the_span(spark, day):
+    sparse = spark.createDataFrame([("a", day, 9), ("a", 2, 1)], "id string, d int, sales long")
+    with pytest.raises(Exception, match="is outside 1 to 3"):
+        P.densify(sparse, 1, 3, {"sales": 0}, ["id"]).collect()
 
 
 def test_stored_panel_prunes_blocks(spark, tmp_path):

@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 from demandloom.functions.ordering import dense_index, running_total
 from demandloom.operators import training_windows as TW
 
-END, CONTEXT = 180, 56
+DAYS, END, CONTEXT = 230, 195, 63
+LEVELS = (4, 35, 0.9, 12, 6)
+FIRST = dt.date(2014, 10, 6)
 
 
 @pytest.fixture(scope="module")
 def panel(spark):
     rng = np.random.default_rng(0)
     rows = []
-    for i, level in enumerate((20, 2, 8, 0.6)):
-        for d in range(1, 201):
-            day = dt.date(2011, 1, 29) + dt.timedelta(days=d - 1)
+    for i, level in enumerate(LEVELS):
+        for d in range(1, DAYS + 1):
+            day = FIRST + dt.timedelta(days=d - 1)
             rows.append(
-                (f"s{i}", f"item{3 - i}", f"dept{i % 2}", "st1", d, int(rng.poisson(level)), day.weekday(), day.day, day.month, 0, 0, 4.0)
+                (f"s{i}", f"item{4 - i}", f"dept{i % 3}", "st1", d, int(rng.poisson(level)), day.weekday(), day.day, day.month, 0, 0, 1.5 + i)
             )
     schema = (
         "id string, item_id string, dept_id string, store_id string, d int, sales int, dow int, dom int, month int, "
@@ -33,13 +35,13 @@ def test_arrays_are_in_day_order(panel):
     row = TW.series_arrays(panel.orderBy(F.rand(1))).where("id = 's0'").first()
     expected = [r.sales for r in panel.where("id = 's0'").orderBy("d").collect()]
     assert row.sales == [float(v) for v in expected] and row.first_day == 1
-    assert row.covs[0] == pytest.approx([5 / 7, 29 / 31, 1 / 12, 0, 0, np.log(5)])
+    assert row.covs[0] == pytest.approx([FIRST.weekday() / 7, FIRST.day / 31, FIRST.month / 12, 0, 0, np.log(1 + 1.5)])
 
 
 def test_codes_are_dense_and_sorted(panel):
     meta = panel.select("id", "item_id", "dept_id", "store_id").distinct()
     got = {r.id: r[1:] for r in TW.dense_codes(meta).collect()}
-    assert got == {"s0": (3, 0, 0), "s1": (2, 1, 0), "s2": (1, 0, 0), "s3": (0, 1, 0)}
+    assert got == {f"s{i}": (4 - i, i % 3, 0) for i in range(5)}
 
 
 def test_windows_end_before_the_cutoff(panel):
@@ -55,16 +57,16 @@ def test_windows_end_before_the_cutoff(panel):
 
 def test_window_holds_the_right_days(panel):
     arrays = TW.series_arrays(panel)
-    row = TW.cut_windows(arrays, arrays.where("id = 's2'").select("id", F.lit(100).alias("start")), CONTEXT).first()
+    row = TW.cut_windows(arrays, arrays.where("id = 's2'").select("id", F.lit(131).alias("start")), CONTEXT).first()
     values = [r.sales for r in panel.where("id = 's2'").orderBy("d").collect()]
-    assert row.past == values[100 - CONTEXT : 100] and row.target == values[100:128]
+    assert row.past == values[131 - CONTEXT : 131] and row.target == values[131:159]
     assert row.nu == pytest.approx(1 + np.mean(row.past))
     np.testing.assert_allclose(row.past_scaled, np.array(row.past) / row.nu)
 
 
 def test_inference_window_starts_after_the_cutoff(panel):
-    made = TW.inference_windows(TW.series_arrays(TW.blank_after(panel, 172)), 172, CONTEXT)
-    assert made.count() == 4
+    made = TW.inference_windows(TW.series_arrays(TW.blank_after(panel, END)), END, CONTEXT)
+    assert made.count() == len(LEVELS)
     assert made.select(F.sum(F.aggregate("target", F.lit(0.0), lambda a, x: a + x))).first()[0] == 0
 
 
