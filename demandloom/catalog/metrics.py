@@ -27,7 +27,7 @@ from demandloom.operators import metrics as M
 from demandloom.operators.panel import ID_COLS, day_slice
 from demandloom.plans import retail
 from demandloom.plans.backtest import backtest, compare_models, holdout, score_levels
-from demandloom.plans.stages import panel_table
+from demandloom.plans.stages import feature_table, panel_table
 
 _POINT = (
     f"{r('avg(abs(yhat - sales))', 'mae')}, {r('sqrt(avg((yhat - sales) * (yhat - sales)))', 'rmse')}, "
@@ -211,6 +211,9 @@ ENTRIES: dict[str, Entry] = {
         lambda s, sf: backtest(panel_table(s, sf), FOLDS, MODELS),
         with_forecasts(f"SELECT model, {big('fold')}, {_POINT} FROM fc JOIN panel USING (id, d) GROUP BY model, fold"),
     ),
+    "me_backtest_fitted": entry(
+        lambda s, sf: backtest(panel_table(s, sf), FOLDS, [*MODELS, "linear_reg"], feature_table(s, sf)), None
+    ),
     "me_mean_over_folds": entry(
         lambda s, sf: M.mean_over_folds(backtest(panel_table(s, sf), FOLDS, MODELS)),
         with_forecasts(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,12 @@ from pyspark.sql import functions as F
 from demandloom.operators import forecast as FC
 from demandloom.operators import hierarchy as H
 from demandloom.operators import metrics as M
+from demandloom.operators import regression as RG
 from demandloom.operators.panel import ID_COLS, day_slice
+from demandloom.plans.features import numeric_feature_columns
+
+# The models that are fitted on the feature table, anew for every fold.
+FITTERS = {"linear_reg": RG.fit_linear, "boosted_trees": RG.fit_trees, "tweedie": RG.fit_tweedie}
 
 
 def baseline_forecasts(panel: DataFrame, folds: Sequence[M.Fold], models: Iterable[str]) -> DataFrame:
@@ -23,11 +29,52 @@ def baseline_forecasts(panel: DataFrame, folds: Sequence[M.Fold], models: Iterab
     return FC.predict(fitted, horizons.pop())
 
 
-def backtest(panel: DataFrame, folds: Sequence[M.Fold], models: Iterable[str]) -> DataFrame:
+def fitted_forecasts(
+    features: DataFrame, folds: Sequence[M.Fold], models: Iterable[str], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """(model, fold, id, d, yhat) of regressions, each fitted on the days up to the fold's cutoff.
+
+    ``features`` should be a stored table: every fit reads its training days from it.
+    """
+    columns = list(columns or numeric_feature_columns(features))
+    made = []
+    for fold in folds:
+        future = day_slice(features, fold.test_start, fold.test_end)
+        for model in models:
+            preds = FITTERS[model](features, columns, fold.train_end).predict(future, future)
+            made.append(preds.select(F.lit(model).alias("model"), F.lit(fold.fold_id).alias("fold"), "id", "d", "yhat"))
+    return reduce(DataFrame.unionByName, made)
+
+
+def all_forecasts(
+    panel: DataFrame,
+    folds: Sequence[M.Fold],
+    models: Iterable[str],
+    features: DataFrame | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """(model, fold, id, d, yhat) of baselines and fitted models alike; the latter need ``features``."""
+    models = list(models)
+    fitted = [m for m in models if m in FITTERS]
+    simple = [m for m in models if m not in FITTERS]
+    if fitted and features is None:
+        raise ValueError(f"{', '.join(fitted)}: fitted models need the feature table")
+    parts = [baseline_forecasts(panel, folds, simple)] if simple else []
+    parts += [fitted_forecasts(features, folds, fitted, columns)] if fitted else []
+    return reduce(DataFrame.unionByName, parts)
+
+
+def backtest(
+    panel: DataFrame,
+    folds: Sequence[M.Fold],
+    models: Iterable[str],
+    features: DataFrame | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
     """(model, fold, mae, rmse, wape, bias, n)."""
     first, last = min(f.test_start for f in folds), max(f.test_end for f in folds)
     actuals = day_slice(panel, first, last, ["id", "d", "sales"])
-    return M.point_metrics(baseline_forecasts(panel, folds, models), actuals, ("model", "fold"))
+    return M.point_metrics(all_forecasts(panel, folds, models, features, columns), actuals, ("model", "fold"))
 
 
 def score_levels(
@@ -75,10 +122,23 @@ def compare_models(
     return overall.select("model", "wrmsse").join(pinball, "model", "left")
 
 
-def holdout(panel: DataFrame, models: Iterable[str], train_end: int, horizon: int) -> DataFrame:
-    """(model, wrmsse) on the days after ``train_end``, forecast once from all days before."""
+def holdout(
+    panel: DataFrame,
+    models: Iterable[str],
+    train_end: int,
+    horizon: int,
+    features: DataFrame | None = None,
+    columns: Sequence[str] | None = None,
+    quantiles: DataFrame | None = None,
+) -> DataFrame:
+    """(model, wrmsse) on the days after ``train_end``, forecast once from all days before.
+
+    With ``quantiles`` (model, id, d, q, yhat_q) also mean_pinball, null for a model without them.
+    """
     models = list(models)
     fold = M.Fold(1, train_end, train_end + 1, train_end + horizon)
-    forecasts = baseline_forecasts(panel, [fold], models).drop("fold")
+    forecasts = all_forecasts(panel, [fold], models, features, columns).drop("fold")
+    if quantiles is not None:
+        return compare_models(panel, forecasts, quantiles, train_end, horizon, models)
     scores = score_levels(panel, forecasts, train_end, horizon, runs=[(m,) for m in models])
     return scores.where(F.col("level") == "overall").select("model", "wrmsse")

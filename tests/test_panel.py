@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -138,6 +139,27 @@ def test_densify_refuses_rows_outside_the_span(spark, day):
         P.densify(sparse, 1, 3, {"sales": 0}, ["id"]).collect()
 
 
+def test_order_panel_keeps_days_beyond_the_folds(spark, tmp_path):
+    """Line items before the first and after the last fold day stay in the panel, and the calendar covers them."""
+    from demandloom.plans import retail
+
+    source = Path("/root/testdata/sf0.001")
+    if not source.exists():
+        pytest.skip("test tables are absent")
+    for name in ("part", "supplier", "nation", "region"):
+        (tmp_path / f"{name}.parquet").symlink_to(source / f"{name}.parquet")
+    lines = spark.read.parquet(str(source / "lineitem.parquet"))
+    moved = [lines.where(f"l_orderkey % 9 = {k}").withColumn("l_shipdate", F.expr(f"l_shipdate + interval {days} day"))
+             for k, days in ((1, 500), (2, -60))]
+    lines.unionByName(moved[0]).unionByName(moved[1]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    units = spark.read.parquet(str(tmp_path / "lineitem.parquet")).agg(F.sum("l_quantity")).first()[0]
+    first, last = retail.span(spark, str(tmp_path)).first()
+    assert first < 1 and last > retail.LAST_FOLD_DAY
+    panel = retail.panel(spark, str(tmp_path)).select("id", "d", "sales")
+    assert panel.agg(F.sum("sales"), F.min("d"), F.max("d")).first()[:] == (units, first, last)
+    assert retail.calendar(spark, str(tmp_path)).count() == last - first + 1
+
+
 def test_stored_panel_prunes_blocks(spark, tmp_path):
     long = spark.range(1, 801).selectExpr("'a' AS id", "cast(id AS int) AS d", "id AS sales")
     tables.write_panel(long, str(tmp_path / "panel"))

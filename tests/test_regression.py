@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from demandloom.operators import forecast as FC
 from demandloom.operators import metrics as M
 from demandloom.operators import regression as RG
+from demandloom.plans.backtest import backtest
 
 END = 192
 COLUMNS = ["dow", "base_level", "sales_lag_28"]
@@ -42,6 +43,27 @@ def naive(table, future):
     return _wape(FC.forecast("naive", table.where(F.col("d") <= END), future), table)
 
 
+def test_backtest_fits_anew_on_every_fold(table):
+    """Each fold's rows equal a fit by hand up to its own cutoff; baselines come along in one table."""
+    folds = M.expanding_folds(2, 14, 220)
+    got = {(r.model, r.fold): r for r in backtest(table, folds, ["naive", "linear_reg"], table, COLUMNS).collect()}
+    assert set(got) == {(m, f.fold_id) for m in ("naive", "linear_reg") for f in folds}
+    for fold in folds:
+        ahead = table.where(F.col("d").between(fold.test_start, fold.test_end))
+        single = RG.fit_linear(table, COLUMNS, fold.train_end).predict(table, ahead)
+        assert got[("linear_reg", fold.fold_id)].wape == pytest.approx(_wape(single, table))
+        assert got[("linear_reg", fold.fold_id)].n == 30 * 14
+    with pytest.raises(ValueError, match="feature table"):
+        backtest(table, folds, ["tweedie"])
+
+
+def test_trees_take_more_stores_than_the_least_bins(table):
+    many = table.where("d > 180").withColumn("store_id", F.concat("id", (F.col("d") % 4).cast("string")))
+    fitted = RG.fit_trees(many, COLUMNS, 220, categories=("store_id",), train_days=40, valid_days=5, rounds=2, depth=2)
+    assert many.select("store_id").distinct().count() == 120
+    assert fitted.predict(many, many.where("d = 220")).count() == 30
+
+
 def _weekend_ratio(preds):
     means = preds.groupBy(((F.col("d") - 1) % 7).isin(0, 6).alias("weekend")).agg(F.avg("yhat").alias("m"))
     got = {r.weekend: r.m for r in means.collect()}
