@@ -12,7 +12,7 @@ what remains goes through augmenting shortest paths. Pages are independent of ea
 other, so Spark deals them out without a shuffle.
 
 Defined results: null or empty html gives an empty text; unclosed tags, stray ends and
-cut-off markup are read as far as they go; white space inside a block, line breaks
+cut-off markup are read as far as they go; a quote inside a tag opens a value only after "="; white space inside a block, line breaks
 included, is one space; a page whose blocks are all boilerplate gives an empty text.
 """
 
@@ -60,8 +60,14 @@ SIBLING = 0.5
 # What is left of an edge where only one end lies inside a boilerplate element.
 ACROSS = 0.1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# An attribute of a tag: a quote opens a value only directly after the "=" of a name, elsewhere it is an ordinary character.
+_NAME = r"[^\s/>][^\s/>=]*+"
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?!["'])[^\s>]*+)"""
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|{_NAME}(?:{_VALUE})?+)*+)(?:>|\Z)", re.S
+)
+_ATTRIBUTE = re.compile(rf"({_NAME})({_VALUE})?+", re.S)
+_HINTS = frozenset("class id role itemprop hidden aria-hidden".split())
 _WORD = re.compile(r"[a-z]+")
 _CASE_STEP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -79,7 +85,9 @@ def _hints(attributes: str) -> tuple[bool, bool]:
     """(speaks for boilerplate, speaks for content) from class, id and role."""
     away = main = False
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        name, value = name.lower(), value.lstrip("= \t\r\n\f").strip("\"'")
+        if name not in _HINTS:
+            continue
         words = _WORD.findall(_CASE_STEP.sub(" ", value).lower())
         if name == "role":
             away |= any(w in AWAY_ROLES for w in words)

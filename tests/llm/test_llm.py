@@ -177,6 +177,19 @@ def test_main_text(spark):
     assert got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] == got[3]["text"] == got[None]["text"] == ""
 
 
+def test_main_text_with_stray_quotes():
+    text = "A first sentence of the article, long enough to be read as text."
+    tags = ['<p class="a"">', "<p title=it's>", '<p "x>', "<p ' class=a>", '<p class=a"b title="c > d">', "<p ='>", '<p a = "b"c"d">']
+    for tag in tags:
+        page = f"<article>{tag}{text}</p><p>It's the \"second\" one.</p></article>"
+        assert html_extract.main_text(page) == f"{text}\nIt's the \"second\" one.", tag
+    linked = f"<article><p>{text}</p><p>{text} <a href=/it's>One link</a> and more.</p></article>"
+    assert html_extract.main_text(linked) == f"{text}\n{text} One link and more."
+    # names of attributes count, not their like inside other names and values
+    assert html_extract.main_text(f"<div data-id=search title='class=ad' data-x=/hidden/id><p>{text}</p></div>") == text
+    assert html_extract.main_text("<p class='ad") == ""
+
+
 def test_line_dedup(spark):
     texts = [*ODD, "Hello shared line\nkeep", "x\n  hello SHARED line \nhello shared line", "Ünly shared ÉLINE", "ünly shared Éline"]
     texts += [f"one very common line\nown line of number {i}" for i in range(200)]
