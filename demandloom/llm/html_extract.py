@@ -6,6 +6,10 @@ boilerplate; these costs are the capacities to the two terminals. Neighbouring b
 and blocks under the same container are tied by edges whose capacity is paid where
 labels differ. The minimum cut labels all blocks of a page at once.
 
+An attribute word such as "sidebar" speaks against the blocks of its element as far as the element is a small
+part of the page: a wrapper that holds the page's text is not boilerplate for its name. The innermost element with
+such a word counts, <article> and <main> without one end it, and words for content weigh against it.
+
 A block whose terminal capacity outweighs all its edges is settled beforehand and passes its
 label to its neighbours' capacities, which leaves most pages nothing to cut;
 what remains goes through augmenting shortest paths. Pages are independent of each
@@ -52,12 +56,12 @@ AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 # The classifier's weights; a positive sum speaks for content.
 WEIGHTS = {
-    "bias": -0.6, "words": 0.09, "most_words": 2.2, "sentence": 0.8, "link_share": -4.5, "away": -9.0, "main": 2.5,
-    "heading": 0.6, "paragraph": 0.7, "list_item": -0.4,
+    "bias": -0.6, "words": 0.09, "most_words": 2.2, "sentence": 0.8, "link_share": -4.5, "away": -9.0, "away_word": -6.0,
+    "main": 2.5, "heading": 0.6, "paragraph": 0.7, "list_item": -0.4,
 }
 NEIGHBOUR = 0.8
 SIBLING = 0.5
-# What is left of an edge where only one end lies inside a boilerplate element.
+# What is left of an edge where only one end lies inside a boilerplate element; for words, in the measure of their weight.
 ACROSS = 0.1
 
 # An attribute of a tag: a quote opens a value only directly after the "=" of a name, elsewhere it is an ordinary character.
@@ -79,11 +83,13 @@ class Block(NamedTuple):
     away: bool
     main: bool
     parent: int
+    # how much of the weight of an attribute word for boilerplate falls on the block, from 0 to 1
+    doubt: float = 0.0
 
 
-def _hints(attributes: str) -> tuple[bool, bool]:
-    """(speaks for boilerplate, speaks for content) from class, id and role."""
-    away = main = False
+def _hints(attributes: str) -> tuple[bool, bool, bool]:
+    """(is boilerplate by role or hidden, has a word for boilerplate, has one for content) from class, id and role."""
+    away = word = main = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.lstrip("= \t\r\n\f").strip("\"'")
         if name not in _HINTS:
@@ -94,16 +100,21 @@ def _hints(attributes: str) -> tuple[bool, bool]:
         elif name == "hidden" or (name == "aria-hidden" and "true" in words):
             away = True
         else:
-            away |= any(w in AWAY_WORDS for w in words)
+            word |= any(w in AWAY_WORDS for w in words)
             main |= any(w in MAIN_WORDS for w in words)
-    return away, main
+    return away, word, main
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order, each with the number of its container."""
     out: list[Block] = []
-    # open elements: (tag, away, main, number)
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    # open elements: (tag, away, main, number, number of the innermost element with an attribute word for boilerplate,
+    # the same unless <article> or <main> further in has ended it; 0 for none)
+    stack: list[tuple[str, bool, bool, int, int, int]] = [("", False, False, 0, 0, 0)]
+    # per element with such a word, the one around it, and the plain text in it
+    around: dict[int, int] = {0: 0}
+    plain: dict[int, int] = {0: 0}
+    named: list[int] = []
     pieces: list[str] = []
     linked, links, numbers = 0, 0, 0
 
@@ -119,6 +130,8 @@ def blocks_of(html: str) -> list[Block]:
                 away, main = stack[-1][1], stack[-1][2]
                 parent = below[3] if holder[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td") else holder[3]
                 out.append(Block(text, min(linked, len(text)), holder[0], away, main, parent))
+                named.append(stack[-1][5])
+                plain[stack[-1][4]] += 0 if away else len(text) - out[-1].linked
         linked = 0
 
     at, size = 0, len(html)
@@ -161,7 +174,7 @@ def blocks_of(html: str) -> list[Block]:
             if depth and not any(e[0] in _SCOPES for e in stack[depth + 1 :]):
                 links -= sum(e[0] == "a" for e in stack[depth:])
                 del stack[depth:]
-        away, main = _hints(match.group(3)) if match.group(3) else (False, False)
+        away, word, main = _hints(match.group(3)) if match.group(3) else (False, False, False)
         numbers += 1
         if tag == "header" and any(e[0] in MAIN_TAGS for e in stack):
             away_tag = False
@@ -169,14 +182,22 @@ def blocks_of(html: str) -> list[Block]:
             away_tag = tag in AWAY_TAGS
         body = tag in ("body", "html")
         above = stack[-1]
-        stack.append(
-            (tag, above[1] or away_tag or (away and not body), above[2] or tag in MAIN_TAGS or (main and not body), numbers)
-        )
+        away, word, main = above[1] or away_tag or (away and not body), word and not body, main and not body
+        if word:
+            around[numbers], plain[numbers] = above[4], 0
+            inside = counted = numbers
+        else:
+            main |= above[2] or tag in MAIN_TAGS
+            inside, counted = above[4], 0 if tag in MAIN_TAGS else above[5]
+        stack.append((tag, away, main, numbers, inside, counted))
         links += tag == "a"
     if at < size:
         pieces.append(html[at:])
     close_block()
-    return out
+    # an element around another has the smaller number
+    for number in sorted(around, reverse=True)[:-1]:
+        plain[around[number]] += plain[number]
+    return [b._replace(doubt=1 - plain[k] / max(plain[0], 1)) if k else b for b, k in zip(out, named, strict=True)]
 
 
 # Start tags that end an open element of these kinds, and the elements that search does not leave (fixed values).
@@ -197,7 +218,7 @@ def block_weight(block: Block) -> float:
     total = w["bias"] + min(w["words"] * words, w["most_words"])
     total += w["sentence"] * (block.text[-1] in ".!?。…:\"”")
     total += w["link_share"] * block.linked / len(block.text)
-    total += w["away"] * block.away + w["main"] * (block.main and not block.away)
+    total += w["away"] * block.away + w["away_word"] * block.doubt + w["main"] * (block.main and not block.away)
     total += w["heading"] * (block.tag[:1] == "h" and block.tag[1:].isdigit())
     total += w["paragraph"] * (block.tag in ("p", "pre", "blockquote")) + w["list_item"] * (block.tag == "li")
     return total
@@ -277,7 +298,8 @@ def main_text(html: str | None) -> str:
         if block.parent in last:
             ties.append((last[block.parent], i, SIBLING))
         last[block.parent] = i
-    edges = [(a, b, c if blocks[a].away == blocks[b].away else c * ACROSS) for a, b, c in ties]
+    pulls = [1.0 if block.away else block.doubt for block in blocks]
+    edges = [(a, b, c * max(ACROSS, 1 - abs(pulls[a] - pulls[b]))) for a, b, c in ties]
     labels = min_cut(weights, edges)
     return "\n".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
 

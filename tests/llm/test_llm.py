@@ -190,6 +190,27 @@ def test_main_text_with_stray_quotes():
     assert html_extract.main_text("<p class='ad") == ""
 
 
+def test_main_text_in_wrappers_with_boilerplate_words():
+    text = [f"Sentence {i} of the article goes on for some words, and then it ends here." for i in range(4)]
+    ad = "<div class=ad>Buy this thing now, it is the best thing of all.</div>"
+    menu = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+    body = f"<h1>Title</h1><p>{text[0]}</p>{ad}<p>{text[1]}</p><p>{text[2]}</p><p>{text[3]}</p>"
+    wanted = "\n".join(["Title", *text])
+    for name in ["class=content-sidebar-wrap", "class=has-sidebar", "class='post tag-social'", "class='site header-fixed'", "id=search-page"]:
+        for inner in ["%s", "<article>%s</article>", "<main>%s</main>", "<div class=entry-content>%s</div>"]:
+            page = f"<body><div {name}>{menu}{inner % body}</div><div class=footer-links>{menu}All rights are with us.</div>"
+            assert html_extract.main_text(page) == wanted, (name, inner)
+    # article and content words count against a word further out, also where little text is in it
+    others = "".join(f"<p>{t}</p>" for t in text)
+    for inner in ["<article>%s</article>", "<div class=story>%s</div>"]:
+        page = f"<div>{others}{others}</div><div class=has-sidebar>{inner % others}</div>"
+        assert html_extract.main_text(page) == "\n".join(text * 3)
+    # a part of the page with such a word still goes, within an article as well
+    for part in ["<div class=comments>%s</div>", "<div class=widget><p>%s</p></div>", "<p class=share>%s</p>"]:
+        page = f"<article>{body}{part % text[0]}</article>"
+        assert html_extract.main_text(page) == wanted, part
+
+
 def test_line_dedup(spark):
     texts = [*ODD, "Hello shared line\nkeep", "x\n  hello SHARED line \nhello shared line", "Ünly shared ÉLINE", "ünly shared Éline"]
     texts += [f"one very common line\nown line of number {i}" for i in range(200)]
