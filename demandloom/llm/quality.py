@@ -7,7 +7,7 @@ the sum of one table entry per feature and per pair, through the logistic functi
 
 Features are counts over the whole text, computed for a batch of texts at once
 from their bytes. The model is fitted on the driver from at most ``max_rows``
-labelled rows (those with the smallest id hashes); its tables are a few kilobytes.
+labelled ids (those with the smallest hashes), one text each; its tables are a few kilobytes.
 
 Defined results: null text is empty text and gets a score like any other; labels
 that are null are ignored, contradicting labels of one id are averaged; without
@@ -230,22 +230,31 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``max_rows`` labelled documents outside the held-out part."""
+    """Features and labels of at most ``max_rows`` labelled documents outside the held-out part, one row per id."""
     known = pick(labels, doc_id="doc_id", quality="quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(known), "doc_id")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = text_features(batch.column("text"))
             yield pa.record_batch(
-                {"label": batch.column("label"), "x": pa.array(list(x), pa.list_(pa.float64()))}
+                {
+                    "doc_id": batch.column("doc_id"),
+                    "label": batch.column("label"),
+                    "h": batch.column("h"),
+                    "x": pa.array(list(x), pa.list_(pa.float64())),
+                }
             )
 
-    found = rows.select("label", "text").mapInArrow(run, "label double, x array<double>")
-    # repeated documents must not lift the number of rows beyond the bound, nor their order the fit
-    found = found.orderBy("label", "x").limit(max_rows).toPandas()
+    found = rows.select("doc_id", "label", F.xxhash64("text").alias("h"), "text")
+    found = found.mapInArrow(run, f"doc_id {id_type}, label double, h long, x array<double>")
+    # an id that is repeated is one row, its first text by hash; so the bound on ids is one on rows and takes no more away
+    found = found.groupBy("doc_id").agg(F.min(F.struct("h", "label", "x")).alias("first")).select("first.label", "first.x")
+    # the order of rows must not change the fit
+    found = found.orderBy("label", "x").toPandas()
     x = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES))
     return x, (found["label"].to_numpy() >= 0.5).astype(float)
 

@@ -123,6 +123,20 @@ def test_quality(spark):
     assert model.pairs == [(0, 1)] and ((model.score(x) > 0.5) == y).mean() > 0.9
 
 
+def test_quality_learns_one_row_per_repeated_id(spark):
+    learnt = [r["doc_id"] for r in spark.range(200).select(F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("h")).where("NOT h").collect()]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(learnt[:40])], "doc_id long, quality int")
+    texts = [(i, "Good prose, with words in a row." if k % 2 else "# $ % 1 2 3 !") for k, i in enumerate(learnt[:40])]
+    hot = [(learnt[0], f"# $ % {n} !") for n in range(300)]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    repeated = spark.createDataFrame(texts + hot, "doc_id long, text string")
+    for bound in (40, 30):
+        x, y = quality.training_rows(repeated, labels, max_rows=bound)
+        assert len(x) == len(y) == bound and y.sum() == quality.training_rows(plain, labels, max_rows=bound)[1].sum() > 0
+    scores = by_id(quality.quality_scores(repeated, labels, max_rows=40).dropDuplicates(["doc_id"]))
+    assert {i: r["predicted"] for i, r in scores.items()} == {i: k % 2 for k, i in enumerate(learnt[:40])}
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
