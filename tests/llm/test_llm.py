@@ -162,6 +162,42 @@ def test_licenses(spark):
         assert matcher.best(line) == whole.best(line)
 
 
+def test_licenses_agree_in_what_tells_them_apart():
+    common = {t: 300 for t in "the this of to and in for or with is by work under".split()} | {"license": 200, "licensed": 150, "mit": 150}
+    matcher = licenses.Matcher(licenses.TEMPLATES, common, 1000, licenses.THRESHOLD)
+    cases = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1",
+        "SPDX-License-Identifier: ISC": "ISC",
+        "SPDX-License-Identifier: Unlicense": "Unlicense",
+        "Released under the Unlicense.": "Unlicense",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+        "Released under the Proprietary License.": None,
+        "Released under the Other License.": None,
+        "This work is licensed under the GNU General Public License, version 4.": None,
+        "Licensed under the Apache License.": None,
+        "SPDX-License-Identifier: MIT OR Apache-2.0": None,
+        "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright (C) 1989": "GPL-2.0",
+        "# Licensed under the Apache\n# License, Version 2.0 (the \"License\"); you may\n# not use this file except in compliance\n# with the License.": "Apache-2.0",
+        " * This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General\n * Public License as published by the Free Software Foundation;\n"
+        " * either version 2.1 of the License, or any later version.": "LGPL-2.1",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files": "MIT",
+    }
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    two = "1. Redistributions of source code must retain the above notice.\n\n2. Redistributions in binary form must reproduce the above notice.\n\n"
+    cases |= {bsd: None, bsd + two: "BSD-2-Clause", bsd + two + "3. Neither the name of the holder nor the names of others may be used.": "BSD-3-Clause"}
+    assert {text: matcher.scan(text, False)[1] for text in cases} == cases
+    # every template is named as its licence, as far as one licence alone states it
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            assert matcher._may(notice)
+            assert matcher.best(notice, name[4].replace("-", "") + "c" if "Clause" in name else None)[1] == name, notice
+
+
 def brute_cut(weights, edges):
     def cost(labels):
         wrong = sum(w if not keep else 0 for w, keep in zip(weights, labels, strict=True) if w > 0)
