@@ -4,7 +4,7 @@ A join encodes a window around the border again. The window grows until the
 tokens on its two edges form, with their neighbours outside, pairs that the
 merges leave apart. A sequence whose neighbouring pairs all stay apart is the encoding of its
 bytes, so nothing outside the window can change and the joined sequence is final.
-Decoding concatenates the bytes of halves up the tree.
+Decoding is one flat join of the bytes of all ids of a text, not a tree: the bytes are the same in any grouping.
 
 The pieces that the split pattern cuts out never merge with each other; joining them is
 concatenation. Only inside a piece do borders matter, so an endless run of letters
