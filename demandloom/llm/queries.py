@@ -8,7 +8,20 @@ from typing import NamedTuple
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from demandloom.llm import ann, bpe, decontaminate, html_extract, line_dedup, minhash, quality, substring_dedup, warc
+from demandloom.llm import (
+    ann,
+    bpe,
+    decontaminate,
+    html_extract,
+    line_dedup,
+    merkle,
+    minhash,
+    mixing,
+    quality,
+    substring_dedup,
+    warc,
+    whitening,
+)
 from demandloom.llm import license as licenses
 from demandloom.llm.tables import load
 
@@ -45,4 +58,7 @@ ENTRIES: dict[str, Entry] = {
     "op8_passages": on(substring_dedup.passage_digest, "documents", sql=substring_dedup.SQL),
     "op9_decontamination": on(decontaminate.contamination, "documents", "benchmark", sql=decontaminate.SQL),
     "op10_revisits": on(warc.revisit_query, "pages", sql=warc.SQL),
+    "op11_whitening": on(whitening.whitened_query, "embeddings"),
+    "op12_merkle_manifest": on(merkle.manifest_digest, "documents", sql=merkle.SQL),
+    "op13_source_mix": on(mixing.mixture, "documents", sql=mixing.SQL),
 }
