@@ -265,7 +265,11 @@ def test_little_variance_gives_fewer_components(spark):
 def test_huge_entries_lose_their_deviation_only(spark):
     e = [[3e38, 1.0], [-3e38, 2.0], [0.5, 3.0], [0.25, 5.0]]
     got = whitening.whitened_query(table(spark, e)).collect()
-    assert all(r.deviation is None for r in got) and np.isfinite([r.whitened for r in got]).all()
+    x = whole([[np.clip(c, -(2.0**42), 2.0**42) for c in row] for row in e]).tolist()
+    sums = [sum(column) for column in zip(*x)]
+    exact = [sum((4 * c - s) ** 2 for c, s in zip(row, sums)) for row in x]
+    assert {(r.vec_id, r.deviation) for r in got} == {(i, d if d < 1 << 63 else None) for i, d in enumerate(exact)}
+    assert {r.vec_id for r in got if r.deviation is None} == {0, 1} and np.isfinite([r.whitened for r in got]).all()
 
 
 def test_exact_deviations_beyond_double_sums():
