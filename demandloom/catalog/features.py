@@ -94,7 +94,7 @@ priced AS (
   FROM panel p LEFT JOIN trail USING (id, wm_yr_wk)
 )"""
 
-_DATE_PARTS = {
+DATE_PARTS = {
     "dow": "isodow(date) - 1",
     "is_weekend": "isodow(date) >= 6",
     "dom": "day(date)",
@@ -103,7 +103,7 @@ _DATE_PARTS = {
     "year": f"year(date) - {CL.BASE_YEAR}",
     "is_christmas": "month(date) = 12 AND day(date) = 25",
 }
-_DATE_SELECT = ", ".join(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in _DATE_PARTS.items())
+_DATE_SELECT = ", ".join(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in DATE_PARTS.items())
 _EVENT_SELECT = big("days_to_event", "days_since_event") + ", CAST(days_to_event = 0 AS BIGINT) AS is_event"
 
 _EVENT_SQL = with_panel(f"SELECT id, {big('d')}, event_name_1, {_EVENT_SELECT} FROM panel JOIN dist USING (d)", EVENT_CTE)

@@ -111,11 +111,6 @@ def _future(table):
     return P.day_slice(table, TRAIN_END + 1, TRAIN_END + HORIZON, ["id", "d"])
 
 
-def _linear(spark, sf):
-    table, columns = model_table(spark, sf)
-    return RG.fit_linear(table, columns, TRAIN_END).predict(table, _future(table))
-
-
 def fitted_trees(table, columns):
     return RG.fit_trees(table, columns, TRAIN_END)
 
@@ -216,7 +211,6 @@ ENTRIES: dict[str, Entry] = {
             f"FROM panel WHERE d > {TRAIN_END - RG.TREE_TRAIN_DAYS} AND d <= {TRAIN_END} GROUP BY 1"
         ),
     ),
-    "fc_linear_reg": entry(_linear, None),
     "fc_boosted_trees": entry(_trees, None),
     "fc_feature_importance": entry(_importance, None),
     "fc_tweedie_reg": entry(_tweedie, None),

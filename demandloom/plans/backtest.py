@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from demandloom.operators import forecast as FC
 from demandloom.operators import hierarchy as H
+from demandloom.operators import least_squares as LS
 from demandloom.operators import metrics as M
 from demandloom.operators import regression as RG
 from demandloom.operators.panel import ID_COLS, day_slice
 from demandloom.plans.features import numeric_feature_columns
 
-# The models that are fitted on the feature table, anew for every fold.
-FITTERS = {"linear_reg": RG.fit_linear, "boosted_trees": RG.fit_trees, "tweedie": RG.fit_tweedie}
+# The models that are fitted on the feature table, anew for every fold; LINEAR fits all folds at once.
+LINEAR = "linear_reg"
+FITTERS = {"boosted_trees": RG.fit_trees, "tweedie": RG.fit_tweedie}
 
 
 def baseline_forecasts(panel: DataFrame, folds: Sequence[M.Fold], models: Iterable[str]) -> DataFrame:
@@ -29,18 +31,29 @@ def baseline_forecasts(panel: DataFrame, folds: Sequence[M.Fold], models: Iterab
     return FC.predict(fitted, horizons.pop())
 
 
+def linear_forecasts(features: DataFrame, folds: Sequence[M.Fold], columns: Sequence[str] | None = None) -> DataFrame:
+    """(fold, id, d, yhat) of least squares on the last days before every fold: one scan to fit all, one to predict."""
+    columns = list(columns or numeric_feature_columns(features))
+    train = {f.fold_id: LS.Window(f.train_end - RG.LINEAR_TRAIN_DAYS + 1, f.train_end) for f in folds}
+    ahead = {f.fold_id: LS.Window(f.test_start, f.test_end) for f in folds}
+    return LS.predict_windows(features, columns, LS.fit_windows(features, columns, train), ahead)
+
+
 def fitted_forecasts(
     features: DataFrame, folds: Sequence[M.Fold], models: Iterable[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
     """(model, fold, id, d, yhat) of regressions, each fitted on the days up to the fold's cutoff.
 
-    ``features`` should be a stored table: every fit reads its training days from it.
+    ``features`` should be a stored table: every fit of trees and Tweedie reads its training days from it.
     """
     columns = list(columns or numeric_feature_columns(features))
     made = []
-    for fold in folds:
-        future = day_slice(features, fold.test_start, fold.test_end)
-        for model in models:
+    for model in models:
+        if model == LINEAR:
+            made.append(linear_forecasts(features, folds, columns).select(F.lit(model).alias("model"), "fold", "id", "d", "yhat"))
+            continue
+        for fold in folds:
+            future = day_slice(features, fold.test_start, fold.test_end)
             preds = FITTERS[model](features, columns, fold.train_end).predict(future, future)
             made.append(preds.select(F.lit(model).alias("model"), F.lit(fold.fold_id).alias("fold"), "id", "d", "yhat"))
     return reduce(DataFrame.unionByName, made)
@@ -55,8 +68,8 @@ def all_forecasts(
 ) -> DataFrame:
     """(model, fold, id, d, yhat) of baselines and fitted models alike; the latter need ``features``."""
     models = list(models)
-    fitted = [m for m in models if m in FITTERS]
-    simple = [m for m in models if m not in FITTERS]
+    fitted = [m for m in models if m == LINEAR or m in FITTERS]
+    simple = [m for m in models if m not in fitted]
     if fitted and features is None:
         raise ValueError(f"{', '.join(fitted)}: fitted models need the feature table")
     parts = [baseline_forecasts(panel, folds, simple)] if simple else []
