@@ -113,7 +113,7 @@ weight AS (
 )
 
 
-def _score(source: str) -> tuple[str, ...]:
+def score_ctes(source: str) -> tuple[str, ...]:
     """Common tables up to ``wr`` (model, level, wrmsse) for forecasts (model, id, d, yhat)."""
     return SCORE_CTES + (
         f"""
@@ -188,10 +188,10 @@ ENTRIES: dict[str, Entry] = {
         _weights, with_panel(f"SELECT level, key, {rr('weight')} FROM weight", BRIDGE_CTE, SCORE_CTES[2])
     ),
     "me_node_rmsse": entry(
-        _rmsse, with_forecasts(f"SELECT model, level, key, {rr('rmsse')} FROM rmsse", *_score(LAST_FOLD))
+        _rmsse, with_forecasts(f"SELECT model, level, key, {rr('rmsse')} FROM rmsse", *score_ctes(LAST_FOLD))
     ),
     "me_weighted_rmsse": entry(
-        _levels, with_forecasts(f"SELECT model, level, {rr('wrmsse')} FROM wr", *_score(LAST_FOLD))
+        _levels, with_forecasts(f"SELECT model, level, {rr('wrmsse')} FROM wr", *score_ctes(LAST_FOLD))
     ),
     "me_mean_vs_median": entry(
         _functionals,
@@ -204,7 +204,7 @@ ENTRIES: dict[str, Entry] = {
                 UNION ALL SELECT 'median', id, median(sales) FROM panel
                 WHERE d > {TRAIN_END - FC.CONTEXT_DAYS} AND d <= {TRAIN_END} GROUP BY id)
               CROSS JOIN (SELECT CAST(range AS INTEGER) AS d FROM range({TRAIN_END + 1}, {TRAIN_END + HORIZON + 1})))""",
-            *_score("functional"),
+            *score_ctes("functional"),
         ),
     ),
     "me_backtest": entry(
@@ -227,11 +227,11 @@ ENTRIES: dict[str, Entry] = {
             f"{r('avg(greatest(q * (sales - yhat_q), (q - 1) * (sales - yhat_q)))')} "
             f"FROM qf JOIN {TEST_ROWS} t USING (id, d)) END AS mean_pinball FROM wr WHERE level = 'overall'",
             QUANTILE_CTE,
-            *_score(LAST_FOLD),
+            *score_ctes(LAST_FOLD),
         ),
     ),
     "me_holdout": entry(
         lambda s, sf: holdout(panel_table(s, sf), MODELS, TRAIN_END, HORIZON),
-        with_forecasts(f"SELECT model, {rr('wrmsse')} FROM wr WHERE level = 'overall'", *_score(LAST_FOLD)),
+        with_forecasts(f"SELECT model, {rr('wrmsse')} FROM wr WHERE level = 'overall'", *score_ctes(LAST_FOLD)),
     ),
 }

@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
-from demandloom.catalog.base import FOLDS, HORIZON, MODELS, Entry, big, entry, fold_values, r, rr, with_forecasts, with_panel
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from demandloom.catalog.base import (
+    FOLDS,
+    HORIZON,
+    LAST_FOLD,
+    MODELS,
+    TEST_ROWS,
+    TRAIN_END,
+    Entry,
+    big,
+    entry,
+    fold_values,
+    r,
+    rr,
+    with_forecasts,
+    with_panel,
+)
 from demandloom.catalog.features import DATE_PARTS, FEATURE_CTES
-from demandloom.catalog.forecast import model_table
+from demandloom.catalog.forecast import QUANTILE_CTE, last_fold, model_table, quantiles, sales
+from demandloom.catalog.metrics import score_ctes
+from demandloom.operators import forecast as FC
 from demandloom.operators import least_squares as LS
 from demandloom.operators import regression as RG
-from demandloom.plans.backtest import LINEAR, backtest, linear_forecasts
+from demandloom.plans.backtest import LINEAR, backtest, comparison_report, holdout, linear_forecasts
 from demandloom.plans.features import FEATURE_COLS
 from demandloom.plans.stages import feature_table, panel_table
+from demandloom.session import scratch_path
+from demandloom.sources import tables
 
 INPUTS = ["sell_price", "snap", *FEATURE_COLS]
 
@@ -88,6 +112,81 @@ def _linear(spark, sf):
     return linear_forecasts(model_table(spark, sf)[0], FOLDS[-1:]).drop("fold")
 
 
+# Small forests keep the catalog's queries short; the library's defaults are larger.
+SMALL = {"tweedie_trees": {"rounds": 12, "depth": 4, "step": 0.2}, "boosted_trees": {"rounds": 8, "depth": 4, "step": 0.2}}
+
+
+def _tweedie_forest(spark, sf):
+    table, columns = model_table(spark, sf)
+    return table, RG.fit_tweedie_trees(table, columns, TRAIN_END, rounds=20, depth=5, step=0.1)
+
+
+def _tweedie_trees(spark, sf):
+    table, forest = _tweedie_forest(spark, sf)
+    return forest.predict(table, table.where(f"d > {TRAIN_END} AND d <= {TRAIN_END + HORIZON}"))
+
+
+def _tweedie_importance(spark, sf):
+    return _tweedie_forest(spark, sf)[1].importance(spark)
+
+
+def _importance_store(spark, sf):
+    """Importances of two folds written one after the other, one of them twice, and read back together."""
+    table, columns = model_table(spark, sf)
+    root = scratch_path(spark, "importances")
+    for fold in (FOLDS[1], FOLDS[2], FOLDS[2]):
+        forest = RG.fit_tweedie_trees(table, columns, fold.train_end, rounds=2, depth=4, train_days=180)
+        named = forest.importance(spark).select(F.lit("tweedie_trees").alias("model"), F.lit(fold.fold_id).alias("fold"), "*")
+        tables.write_importances(named, root)
+    parts = [tables.read_runs(spark, root, "importances", "tweedie_trees", f.fold_id) for f in FOLDS[1:]]
+    return reduce(DataFrame.unionByName, parts).select("model", "fold", "feature", "gain", "splits")
+
+
+def _named_quantiles(spark, sf):
+    """The plain quantiles under one model's name, those by weekday under another's."""
+    plain = quantiles(spark, sf).withColumn("model", F.lit("moving_avg_28"))
+    weekly = FC.quantile_forecast(sales(spark, sf), TRAIN_END, HORIZON, by_weekday=True)
+    return plain.unionByName(weekly.withColumn("model", F.lit("seasonal_naive_7")))
+
+
+def _holdout(spark, sf):
+    return holdout(
+        panel_table(spark, sf), [*MODELS, LINEAR], TRAIN_END, HORIZON, feature_table(spark, sf), quantiles=_named_quantiles(spark, sf)
+    )
+
+
+def _report(spark, sf):
+    linear = linear_forecasts(feature_table(spark, sf), FOLDS[-1:]).drop("fold").withColumn("model", F.lit(LINEAR))
+    forecasts = last_fold(spark, sf).unionByName(linear)
+    return comparison_report(panel_table(spark, sf), forecasts, _named_quantiles(spark, sf), TRAIN_END, HORIZON, [*MODELS, LINEAR])
+
+
+_LEVELS = list(FC.QUANTILE_LEVELS)
+_SCORE_CTES = (
+    *LINEAR_CTES,
+    QUANTILE_CTE,
+    f"""
+everything AS (
+  SELECT model, id, d, yhat FROM {LAST_FOLD}
+  UNION ALL SELECT '{LINEAR}', id, d, yhat FROM linear WHERE fold = {FOLDS[-1].fold_id}
+),
+weekly_q AS (
+  SELECT id, d % 7 AS w, unnest({_LEVELS}) AS q, unnest(quantile_cont(sales, {_LEVELS})) AS yhat_q
+  FROM panel WHERE d > {TRAIN_END - FC.CONTEXT_DAYS} AND d <= {TRAIN_END} GROUP BY id, d % 7
+),
+qmodel AS (
+  SELECT 'moving_avg_28' AS model, id, d, q, yhat_q FROM qf
+  UNION ALL
+  SELECT 'seasonal_naive_7', id, t.d, q, yhat_q FROM weekly_q JOIN range({TRAIN_END + 1}, {TRAIN_END + HORIZON + 1}) t(d) ON t.d % 7 = w
+),
+qreport AS (
+  SELECT model, CAST(q AS DOUBLE) AS q, avg(greatest(q * (sales - yhat_q), (q - 1) * (sales - yhat_q))) AS pinball,
+         avg(CASE WHEN sales <= yhat_q THEN 1.0 ELSE 0.0 END) AS coverage
+  FROM qmodel JOIN {TEST_ROWS} t USING (id, d) GROUP BY model, q
+)""",
+    *score_ctes("everything"),
+)
+
 ENTRIES: dict[str, Entry] = {
     "fc_linear_reg": entry(
         _linear,
@@ -111,4 +210,36 @@ ENTRIES: dict[str, Entry] = {
             )
         ),
     ),
+    "me_holdout_fitted": entry(
+        _holdout,
+        recursive(
+            with_forecasts(
+                f"SELECT model, {rr('wrmsse')}, (SELECT {r('avg(pinball)')} FROM qreport x WHERE x.model = wr.model) AS mean_pinball "
+                "FROM wr WHERE level = 'overall'",
+                *_SCORE_CTES,
+            )
+        ),
+    ),
+    "me_comparison_report": entry(
+        _report,
+        recursive(
+            with_forecasts(
+                f"SELECT model, measure, part, {rr('value')} FROM ("
+                "SELECT model, 'wrmsse' AS measure, level AS part, wrmsse AS value FROM wr "
+                "UNION ALL SELECT model, 'pinball', CAST(q AS VARCHAR), pinball FROM qreport "
+                "UNION ALL SELECT model, 'coverage', CAST(q AS VARCHAR), coverage FROM qreport "
+                "UNION ALL SELECT model, 'mean_pinball', 'overall', avg(pinball) FROM qreport GROUP BY model)",
+                *_SCORE_CTES,
+            )
+        ),
+    ),
+    "fc_tweedie_trees": entry(_tweedie_trees, None),
+    "fc_tweedie_importance": entry(_tweedie_importance, None),
+    "io_importance_store": entry(_importance_store, None),
+    "me_backtest_trees": entry(
+        lambda s, sf: backtest(panel_table(s, sf), FOLDS, ["tweedie", *SMALL], feature_table(s, sf), options=SMALL), None
+    ),
+    "me_holdout_trees": entry(
+        lambda s, sf: holdout(panel_table(s, sf), ["tweedie", *SMALL], TRAIN_END, HORIZON, feature_table(s, sf), options=SMALL), None
+    ),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ from demandloom.plans.features import numeric_feature_columns
 
 # The models that are fitted on the feature table, anew for every fold; LINEAR fits all folds at once.
 LINEAR = "linear_reg"
-FITTERS = {"boosted_trees": RG.fit_trees, "tweedie": RG.fit_tweedie}
+FITTERS = {"boosted_trees": RG.fit_trees, "tweedie": RG.fit_tweedie, "tweedie_trees": RG.fit_tweedie_trees}
 
 
 def baseline_forecasts(panel: DataFrame, folds: Sequence[M.Fold], models: Iterable[str]) -> DataFrame:
@@ -40,12 +40,18 @@ def linear_forecasts(features: DataFrame, folds: Sequence[M.Fold], columns: Sequ
 
 
 def fitted_forecasts(
-    features: DataFrame, folds: Sequence[M.Fold], models: Iterable[str], columns: Sequence[str] | None = None
+    features: DataFrame,
+    folds: Sequence[M.Fold],
+    models: Iterable[str],
+    columns: Sequence[str] | None = None,
+    options: Mapping[str, dict] | None = None,
 ) -> DataFrame:
     """(model, fold, id, d, yhat) of regressions, each fitted on the days up to the fold's cutoff.
 
     ``features`` should be a stored table: every fit of trees and Tweedie reads its training days from it.
+    ``options`` holds further arguments of a model's fitter under its name.
     """
+    options = options or {}
     columns = list(columns or numeric_feature_columns(features))
     made = []
     for model in models:
@@ -54,7 +60,7 @@ def fitted_forecasts(
             continue
         for fold in folds:
             future = day_slice(features, fold.test_start, fold.test_end)
-            preds = FITTERS[model](features, columns, fold.train_end).predict(future, future)
+            preds = FITTERS[model](features, columns, fold.train_end, **options.get(model, {})).predict(future, future)
             made.append(preds.select(F.lit(model).alias("model"), F.lit(fold.fold_id).alias("fold"), "id", "d", "yhat"))
     return reduce(DataFrame.unionByName, made)
 
@@ -65,6 +71,7 @@ def all_forecasts(
     models: Iterable[str],
     features: DataFrame | None = None,
     columns: Sequence[str] | None = None,
+    options: Mapping[str, dict] | None = None,
 ) -> DataFrame:
     """(model, fold, id, d, yhat) of baselines and fitted models alike; the latter need ``features``."""
     models = list(models)
@@ -73,7 +80,7 @@ def all_forecasts(
     if fitted and features is None:
         raise ValueError(f"{', '.join(fitted)}: fitted models need the feature table")
     parts = [baseline_forecasts(panel, folds, simple)] if simple else []
-    parts += [fitted_forecasts(features, folds, fitted, columns)] if fitted else []
+    parts += [fitted_forecasts(features, folds, fitted, columns, options)] if fitted else []
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -83,11 +90,12 @@ def backtest(
     models: Iterable[str],
     features: DataFrame | None = None,
     columns: Sequence[str] | None = None,
+    options: Mapping[str, dict] | None = None,
 ) -> DataFrame:
     """(model, fold, mae, rmse, wape, bias, n)."""
     first, last = min(f.test_start for f in folds), max(f.test_end for f in folds)
     actuals = day_slice(panel, first, last, ["id", "d", "sales"])
-    return M.point_metrics(all_forecasts(panel, folds, models, features, columns), actuals, ("model", "fold"))
+    return M.point_metrics(all_forecasts(panel, folds, models, features, columns, options), actuals, ("model", "fold"))
 
 
 def score_levels(
@@ -135,6 +143,34 @@ def compare_models(
     return overall.select("model", "wrmsse").join(pinball, "model", "left")
 
 
+def comparison_report(
+    panel: DataFrame,
+    forecasts: DataFrame,
+    quantiles: DataFrame,
+    train_end: int,
+    horizon: int,
+    models: Sequence[str] | None = None,
+    levels: Sequence[H.Level] = H.LEVELS,
+) -> DataFrame:
+    """(model, measure, part, value): everything one window says of every model.
+
+    measure is wrmsse (part: a level, or ``overall``), pinball and coverage (part: a quantile level), or mean_pinball
+    (part: ``overall``). A model without quantiles has the first only.
+    """
+    runs = [(m,) for m in models] if models else None
+    scores = score_levels(panel, forecasts, train_end, horizon, runs=runs, levels=levels)
+    actuals = day_slice(panel, train_end + 1, train_end + horizon)
+    report = M.quantile_report(quantiles, actuals, ("model",))
+    by_level = report.withColumnRenamed("q", "part").unpivot(["model", "part"], ["pinball", "coverage"], "measure", "value")
+    mean = M.mean_pinball(report, ("model",))
+    rows = [
+        scores.select("model", F.lit("wrmsse").alias("measure"), F.col("level").alias("part"), F.col("wrmsse").alias("value")),
+        by_level.select("model", "measure", F.col("part").cast("string").alias("part"), "value"),
+        mean.select("model", F.lit("mean_pinball").alias("measure"), F.lit("overall").alias("part"), F.col("mean_pinball").alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def holdout(
     panel: DataFrame,
     models: Iterable[str],
@@ -143,6 +179,7 @@ def holdout(
     features: DataFrame | None = None,
     columns: Sequence[str] | None = None,
     quantiles: DataFrame | None = None,
+    options: Mapping[str, dict] | None = None,
 ) -> DataFrame:
     """(model, wrmsse) on the days after ``train_end``, forecast once from all days before.
 
@@ -150,7 +187,7 @@ def holdout(
     """
     models = list(models)
     fold = M.Fold(1, train_end, train_end + 1, train_end + horizon)
-    forecasts = all_forecasts(panel, [fold], models, features, columns).drop("fold")
+    forecasts = all_forecasts(panel, [fold], models, features, columns, options).drop("fold")
     if quantiles is not None:
         return compare_models(panel, forecasts, quantiles, train_end, horizon, models)
     scores = score_levels(panel, forecasts, train_end, horizon, runs=[(m,) for m in models])

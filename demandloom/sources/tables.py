@@ -75,7 +75,8 @@ def write_quantiles(quantiles: DataFrame, root: str) -> None:
 
 
 def write_importances(importances: DataFrame, root: str) -> None:
-    _write_runs(importances.select(*RUN_KEYS, "feature", "gain"), f"{root}/importances")
+    """(model, fold, feature, gain, splits)."""
+    _write_runs(importances.select(*RUN_KEYS, "feature", "gain", "splits"), f"{root}/importances")
 
 
 def read_runs(spark: SparkSession, root: str, kind: str, model: str | None = None, fold: int | None = None) -> DataFrame:

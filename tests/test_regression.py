@@ -91,7 +91,10 @@ def test_trees_learn_the_weekend(table, future, naive):
     preds = fitted.predict(table, future)
     assert preds.agg(F.min("yhat")).first()[0] >= 0 and _wape(preds, table) < naive
     assert _weekend_ratio(preds) > 1.2
-    gains = fitted.importance().collect()
+    nodes, gains = fitted.nodes(), fitted.importance().collect()
+    inner = nodes.where("feature IS NOT NULL")
+    assert sum(g.splits for g in gains) == inner.count() == (nodes.count() - nodes.select("tree").distinct().count()) // 2 > 0
+    assert {g.feature for g in gains if g.splits} == {r.feature for r in inner.select("feature").distinct().collect()}
     assert len(gains) == len(COLUMNS) + len(RG.CATEGORIES)
     assert [g.gain for g in gains] == sorted((g.gain for g in gains), reverse=True)
 
@@ -103,6 +106,14 @@ def test_tweedie_is_positive_and_useful(table, future, naive):
     assert _weekend_ratio(preds) > 1.2
 
 
+def test_tweedie_trees_learn_the_weekend(table, future, naive):
+    fitted = RG.fit_tweedie_trees(table, COLUMNS, END, train_days=120, rounds=15, depth=4, step=0.3)
+    preds = fitted.predict(table, future)
+    assert preds.agg(F.min("yhat")).first()[0] > 0 and _wape(preds, table) < naive
+    assert _weekend_ratio(preds) > 1.2
+    assert fitted.history[len(fitted.trees)][1] < fitted.history[0][1]
+
+
 def test_lookbacks():
     assert RG.lookback_days("linear_reg") == 200
     assert RG.lookback_days("boosted_trees", 150) == 160
