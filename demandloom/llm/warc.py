@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandloom.llm.tables import pick
 
@@ -76,6 +77,16 @@ def merge_headers(stored: Column, update: Column) -> Column:
 _HEADERS = "array<struct<name:string,value:string>>"
 
 
+def _instant(df: DataFrame, name: str) -> Column:
+    """A whole number that orders the column's values: microseconds of times and of numbers with a fraction."""
+    kind, at = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(at.cast("timestamp"))
+    if isinstance(kind, T.FractionalType):
+        return F.round(at * 1_000_000).cast("long")
+    return at.cast("long")
+
+
 def resolve_revisits(records: DataFrame, time_blocks: int = TIME_BLOCKS, **columns: str) -> DataFrame:
     """(record_id, canonical_url, captured_at, status, response_id, headers), one row per record.
 
@@ -87,7 +98,8 @@ def resolve_revisits(records: DataFrame, time_blocks: int = TIME_BLOCKS, **colum
     rows = rows.select(
         "record_id",
         canonical_url(F.col("url")).alias("canonical_url"),
-        F.col("captured_at").cast("long").alias("t"),
+        "captured_at",
+        _instant(rows, "captured_at").alias("t"),
         F.coalesce("is_full", F.lit(False)).alias("is_full"),
         "etag",
         "last_modified",
@@ -129,7 +141,7 @@ def resolve_revisits(records: DataFrame, time_blocks: int = TIME_BLOCKS, **colum
     return found.select(
         "record_id",
         "canonical_url",
-        F.col("t").alias("captured_at"),
+        "captured_at",
         "status",
         F.when(F.col("is_full"), F.col("record_id")).when(taken, F.col("found.record_id")).alias("response_id"),
         F.when(taken, merge_headers(F.col("found.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
