@@ -37,6 +37,8 @@ GRAM = 6
 # Windows under an anchor with more occurrences are dealt out over SALTS parts.
 HOT_ANCHOR = 1000
 SALTS = 64
+# Kinds of window rows: under an uncommon anchor 0, a common one 1; KNOWN are common ones that their own text repeats.
+KNOWN = 2
 
 
 def window_anchors(words: np.ndarray, first: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple:
@@ -105,8 +107,9 @@ def _anchor_rows(window: int, gram: int):
 def _window_rows(window: int, gram: int):
     """(kind, h1, h2, t1, t2, start, n) of the windows whose anchor is among the text's repeated anchors.
 
-    kind 1 is a window under an anchor of more than HOT_ANCHOR occurrences; n is 2 where the window occurs twice
-    in any case, because its text repeats it or has equals; start is -1 in rows that only count for others.
+    kind 1 is a window under an anchor of more than ``hot_anchor`` occurrences, KNOWN one of those that its own text
+    repeats; n is 2 where the window occurs twice in any case, because its text repeats it or has equals; start is -1
+    in rows that only count for others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,7 @@ def _window_rows(window: int, gram: int):
                 for_others = np.flatnonzero(head & (copied | (again & hot)))
                 own = np.flatnonzero(~copied)
                 rows = np.append(for_others, own)
-                kind = np.append(hot[for_others], (hot & ~again)[own])
+                kind = np.append(hot[for_others], np.where(hot & again, KNOWN, hot)[own])
                 start = np.append(np.full(len(for_others), -1), begin[own])
                 n = np.append(np.full(len(for_others), 2), np.where(again, 2, 1)[own])
                 texts = pa.array(text[rows])
@@ -210,7 +213,12 @@ def _cut(window: int):
 
 
 def dedup_passages(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    hot_anchor: int = HOT_ANCHOR,
 ) -> DataFrame:
     """(doc_id, kept_text, n_words, n_removed, removed), one row per input row.
 
@@ -229,7 +237,7 @@ def dedup_passages(
     )
     repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     wanted = anchors.select("t1", "t2", "anchor").join(repeated, "anchor").groupBy(*key)
-    hot = F.col("n") > HOT_ANCHOR
+    hot = F.col("n") > hot_anchor
     wanted = wanted.agg(
         F.collect_set(F.when(~hot, F.col("anchor"))).alias("anchors"),
         F.collect_set(F.when(hot, F.col("anchor"))).alias("hot_anchors"),
@@ -246,15 +254,20 @@ def dedup_passages(
         _window_rows(window, gram), "kind int, h1 long, h2 int, t1 long, t2 long, start int, n int"
     )
     # a window under an uncommon anchor has few rows, which meet in one sort; the others are dealt out by a salt,
-    # and only those that are alone in their part ask for the sum over all parts
-    salt = F.when(F.col("kind") == 1, F.pmod(F.hash("t1"), F.lit(SALTS))).otherwise(0)
+    # and only those that are alone in their part ask for the sum over all parts. All three uses of the counted rows
+    # name the same columns and filters, so one exchange serves them
+    windows = windows.where("h1 IS NOT NULL AND h2 IS NOT NULL")
+    salt = F.when(F.col("kind") == 1, F.pmod(F.hash("t1"), F.lit(SALTS)))
+    salt = salt.when(F.col("kind") == KNOWN, F.pmod(F.hash("t1", "start"), F.lit(SALTS))).otherwise(0)
     total = F.sum("n").over(Window.partitionBy("h1", "h2", "salt"))
-    met = windows.withColumn("salt", salt).withColumn("total", total).where("start >= 0")
+    counted = windows.withColumn("salt", salt).withColumn("total", total)
+    met = counted.where("start >= 0")
     alone = met.where("kind = 1 AND total = 1").select("h1", "h2", *key, "start")
-    common = windows.where("kind = 1").groupBy("h1", "h2").agg(F.sum("n").alias("sum")).where("sum > 1")
+    parts = counted.where("kind = 1 AND start >= -1 AND t1 IS NOT NULL AND t2 IS NOT NULL")
+    common = parts.groupBy("h1", "h2", "salt").agg(F.max("total").alias("total"))
+    common = common.groupBy("h1", "h2").agg(F.sum("total").alias("sum")).where("sum > 1")
     alone = alone.join(common.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    # (naming kind here gives both uses the same columns, so one exchange serves them)
-    hits = met.where("total > 1 AND kind IN (0, 1)").select(*key, "start").union(alone.select(*key, "start"))
+    hits = met.where(f"total > 1 AND kind IN (0, 1, {KNOWN})").select(*key, "start").union(alone.select(*key, "start"))
     hits = hits.groupBy(*key).agg(F.collect_set("start").alias("starts"))
 
     marked = source.join(owners, key).join(hits, key, "left").select("doc_id", "text", "copies", "starts")

@@ -323,11 +323,13 @@ def test_components(spark):
     assert sorted(map(sorted, groups.values())) == [[1, 7, 8, 9], [4, 5]]
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("hot_anchor", [1000, 3, 0])
+def test_passages(spark, hot_anchor):
     shared, texts = prose(2, 50), list(ODD)
     texts += [" ".join(prose(k, 30) + shared[: 34 + k % 3] + prose(k + 90, 20)) for k in range(6)]
     texts += ["again " * 80, " ".join(shared[:35]), "p q " * 20 + "\t" + " ".join(prose(50, 40)), " ".join(prose(60, 40)), " ".join(prose(60, 40))]
-    got = by_id(substring_dedup.dedup_passages(frame(spark, texts)))
+    texts += [" ".join(shared) + " x " + " ".join(shared), " ".join(shared)]  # repeated by one text, and held by others
+    got = by_id(substring_dedup.dedup_passages(frame(spark, texts), hot_anchor=hot_anchor))
     words = [re.findall(r"[^\x20\x09-\x0d]+", t or "") for t in texts]
     counts = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     for i, w in enumerate(words):
@@ -337,6 +339,17 @@ def test_passages(spark):
     assert substring_dedup.dedup_passages(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_windows_are_exchanged_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = substring_dedup.passage_digest(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    found = [line.split("hashpartitioning")[0] for line in plan if re.search(r"Exchange.*hashpartitioning\(h1#\w+, h2#\w+, salt", line)]
+    assert [("Reused" in line) for line in found] == [False, True, True]
+
+
 def test_contamination(spark):
     item, short = prose(30, 14), ["quite", "short"]
     bench = spark.createDataFrame(
@@ -375,6 +388,28 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "double", "decimal(20,6)"])
+def test_revisits_within_a_second(spark, kind):
+    rows = [(1, "100.100000", True), (2, "100.900000", False), (3, "100.900000", True), (4, "100.900001", False), (5, "100.1", False), (6, "100.9", True)]
+    tags = {1: "v1", 2: "v1", 3: "v2", 4: "v3", 5: "v1", 6: "v3"}
+    data = [(i, "a.org/x", at, full, tags[i], None, None) for i, at, full in rows]
+    schema = "record_id long, url string, captured_at string, is_full boolean, etag string, last_modified string, headers map<string,string>"
+    at = F.col("captured_at").cast("decimal(20,6)")
+    df = spark.createDataFrame(data, schema).withColumn("captured_at", at)
+    df = df.withColumn("captured_at", F.timestamp_micros((at * 1_000_000).cast("long")).cast(kind) if "time" in kind else at.cast(kind))
+    got = by_id(warc.resolve_revisits(df), "record_id")
+    # of two full responses at one time the larger record counts
+    assert {i: (got[i]["status"], got[i]["response_id"]) for i in (2, 4, 5)} == {2: ("resolved", 1), 4: ("resolved", 6), 5: ("orphan", None)}
+
+
+def test_revisits_by_date_where_there_is_no_tag(spark):
+    rows = [(1, 1, True, None, "mon"), (2, 2, False, None, "mon"), (3, 3, False, None, "tue"), (4, 4, False, "t", "mon"), (2, 2, False, None, "mon")]
+    schema = "record_id long, url string, captured_at long, is_full boolean, etag string, last_modified string, headers map<string,string>"
+    df = spark.createDataFrame([(i, "a.org", at, full, tag, date, None) for i, at, full, tag, date in rows], schema)
+    got = warc.resolve_revisits(df).collect()
+    assert sorted((r.record_id, r.status) for r in got) == [(1, "full"), (2, "resolved"), (2, "resolved"), (3, "changed"), (4, "resolved")]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     left = docs
