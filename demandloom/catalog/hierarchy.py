@@ -142,7 +142,7 @@ def _upper_wape(spark, sf):
         "bottom_up": H.bottom_up(known, dimension, ("d",), H.UPPER_LEVELS),
         "top_down": H.top_down(known, H.proportions(history), dimension, H.UPPER_LEVELS),
         "mint_diag": MT.mint(known, dimension, weights, H.UPPER_LEVELS),
-        "mint_shrink": MT.mint(known, dimension, weights, H.UPPER_LEVELS, 0.5, H.residuals(nodes)),
+        "mint_shrink": MT.mint(known, dimension, weights, H.UPPER_LEVELS, _SHRINK, H.residuals(nodes)),
     }
     return H.mean_level_wape(H.level_wape(H.stack(methods), actual))
 
@@ -179,6 +179,110 @@ methods AS (
 _NODE = "level, key, " + big("d")
 _SHELVES = "shelf AS (SELECT DISTINCT store_id || '|' || dept_id AS id, state_id, store_id, cat_id, dept_id FROM ids)"
 
+_SHELF = H.UPPER_LEVELS[-1][0]
+_SHRINK = 0.5
+
+
+def _sweep(name: str, rows: str, size: str) -> str:
+    """Gauss-Jordan steps over the rows (i, v) of an augmented positive definite system."""
+    return f"""
+{name}(i, v, k) AS (
+  SELECT i, v, 1 FROM {rows}
+  UNION ALL
+  SELECT i, CASE WHEN i = k THEN list_transform(v, lambda e: e / top[k])
+                 ELSE list_transform(v, lambda e, j: e - v[k] / top[k] * top[j]) END, k + 1
+  FROM (SELECT *, any_value(CASE WHEN i = k THEN v END) OVER () AS top FROM {name}) WHERE k <= {size}
+)"""
+
+
+def _mint_ctes(name: str, variance: str, factor: float) -> str:
+    """``name`` (level, key, d, yhat): the dense solution with W = diag(variance) + factor R R'."""
+    return f"""
+w_{name} AS MATERIALIZED (SELECT level, key, {variance} AS w FROM urecent GROUP BY level, key),
+m_{name} AS (
+  SELECT i, j, sum(m) AS m FROM (
+    SELECT a.i, b.i AS j, w.w AS m FROM uleaf a JOIN uleaf b USING (id) JOIN w_{name} w ON w.level = '{_SHELF}' AND w.key = a.id
+    UNION ALL SELECT i, i, w FROM unum JOIN w_{name} USING (level, key)
+    UNION ALL SELECT a.i, b.i, {factor} * a.r * b.r FROM uresid a JOIN uresid b USING (t))
+  GROUP BY i, j
+),
+rows_{name} AS MATERIALIZED (
+  SELECT i, list_concat(v, g) AS v
+  FROM (SELECT i, list(coalesce(m, 0.0::DOUBLE) ORDER BY j) AS v
+        FROM (SELECT a.i, b.i AS j FROM unum a CROSS JOIN unum b) LEFT JOIN m_{name} USING (i, j) GROUP BY i)
+  JOIN (SELECT i, list(g ORDER BY d) AS g FROM ugap GROUP BY i) USING (i)
+),{_sweep(f"sweep_{name}", f"rows_{name}", "(SELECT count(*) FROM unum)")},
+x_{name} AS MATERIALIZED (
+  SELECT i, {TRAIN_END} + h AS d, v[n + h] AS x
+  FROM sweep_{name} CROSS JOIN (SELECT count(*) AS n FROM unum) CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(1, {HORIZON + 1}))
+  WHERE k = n + 1
+),
+leaf_{name} AS (
+  SELECT id, d, b.yhat + w.w * pull - coalesce(shift, 0) AS yhat
+  FROM (SELECT level, key AS id, d, yhat FROM ubase WHERE level = '{_SHELF}') b JOIN w_{name} w ON w.level = b.level AND w.key = b.id
+  JOIN (SELECT id, d, sum(x) AS pull FROM uleaf JOIN x_{name} USING (i) GROUP BY id, d) p USING (id, d)
+  LEFT JOIN (
+    SELECT c.key AS id, d, {factor} * sum(c.r * g) AS shift FROM ucentred c
+    JOIN (SELECT t, d, sum(r * x) AS g FROM uresid JOIN x_{name} USING (i) GROUP BY t, d) z ON z.t = c.d_of
+    WHERE c.level = '{_SHELF}' GROUP BY c.key, d) q USING (id, d)
+),
+{name} AS MATERIALIZED (SELECT level, key, d, sum(yhat) AS yhat FROM leaf_{name} JOIN ubr USING (id) GROUP BY level, key, d)"""
+
+
+_MINT_CTES = (
+    *_BASE_CTES,
+    _SHELVES,
+    f"""
+ubr AS MATERIALIZED ({_bridge_sql(H.UPPER_LEVELS, "shelf")}),
+urecent AS MATERIALIZED (
+  SELECT level, key, d, sum(sales) AS sales FROM panel JOIN ubr ON ubr.id = store_id || '|' || dept_id WHERE {_RECENT_SQL} GROUP BY level, key, d
+),
+ubase AS MATERIALIZED (
+  SELECT level, key, d, mean AS yhat FROM (SELECT level, key, sum(sales) / {BASE_DAYS}.0 AS mean FROM urecent WHERE level <> '{_SHELF}' GROUP BY level, key)
+  CROSS JOIN horizon
+  UNION ALL
+  SELECT '{_SHELF}', store_id || '|' || dept_id, f.d, sum(yhat) FROM leaffc f JOIN ids USING (id) GROUP BY 1, 2, 3
+),
+unum AS MATERIALIZED (
+  SELECT level, key, row_number() OVER (ORDER BY level, key) AS i FROM (SELECT DISTINCT level, key FROM ubr WHERE level <> '{_SHELF}')
+),
+uleaf AS MATERIALIZED (SELECT i, id FROM unum JOIN ubr USING (level, key)),
+ugap AS MATERIALIZED (
+  SELECT i, b.d AS d, any_value(b.yhat) - sum(l.yhat) AS g FROM unum JOIN ubase b USING (level, key) JOIN uleaf USING (i)
+  JOIN ubase l ON l.level = '{_SHELF}' AND l.key = id AND l.d = b.d GROUP BY i, b.d
+),
+ucentred AS MATERIALIZED (SELECT level, key, d AS d_of, sales - avg(sales) OVER (PARTITION BY level, key) AS r FROM urecent),
+uresid AS MATERIALIZED (
+  SELECT i, b.d_of AS t, any_value(b.r) - sum(l.r) AS r FROM unum JOIN ucentred b USING (level, key) JOIN uleaf USING (i)
+  JOIN ucentred l ON l.level = '{_SHELF}' AND l.key = id AND l.d_of = b.d_of GROUP BY i, b.d_of
+)""",
+)
+_DIAGONAL = _mint_ctes("mint_diag", f"var_pop(sales) + {H.VARIANCE_FLOOR}", 0.0)
+_SHRUNK = _mint_ctes(
+    "mint_shrink", f"(var_pop(sales) * {BASE_DAYS} / {BASE_DAYS - 1} + {H.VARIANCE_FLOOR}) * {_SHRINK}", (1 - _SHRINK) / (BASE_DAYS - 1)
+)
+_UPPER_METHODS = f"""
+uleaffc AS (SELECT key AS id, d, yhat FROM ubase WHERE level = '{_SHELF}'),
+ushare AS (
+  SELECT key AS id, avg(sales) / nullif(sum(avg(sales)) OVER (), 0) AS share FROM urecent WHERE level = '{_SHELF}' GROUP BY key
+),
+umethods AS (
+  SELECT 'base' AS method, level, key, d, yhat FROM ubase
+  UNION ALL SELECT 'bottom_up', level, key, d, sum(yhat) FROM uleaffc JOIN ubr USING (id) GROUP BY level, key, d
+  UNION ALL SELECT 'top_down', u.level, u.key, t.d, sum(share * t.yhat)
+    FROM ushare JOIN ubr u USING (id) CROSS JOIN (SELECT d, yhat FROM ubase WHERE level = 'total') t GROUP BY u.level, u.key, t.d
+  UNION ALL SELECT 'mint_diag', * FROM mint_diag
+  UNION ALL SELECT 'mint_shrink', * FROM mint_shrink
+),
+uactual AS (
+  SELECT level, key, d, sum(sales) AS sales FROM {TEST_ROWS} t JOIN ubr ON ubr.id = store_id || '|' || dept_id GROUP BY level, key, d
+)"""
+
+
+def _recursive(select: str, *ctes: str) -> str:
+    return with_forecasts(select, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ENTRIES: dict[str, Entry] = {
     "hi_nodes": entry(
         lambda s, sf: H.nodes(_dimension(s, sf)),
@@ -251,8 +355,12 @@ ENTRIES: dict[str, Entry] = {
             *_BASE_CTES,
         ),
     ),
-    "hi_mint_diag": entry(lambda s, sf: _mint(s, sf, 0.0)[3], None),
-    "hi_mint_shrink": entry(lambda s, sf: _mint(s, sf, 0.5)[3], None),
+    "hi_mint_diag": entry(
+        lambda s, sf: _mint(s, sf, 0.0)[3], _recursive(f"SELECT {_NODE}, {rr('yhat')} FROM mint_diag", *_MINT_CTES, _DIAGONAL)
+    ),
+    "hi_mint_shrink": entry(
+        lambda s, sf: _mint(s, sf, _SHRINK)[3], _recursive(f"SELECT {_NODE}, {rr('yhat')} FROM mint_shrink", *_MINT_CTES, _SHRUNK)
+    ),
     "hi_mint_optimality": entry(
         _mint_optimality,
         with_panel(
@@ -271,5 +379,13 @@ ENTRIES: dict[str, Entry] = {
             f"FROM ids CROSS JOIN range({TRAIN_END + 1}, {TRAIN_END + HORIZON + 1})"
         ),
     ),
-    "hi_upper_methods_wape": entry(_upper_wape, None),
+    "hi_upper_methods_wape": entry(
+        _upper_wape,
+        _recursive(
+            f"SELECT method, {r('avg(wape)', 'mean_wape')} FROM (SELECT method, level, "
+            "sum(abs(yhat - sales)) / nullif(sum(abs(sales)), 0) AS wape "
+            "FROM umethods JOIN uactual USING (level, key, d) GROUP BY method, level) GROUP BY method",
+            *_MINT_CTES, _DIAGONAL, _SHRUNK, _UPPER_METHODS,
+        ),
+    ),
 }

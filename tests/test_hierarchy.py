@@ -202,11 +202,31 @@ def test_mint_shrink_equals_dense_solve(spark):
         assert got[node] == pytest.approx(expected[node], abs=1e-5)
 
 
+@pytest.mark.parametrize("entries", [4096, 3])
+def test_block_solver_equals_dense_solve(spark, monkeypatch, entries):
+    """Right-hand sides of few independent columns, a null one, and matrix columns that are dealt out over salts."""
+    monkeypatch.setattr(MT, "COLUMN_ENTRIES", entries)
+    monkeypatch.setattr(MT, "HELPERS", 2)
+    rng = np.random.default_rng(9)
+    n = 60
+    low = np.abs(rng.normal(size=(n, 4))) * (rng.random((n, 4)) < 0.5)
+    m = low @ low.T + np.diag(rng.uniform(1, 100, n))
+    m[0, 1:] = m[1:, 0] = 0.05
+    b = rng.normal(size=(n, 3)) @ rng.normal(size=(3, 7))
+    b[:, 2] = 0.0
+    matrix = spark.createDataFrame([(f"n{i}", f"n{j}", float(m[i, j])) for i in range(n) for j in range(n) if m[i, j]], "row string, col string, m double")
+    rhs = spark.createDataFrame([(f"n{i}", [float(v) for v in b[i]]) for i in range(n)], "node string, gap array<double>")
+    got = {r.node: r.x for r in MT._solve(matrix, rhs, 7, 1e-11, 60).collect()}
+    np.testing.assert_allclose([got[f"n{i}"] for i in range(n)], np.linalg.solve(m, b), rtol=1e-7, atol=1e-9)
+    zero = rhs.withColumn("gap", F.transform("gap", lambda v: v * 0))
+    assert all(not any(r.x) for r in MT._solve(matrix, zero, 7, 1e-11, 60).collect())
+
+
 def test_solver_reports_no_convergence(spark):
     meta = _crossed(spark)
     base = _base(spark, meta)
     with pytest.raises(MT.NotConverged):
-        MT.mint(base, meta, _weights(spark, base), max_iter=1)
+        MT.mint(base, meta, _weights(spark, base), max_iter=0)
 
 
 def test_constant_node_keeps_a_positive_variance(spark):
