@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +25,8 @@ WINDOWS = (7, 28, 90)
 STATS = ("mean", "std", "median", "zero_frac")
 EWM_ALPHAS = (0.1,)
 
-# exp(690) is just inside the range of a double.
-_MAX_EXPONENT = 690.0
+# Powers inside a block of days; exp(690) is the end of a double's range.
+_MAX_EXPONENT = 600.0
 
 
 def _refuse_leak(kind: str, offsets: Iterable[int], horizon: int) -> None:
@@ -121,58 +120,56 @@ def ewm_name(alpha: float) -> str:
 
 
 def ewm_features(
-    df: DataFrame,
-    alphas: Iterable[float] = EWM_ALPHAS,
-    shift: int = HORIZON,
-    horizon: int = HORIZON,
-    long_series: bool = False,
+    df: DataFrame, alphas: Iterable[float] = EWM_ALPHAS, shift: int = HORIZON, horizon: int = HORIZON
 ) -> DataFrame:
-    """Bias-corrected exponentially weighted mean of the sales up to ``shift`` days ago.
+    """Bias-corrected exponentially weighted mean of the sales up to ``shift`` days ago, for series of any length.
 
-    With k = 1 - alpha and i the day of the series, the mean is
-    sum(x k^-i) / sum(k^-i): two running totals. k^-i leaves the range of a
-    double after about 690 / -ln(k) days (6,500 for alpha 0.1); the job then
-    fails with a message, and ``long_series=True`` computes series by series.
+    With k = 1 - alpha the mean on day t is sum(x k^(t-i)) / sum(k^(t-i)). Days are cut into blocks, short enough that
+    k^-i counted from a block's start stays inside a double. A block is summed up as (block, weight, weighted sum); two such
+    sums combine by decaying the earlier one, so a day adds its block so far to the fold of all blocks before it. Days
+    without sales leave the mean as it is.
     """
     _refuse_leak("ewm shift", [shift], horizon)
-    if long_series:
-        return _ewm_by_series(df, tuple(alphas), shift)
-    age = F.col("d") - F.min("d").over(Window.partitionBy("id"))
-    out = df.withColumn("_age", age)
+    out = df
     for alpha in alphas:
-        growth = -math.log1p(-alpha)
-        weight = F.when(
-            F.col("_age") * growth > _MAX_EXPONENT,
-            F.raise_error(F.lit(f"series too long for alpha={alpha}: use long_series=True")),
-        ).otherwise(F.exp(F.col("_age") * growth))
-        known = F.when(F.col("sales").isNotNull(), weight)
-        out = (
-            out.withColumns({"_w": known, "_wx": known * F.col("sales")})
-            .withColumn(ewm_name(alpha), F.sum("_wx").over(up_to(shift)) / F.sum("_w").over(up_to(shift)))
-            .drop("_w", "_wx")
+        out = _ewm_of_days(out, alpha).withColumn(ewm_name(alpha), F.last("_ewm", True).over(up_to(shift))).drop("_ewm")
+    return out
+
+
+def _ewm_of_days(df: DataFrame, alpha: float) -> DataFrame:
+    """``_ewm``: the mean up to and including each day that has sales, null on other days."""
+    growth = -math.log1p(-alpha)
+    days = max(1, int(_MAX_EXPONENT / growth))
+    known = F.col("sales").isNotNull()
+    weight = F.when(known, F.exp((F.col("d") - F.col("_block") * days) * growth))
+    out = df.withColumn("_block", F.floor(F.col("d") / days).cast("long"))
+    out = out.withColumns({"_w": weight, "_wx": weight * F.col("sales")})
+    in_block = Window.partitionBy("id", "_block").orderBy("d")
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    whole = in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = out.withColumns(
+        {
+            "_sum": F.struct("_block", F.sum("_w").over(whole).alias("w"), F.sum("_wx").over(whole).alias("wx")),
+            "_first": F.row_number().over(in_block) == 1,
+            "_w": F.sum("_w").over(so_far), "_wx": F.sum("_wx").over(so_far),
+        }
+    )
+    # one entry per earlier block that has sales
+    earlier = Window.partitionBy("id").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    blocks = F.collect_list(F.when(F.col("_first") & F.col("_sum.w").isNotNull(), F.col("_sum"))).over(earlier)
+    decay = lambda blocks: F.exp(-growth * days * blocks)
+    nothing = F.struct(F.lit(None).cast("long").alias("block"), F.lit(0.0).alias("w"), F.lit(0.0).alias("wx"))
+
+    def combine(total: Column, block: Column) -> Column:
+        kept = F.coalesce(decay(block["_block"] - total["block"]), F.lit(0.0))
+        return F.struct(
+            block["_block"].alias("block"), (total["w"] * kept + block["w"]).alias("w"), (total["wx"] * kept + block["wx"]).alias("wx")
         )
-    return out.drop("_age")
-
-
-def _ewm_by_series(df: DataFrame, alphas: tuple[float, ...], shift: int) -> DataFrame:
-    """One Python group per series, whose size is its number of days."""
-    schema = T.StructType(
-        [df.schema["id"], df.schema["d"], *[T.StructField(ewm_name(a), T.DoubleType()) for a in alphas]]
-    )
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("d")
-        by_day = rows.set_index("d")["sales"].astype("float64")
-        days = range(int(by_day.index.min()), int(by_day.index.max()) + 1)
-        dense = by_day.reindex(days).shift(shift)
-        out = rows[["id", "d"]].copy()
-        for alpha in alphas:
-            out[ewm_name(alpha)] = dense.ewm(alpha=alpha).mean().reindex(rows["d"]).to_numpy()
-        return out
-
-    smoothed = df.select("id", "d", "sales").groupBy("id").applyInPandas(smooth, schema)
-    nan_as_null = {ewm_name(a): F.nullif(F.col(ewm_name(a)), F.lit(float("nan"))) for a in alphas}
-    return df.join(smoothed.withColumns(nan_as_null), ["id", "d"], "left")
+
+    out = out.withColumn("_before", F.aggregate(blocks, nothing, combine))
+    reach = F.coalesce(decay(F.col("_block") - F.col("_before.block")), F.lit(0.0))
+    mean = (F.col("_wx") + F.col("_before.wx") * reach) / (F.col("_w") + F.col("_before.w") * reach)
+    return out.withColumn("_ewm", F.when(known, mean)).select(*df.columns, "_ewm")
 
 
 def historical_mean(df: DataFrame, shift: int = HORIZON, horizon: int = HORIZON) -> DataFrame:
