@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from demandloom.catalog.base import Entry, big, entry, r, rr, with_panel
 from demandloom.operators import explore as X
 from demandloom.operators.price import PROMO_THRESHOLD
@@ -11,6 +9,7 @@ from demandloom.plans import retail
 from demandloom.plans.stages import panel_table
 
 EVENT_NAMES = tuple(name for _, _, name, _ in retail.EVENTS)
+# Fixed values of the derived panel, for the columns of the SQL text only.
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
@@ -19,8 +18,8 @@ def _daily(spark, sf):
 
 
 def _store_category(spark, sf):
-    wide = X.store_category_means(retail.panel(spark, sf), CATEGORIES)
-    return wide.withColumnsRenamed({c: c.lower() for c in CATEGORIES})
+    wide = X.store_category_means(retail.panel(spark, sf))
+    return wide.withColumnsRenamed({c: c.lower() for c in wide.columns})
 
 
 def _exemplar_view(spark, sf):
@@ -96,7 +95,7 @@ ENTRIES: dict[str, Entry] = {
         with_panel(f"SELECT id, {rr('zero_frac')} FROM zero", _ZERO_CTE),
     ),
     "ed_median_zero_fraction": entry(
-        lambda s, sf: X.zero_fractions(retail.panel(s, sf)).agg(F.percentile("zero_frac", 0.5).alias("median_zero_frac")),
+        lambda s, sf: X.median_zero_fraction(X.zero_fractions(retail.panel(s, sf))),
         with_panel(f"SELECT {r('median(zero_frac)', 'median_zero_frac')} FROM zero", _ZERO_CTE),
     ),
     "ed_zero_histogram": entry(

@@ -39,7 +39,7 @@ def _clusters(spark, sf):
 def _violations(spark, sf):
     panel = retail.panel(spark, sf)
     n_series = retail.daily_sales(spark, sf).select("id").distinct().count()
-    first, last = retail.span(spark, sf).first()
+    first, last = retail.first_and_last_day(spark, sf)
     return P.violation_counts(panel, n_series, last - first + 1)
 
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.functions import selection
 from demandloom.functions.windows import by_series, ratio, share
 from demandloom.operators.price import PROMO_THRESHOLD
+from demandloom.session import cut_lineage
 
 # Fixed values.
 CENTRED_DAYS = 28
@@ -90,8 +92,16 @@ def zero_histogram(fractions: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFram
     )
 
 
-def store_category_means(panel: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """(store_id, one mean column per category)."""
+def median_zero_fraction(fractions: DataFrame) -> DataFrame:
+    """One row, ``median_zero_frac``, from (id, zero_frac) by distributed selection."""
+    kept = cut_lineage(fractions.select("zero_frac"))
+    return kept.sparkSession.createDataFrame([(selection.median(kept, "zero_frac"),)], "median_zero_frac double")
+
+
+def store_category_means(panel: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+    """(store_id, one mean column per category): those given, or all of the table, which are as many columns."""
+    if categories is None:
+        categories = sorted(r[0] for r in panel.select("cat_id").distinct().dropna().collect())
     return panel.groupBy("store_id").pivot("cat_id", list(categories)).agg(F.avg("sales"))
 
 
@@ -133,9 +143,11 @@ def series_view(panel: DataFrame, series: DataFrame, days: int = 7) -> DataFrame
 def headline(panel: DataFrame) -> DataFrame:
     """One row: zero fractions, weekend lift over Tuesday and Wednesday, Christmas against an average day."""
     zeros = panel.groupBy("id").agg(F.count_if(F.col("sales") == 0).alias("_z"), F.count("*").alias("_n"))
+    zeros = cut_lineage(zeros.withColumn("_share", F.col("_z") / F.col("_n")))
+    middle = selection.median(zeros, "_share")
     per_series = zeros.agg(
         F.round(share(F.sum("_z"), F.sum("_n")), 4).alias("zero_sales_frac"),
-        F.round(F.percentile(F.col("_z") / F.col("_n"), 0.5), 4).alias("median_series_zero_frac"),
+        F.round(F.lit(middle).cast("double"), 4).alias("median_series_zero_frac"),
     )
     daily = daily_totals(panel)
     per_day = daily.agg(

@@ -38,6 +38,17 @@ def span(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_known_days: dict[tuple, tuple[int, int]] = {}
+
+
+def first_and_last_day(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """``span`` as two numbers, found once per session and set of files."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(table(spark, sf_dir, "lineitem").inputFiles())))
+    if key not in _known_days:
+        _known_days[key] = tuple(span(spark, sf_dir).first())
+    return _known_days[key]
+
+
 def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units and unit prices per (series, day) with at least one line item.
 
@@ -120,7 +131,8 @@ def _flag(date, first_day: int):
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per day of the panel: date, week, events and one flag per state."""
     date = F.col("date")
-    days = span(spark, sf_dir).select(F.explode(F.sequence("first", "last")).alias("n")).withColumn("date", _date(F.col("n")))
+    first, last = first_and_last_day(spark, sf_dir)
+    days = spark.range(first, last + 1).select(F.col("id").cast("int").alias("n")).withColumn("date", _date(F.col("n")))
     return days.select(
         F.concat(F.lit(P.DAY_PREFIX), F.col("n").cast("string")).alias("d"),
         "date",
@@ -140,8 +152,7 @@ def event_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(identity, d, sales, price parts), one row per series and day."""
-    days = span(spark, sf_dir)
-    first, last = days.select("first").scalar(), days.select("last").scalar()
+    first, last = first_and_last_day(spark, sf_dir)
     fill = {"sales": 0, "price_sum": None, "price_n": None}
     return P.densify(daily_sales(spark, sf_dir), first, last, fill, P.ID_COLS)
 
@@ -174,6 +185,6 @@ def wide_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per series, one column per day: the layout of the raw sales file."""
     by_day = F.array_sort(F.collect_list(F.struct("d", "sales")))
     series = dense_sales(spark, sf_dir).groupBy(*P.ID_COLS).agg(by_day.alias("_days"))
-    first, last = span(spark, sf_dir).first()
+    first, last = first_and_last_day(spark, sf_dir)
     days = [f"_days[{n - first}].sales AS `{P.DAY_PREFIX}{n}`" for n in range(first, last + 1)]
     return series.selectExpr(*P.ID_COLS, *days)
