@@ -55,6 +55,10 @@ def _window_rows(windows, keys):
     )
 
 
+def _sampled_windows(spark, sf):
+    return _window_rows(TW.cut_windows(_arrays(spark, sf), _draws(spark, sf)), ["draw", "id", "start"])
+
+
 def _windows(spark, sf):
     arrays = _arrays(spark, sf)
     draws = arrays.select("id", F.explode(F.array(*[F.lit(s) for s in STARTS])).alias("start"))
@@ -83,6 +87,29 @@ _COV_SQL = {
 _COVS = ", ".join(r(sql, name) for name, sql in _COV_SQL.items())
 
 
+def _uniform_sql(seed: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST(draw AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+_SEED = 42
+_DRAWS_CTE = f"""
+volume AS (SELECT id, CAST(sum(sales) AS DOUBLE) / {TRAIN_END} + {TW.MIN_VOLUME} AS weight FROM panel WHERE d <= {TRAIN_END} GROUP BY id),
+many AS (SELECT {SEEDED_DRAWS_PER_SERIES} * count(*) AS n FROM volume),
+laid AS (
+  SELECT id, weight / (SELECT sum(weight) FROM volume) * n AS width, sum(weight / (SELECT sum(weight) FROM volume) * n) OVER (ORDER BY id) AS upto
+  FROM volume CROSS JOIN many
+),
+drawn AS (SELECT draw, {_uniform_sql(_SEED)} * n AS place, {_uniform_sql(_SEED + 1)} AS u FROM many CROSS JOIN LATERAL (SELECT unnest(range(n)) AS draw)),
+draws AS MATERIALIZED (
+  SELECT draw, id, {CONTEXT} + CAST(floor(u * {TRAIN_END - HORIZON - CONTEXT}) AS BIGINT) AS start
+  FROM drawn JOIN laid ON place >= upto - width AND place < upto
+)"""
+_CUT_CTE = f"""
+win AS (
+  SELECT draw, id, start, 1 + avg(CASE WHEN d <= start THEN sales END) AS nu, max(CASE WHEN d = start + {HORIZON} THEN sales END) AS last_target
+  FROM panel JOIN draws USING (id) WHERE d > start - {CONTEXT} AND d <= start + {HORIZON} GROUP BY draw, id, start
+)"""
+
 ENTRIES: dict[str, Entry] = {
     "tw_series_arrays": entry(
         _array_rows, with_panel(f"SELECT id, {big('d')}, {r('sales', 'sales')}, {_COVS} FROM panel")
@@ -103,7 +130,17 @@ ENTRIES: dict[str, Entry] = {
         lambda s, sf: TW.series_weights(retail.panel(s, sf).select("id", "d", "sales"), TRAIN_END),
         with_panel(f"SELECT id, {r(f'avg(sales) + {TW.MIN_VOLUME}', 'weight')} FROM panel WHERE d <= {TRAIN_END} GROUP BY id"),
     ),
-    "tw_sample_windows": entry(_draws, None),
+    "tw_sample_windows": entry(_draws, with_panel(f"SELECT {big('draw', 'start')}, id FROM draws", _DRAWS_CTE)),
+    "tw_cut_sampled_windows": entry(
+        _sampled_windows,
+        with_panel(
+            f"SELECT draw, p.id, CAST(start AS BIGINT) AS start, {r('nu', 'nu')}, {r('last_target', 'last_target')}, "
+            f"CAST(p.d - start + {CONTEXT} - 1 AS BIGINT) AS pos, {r('p.sales', 'past')}, {r('p.sales / nu', 'past_scaled')} "
+            f"FROM panel p JOIN win w ON p.id = w.id AND p.d > start - {CONTEXT} AND p.d <= start",
+            _DRAWS_CTE,
+            _CUT_CTE,
+        ),
+    ),
     "tw_sample_checks": entry(
         _draw_checks,
         with_panel(

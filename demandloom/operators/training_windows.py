@@ -62,9 +62,14 @@ def series_weights(panel: DataFrame, train_end: int) -> DataFrame:
     return trained.groupBy("id").agg((F.sum("sales") / F.lit(float(train_end)) + MIN_VOLUME).alias("weight"))
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on the given values only, so a lost task draws the same."""
-    return F.pmod(F.xxhash64(*parts), F.lit(2**52)).cast("double") / float(2**52)
+def uniform(seed: int, number: Column) -> Column:
+    """A number in [0, 1) that depends on seed and number only: 52 bits of their md5.
+
+    A lost task draws the same again, and so does any other engine.
+    """
+    text = F.concat(F.lit(f"{seed}:"), number.cast("string"))
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10)
+    return bits.cast("double") / float(2**52)
 
 
 def _unit_cells(spans: DataFrame) -> DataFrame:
@@ -96,12 +101,12 @@ def sample_windows(
     laid = running_total(scaled, ["id"], F.col("_width"), "_end")
     cells = _unit_cells(laid.withColumn("_begin", F.col("_end") - F.col("_width")).select("id", "_begin", "_end"))
     draws = weights.sparkSession.range(n_windows).select(
-        F.col("id").alias("draw"), (_uniform(F.lit(seed), F.col("id")) * n_windows).alias("_at")
+        F.col("id").alias("draw"), (uniform(seed, F.col("id")) * n_windows).alias("_at")
     )
     draws = draws.withColumn("_cell", F.floor("_at"))
     hit = draws.join(cells, "_cell").where((F.col("_begin") <= F.col("_at")) & (F.col("_at") < F.col("_end")))
     room = train_end - horizon - context
-    offset = F.floor(_uniform(F.lit(seed + 1), F.col("draw")) * room).cast("int")
+    offset = F.floor(uniform(seed + 1, F.col("draw")) * room).cast("int")
     return hit.select("draw", "id", (F.lit(context) + offset).alias("start"))
 
 

@@ -18,14 +18,14 @@ SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
 SAMPLE = [
     "io_price_scan", "io_forecast_store", "pn_panel", "pn_violations", "pn_join_prices", "ft_lags", "ft_rolling_std",
-    "cl_event_distances", "pr_promotion", "fc_all_baselines", "fc_quantiles", "tw_inference_windows", "hi_nodes",
+    "cl_event_distances", "pr_promotion", "fc_all_baselines", "fc_quantiles", "tw_inference_windows", "tw_cut_sampled_windows", "hi_nodes",
     "hi_level_wape", "hi_mint_shrink", "me_backtest", "me_backtest_linear", "me_comparison_report", "me_weighted_rmsse", "an_error_taxonomy", "an_winner_share", "ed_event_windows",
     "ed_headline",
 ]
-# Fitted trees and Tweedie models, and random draws: unit tests compare these with slow versions.
+# Fitted trees and Tweedie models: unit tests compare these with slow versions.
 WITHOUT_SQL = {
     "fc_boosted_trees", "fc_feature_importance", "fc_tweedie_reg", "fc_tweedie_trees", "fc_tweedie_importance",
-    "io_importance_store", "me_backtest_trees", "me_holdout_trees", "tw_sample_windows",
+    "io_importance_store", "me_backtest_trees", "me_holdout_trees",
 }
 CHOSEN = [n for n, e in ENTRIES.items() if e.sql] if os.environ.get("ALL_QUERIES") else SAMPLE
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -81,6 +82,13 @@ def test_draws_follow_the_weights_and_repeat(panel):
     assert not first.exceptAll(TW.sample_windows(weights, 4000, END, CONTEXT, seed=7)).isEmpty()
 
 
+def test_uniform_numbers_are_bits_of_md5(spark):
+    got = spark.range(500).select("id", TW.uniform(7, F.col("id")).alias("u")).collect()
+    for r in got:
+        assert r.u == int(hashlib.md5(f"7:{r.id}".encode()).hexdigest()[:13], 16) / 2**52
+    assert 0.45 < np.mean([r.u for r in got]) < 0.55
+
+
 def test_running_total_over_many_partitions(spark):
     df = spark.range(1000).selectExpr("lpad(cast((id * 7919) % 1000 as string), 4, '0') AS k", "(id * 7919) % 1000 AS v")
     got = running_total(df, ["k"], F.col("v"), "total").orderBy("k").collect()
