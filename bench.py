@@ -27,6 +27,7 @@ QUERIES = [
     "ft_ewm",
     "pr_promotion",
     "fc_all_baselines",
+    "fc_linear_folds",
     "fc_quantiles",
     "me_backtest",
     "me_node_scales",

@@ -297,6 +297,8 @@ def mint(
     its products with the residual table. The driver holds matrices of residual days by days.
     """
     leaf, is_leaf = leaf_level(levels), F.col("level") == leaf_level(levels)
+    # read several times each, and small beside what they are made from
+    base, meta = cut_lineage(base.select("level", "key", "d", "yhat")), cut_lineage(meta)
     days = _days(base, "d")
     gaps = _arrays(_gap(base, meta, "yhat", "d", levels), ["node"], "d", days, "gap")
     resid, times = None, []
@@ -308,6 +310,7 @@ def mint(
         )
         known = cut_lineage(_arrays(_gap(resid, meta, "resid", "t", levels), ["node"], "t", times, "gap").withColumnRenamed("gap", "known"))
         gaps = known.join(gaps, "node").select("node", F.concat("known", "gap").alias("gap"))
+    weights = cut_lineage(weights)
     matrix = cut_lineage(_overlap_matrix(meta, weights, levels))
     solution = _solve(matrix, gaps, len(times) + len(days), tol, max_iter)
 
