@@ -354,22 +354,25 @@ def scan_licenses(
     )
 
 
-# The tree that the query derives: source / language / shelf of SHELF documents; the first of a shelf is its
-# licence file, and the first of every SHELF**3 documents is that of its source and language.
-SHELF = 16
+# The tree that the query derives: folders of SHELVES[0] neighbouring ids, each of them in one of SHELVES[1] ids, and so on.
+# The first document of a folder is its licence file, of the widest folder that it is first of.
+SHELVES = (16, 64, 256)
 
 
 def tree_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, path, text): documents laid out as files."""
+    """(doc_id, path, text): documents laid out as files that share folders; source and language are in their names."""
     docs = pick(documents, doc_id="doc_id", lang="lang", source="source", text="text")
-    top = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")))
-    shelf = F.concat_ws("/", top, F.floor(F.col("doc_id") / SHELF).cast("string"))
-    path = (
-        F.when(F.col("doc_id") % SHELF**3 == 0, F.concat_ws("/", top, F.lit("LICENSE")))
-        .when(F.col("doc_id") % SHELF == 0, F.concat_ws("/", shelf, F.lit("LICENSE")))
-        .otherwise(F.concat(shelf, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    folder, path = None, None
+    for size in reversed(SHELVES):
+        part = F.floor(F.col("doc_id") / size).cast("string")
+        folder = part if folder is None else F.concat_ws("/", folder, part)
+        first = F.when(F.col("doc_id") % size == 0, F.concat(folder, F.lit("/LICENSE")))
+        path = first if path is None else F.coalesce(path, first)
+    name = F.concat_ws("-", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    # a null id has no folder, and so no path
+    return docs.select("doc_id", F.coalesce(path, F.concat(folder, F.lit("/"), name, F.lit(".txt"))).alias("path"), "text").withColumn(
+        "path", F.when(F.col("doc_id").isNotNull(), F.col("path"))
     )
-    return docs.select("doc_id", path.alias("path"), "text")
 
 
 def license_query(documents: DataFrame) -> DataFrame:

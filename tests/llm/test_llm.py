@@ -162,6 +162,27 @@ def test_licenses(spark):
         assert matcher.best(line) == whole.best(line)
 
 
+def test_documents_inherit_from_their_folder_and_from_above(spark):
+    """On the given table, against a walk up the folders of every file."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = licenses.license_query(docs).collect()
+    assert len(rows) == docs.count()
+    held: dict = {}
+    for r in rows:
+        if r.path.endswith("/LICENSE") and r.own_license:
+            assert held.setdefault(r.path[: -len("/LICENSE")], r.own_license) == r.own_license
+    same = above = 0
+    for r in rows:
+        folder, expected = r.path.rsplit("/", 1)[0], (None, None)
+        while r.own_license is None and expected[0] is None and folder:
+            expected = (held.get(folder), folder) if folder in held else (None, None)
+            same += folder in held and folder.count("/") == 2
+            above += folder in held and folder.count("/") < 2
+            folder = folder.rpartition("/")[0]
+        assert (r.inherited_license, r.inherited_from) == expected and r.license == (r.own_license or expected[0])
+    assert same >= 100 and above >= 200
+
+
 def test_licenses_agree_in_what_tells_them_apart():
     common = {t: 300 for t in "the this of to and in for or with is by work under".split()} | {"license": 200, "licensed": 150, "mit": 150}
     matcher = licenses.Matcher(licenses.TEMPLATES, common, 1000, licenses.THRESHOLD)
