@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.tables import pick
+from demandloom.llm.tables import pick, stage
 
 THRESHOLD = 0.6
 LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
@@ -334,7 +334,8 @@ def scan_licenses(
     scanned = source.mapInArrow(
         run, f"file_id {id_type}, path string, is_license_file boolean, own_license string, own_score double"
     )
-    scanned = scanned.withColumn("folder", _folder(F.col("path")))
+    # written once: three uses follow, and the matching of texts is all the work
+    scanned = stage(scanned).withColumn("folder", _folder(F.col("path")))
     licensed = scanned.where("is_license_file AND own_license IS NOT NULL").groupBy("folder")
     licensed = licensed.agg(F.min(F.struct(F.negate("own_score").alias("order"), "own_license")).alias("best"))
     licensed = licensed.select(F.col("folder").alias("above"), F.col("best.own_license").alias("inherited_license"))
