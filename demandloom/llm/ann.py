@@ -13,7 +13,8 @@ whose limit Spark applies before the shuffle.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite
 components take no part; vectors of different dimension never meet; a null id takes
-no part; a repeated id is one vector per row, none of which is a neighbour of its own id.
+no part; a repeated id is one vector per row: each of its rows is a query of its own, with a list of its own under the same
+query id, and a candidate for all rows but itself.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.llm.tables import pick
+from demandloom.llm.tables import pick, stage
 
 K = 20
 BITS = 256
@@ -77,14 +78,14 @@ def exact_products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
-def _search_block(q_ids, queries, ids, vectors, codes, norms, agreement, k, bits, seed, epsilon) -> Iterator[tuple]:
-    """(query id, neighbour ids, scores) of the best ``k`` vectors of the block, all that tie with the last included."""
-    for low in range(0, len(q_ids), _QUERY_STEP):
+def _search_block(q_rows, queries, rows, ids, vectors, codes, norms, agreement, k, bits, seed, epsilon) -> Iterator[tuple]:
+    """(place of the query, neighbour ids, scores) of the best ``k`` vectors of the block, ties to smaller ids."""
+    for low in range(0, len(q_rows), _QUERY_STEP):
         part = queries[low : low + _QUERY_STEP]
         estimates, errors = estimate(part, codes, norms, agreement, seed, bits, epsilon)
         lower, upper = estimates - errors, estimates + errors
         for row in range(len(part)):
-            own = ids == q_ids[low + row]
+            own = rows == q_rows[low + row]
             low_bounds = np.where(own, -np.inf, lower[row])
             if k < len(ids):
                 bar = np.partition(low_bounds, len(ids) - k)[len(ids) - k]
@@ -93,11 +94,11 @@ def _search_block(q_ids, queries, ids, vectors, codes, norms, agreement, k, bits
                 chosen = np.flatnonzero(~own)
             scores = exact_products(part[row], vectors[chosen])
             order = np.lexsort((ids[chosen], -scores))[:k]
-            yield q_ids[low + row], ids[chosen][order], scores[order]
+            yield low + row, ids[chosen][order], scores[order]
 
 
 def _encode_rows(bits: int, seed: int):
-    """Adds code, norm and agreement to (id, dim, embedding); a batch may mix dimensions."""
+    """Adds code, norm and agreement to (row, id, dim, embedding); a batch may mix dimensions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,6 +109,7 @@ def _encode_rows(bits: int, seed: int):
                 codes, norms, agreement = encode(vectors, bits, seed)
                 yield pa.record_batch(
                     {
+                        "row": part.column("row"),
                         "id": part.column("id"),
                         "dim": part.column("dim"),
                         "embedding": part.column("embedding"),
@@ -140,8 +142,9 @@ def nearest(
     vec_id: str = "vec_id",
     embedding: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest vectors of every row for which ``is_query(id)`` holds."""
-    usable = usable_vectors(vectors, vec_id, embedding)
+    """(query_id, rank, vec_id, score): the ``k`` nearest other rows of every row for which ``is_query(id)`` holds."""
+    # numbered and written, so that a row keeps its number in every use
+    usable = stage(usable_vectors(vectors, vec_id, embedding).withColumn("row", F.monotonically_increasing_id()))
     id_type = usable.schema["id"].dataType.simpleString()
     # two numbers per dimension, and there are few dimensions
     counts = usable.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query(F.col("id"))).alias("q")).collect()
@@ -152,36 +155,37 @@ def nearest(
     )
     placed = usable.join(F.broadcast(sides), "dim")
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
 
-    coded = placed.select("id", "dim", "embedding").mapInArrow(
+    coded = placed.select("row", "id", "dim", "embedding").mapInArrow(
         _encode_rows(bits, seed),
-        f"id {id_type}, dim int, embedding array<double>, code binary, norm double, agreement double",
+        f"row long, id {id_type}, dim int, embedding array<double>, code binary, norm double, agreement double",
     )
     coded = coded.join(F.broadcast(sides), "dim")
     coded = coded.withColumn("vb", own("vector_blocks")).withColumn("qb", F.explode(numbers("query_blocks")))
     queries = placed.where(is_query(F.col("id"))).withColumn("qb", own("query_blocks"))
-    queries = queries.withColumn("vb", F.explode(numbers("vector_blocks"))).select("id", "dim", "embedding", "qb", "vb")
+    queries = queries.withColumn("vb", F.explode(numbers("vector_blocks"))).select("row", "id", "dim", "embedding", "qb", "vb")
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[np.ndarray, ...]] = []
         if len(left) and len(right):
             # sorted, so that a repeated task meets the rows in the same order
-            right = right.sort_values("id", kind="stable")
+            right = right.sort_values(["id", "row"])
             found = _search_block(
-                left["id"].to_numpy(), np.vstack(left["embedding"].to_numpy()), right["id"].to_numpy(),
+                left["row"].to_numpy(), np.vstack(left["embedding"].to_numpy()), right["row"].to_numpy(), right["id"].to_numpy(),
                 np.vstack(right["embedding"].to_numpy()),
                 np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1),
                 right["norm"].to_numpy(), right["agreement"].to_numpy(), k, bits, seed, epsilon,
             )
             rows = [(np.full(len(ids), q), ids, scores) for q, ids, scores in found]
-        q, ids, scores = (np.concatenate([r[i] for r in rows]) if rows else np.empty(0) for i in range(3))
-        return pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores})
+        at, ids, scores = (np.concatenate([r[i] for r in rows]) if rows else np.empty(0) for i in range(3))
+        asked = left.iloc[at.astype(int)]
+        return pd.DataFrame({"query_row": asked["row"].to_numpy(), "query_id": asked["id"].to_numpy(), "vec_id": ids, "score": scores})
 
     keys = ["dim", "qb", "vb"]
     met = queries.groupBy(*keys).cogroup(coded.groupBy(*keys))
-    found = met.applyInPandas(search, f"query_id {id_type}, vec_id {id_type}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.applyInPandas(search, f"query_row long, query_id {id_type}, vec_id {id_type}, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -196,15 +200,15 @@ def nearest_query(embeddings: DataFrame) -> DataFrame:
 
 SQL = f"""
 WITH usable AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v) AS score
-  FROM usable q JOIN usable v ON q.vec_id <> v.vec_id AND len(q.v) = len(v.v)
+  SELECT q.n, q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v) AS score
+  FROM usable q JOIN usable v ON q.n <> v.n AND len(q.v) = len(v.v)
   WHERE q.vec_id % {QUERY_EVERY} = 0),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {K}
 """

@@ -82,6 +82,21 @@ def test_vectors(spark):
     assert ann.nearest_query(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_queries_and_candidates(spark):
+    rng = np.random.default_rng(6)
+    ids = [20, 20, 7, 7, 40, *range(100, 160)]
+    data = [(i, [float(np.float32(c)) for c in v]) for i, v in zip(ids, rng.normal(size=(len(ids), 16)))]
+    data.append(data[2])  # the same row twice
+    got = ann.nearest_query(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    expected = []
+    for n, (query, v) in enumerate(data):
+        if query % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(data) if m != n)[: ann.K]
+            expected += [(query, rank, i) for rank, (_, i) in enumerate(scored, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(expected)
+    assert sum(r.query_id == 20 for r in got) == 2 * ann.K
+
+
 @pytest.fixture(scope="module")
 def codecs():
     raw = open(RANKS, "rb").read()
