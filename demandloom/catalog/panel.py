@@ -16,6 +16,8 @@ from demandloom.catalog.base import (
 )
 from demandloom.operators import panel as P
 from demandloom.plans import retail
+from demandloom.session import scratch_path
+from demandloom.sources import tables
 
 
 def _long(spark, sf):
@@ -43,6 +45,21 @@ def _violations(spark, sf):
     return P.violation_counts(panel, n_series, last - first + 1)
 
 
+SUMMARY_SQL = with_panel(
+    f"""SELECT count(*) AS rows, count(DISTINCT id) AS series, count(DISTINCT d) AS days,
+    CAST(min(date) AS VARCHAR) || ' to ' || CAST(max(date) AS VARCHAR) AS date_range,
+    {r('round(avg(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END), 4)', 'zero_sales_frac')},
+    {r('round(avg(CASE WHEN sell_price IS NULL THEN 1.0 ELSE 0.0 END), 4)', 'price_missing_frac')} FROM panel"""
+)
+
+
+def _checked_write(spark, sf):
+    """The panel written and validated in one pass."""
+    n_series = retail.daily_sales(spark, sf).select("id").distinct().count()
+    first, last = retail.first_and_last_day(spark, sf)
+    return tables.write_checked_panel(retail.panel(spark, sf), scratch_path(spark, "checked-panel"), n_series, last - first + 1)
+
+
 ENTRIES: dict[str, Entry] = {
     "pn_melt_days": entry(
         lambda s, sf: P.melt_days(retail.wide_sales(s, sf)),
@@ -84,6 +101,7 @@ ENTRIES: dict[str, Entry] = {
             "FROM panel GROUP BY id"
         ),
     ),
+    "pn_checked_write": entry(_checked_write, SUMMARY_SQL),
     "pn_violations": entry(
         _violations,
         with_panel(
@@ -94,15 +112,7 @@ ENTRIES: dict[str, Entry] = {
             count(*) FILTER (sales > 0 AND sell_price IS NULL) AS sold_without_price FROM panel"""
         ),
     ),
-    "pn_summary": entry(
-        lambda s, sf: P.summary(retail.panel(s, sf)),
-        with_panel(
-            f"""SELECT count(*) AS rows, count(DISTINCT id) AS series, count(DISTINCT d) AS days,
-            CAST(min(date) AS VARCHAR) || ' to ' || CAST(max(date) AS VARCHAR) AS date_range,
-            {r('round(avg(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END), 4)', 'zero_sales_frac')},
-            {r('round(avg(CASE WHEN sell_price IS NULL THEN 1.0 ELSE 0.0 END), 4)', 'price_missing_frac')} FROM panel"""
-        ),
-    ),
+    "pn_summary": entry(lambda s, sf: P.summary(retail.panel(s, sf)), SUMMARY_SQL),
     "pn_day_slices": entry(
         lambda s, sf: P.split_at(retail.panel(s, sf), TRAIN_END, HORIZON)[1],
         with_panel(f"SELECT id, {big('d', 'sales')} FROM panel WHERE d BETWEEN {TRAIN_END + 1} AND {TRAIN_END + HORIZON}"),

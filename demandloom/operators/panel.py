@@ -180,15 +180,60 @@ _RULES = {
 }
 
 
-def validate(panel: DataFrame, n_series: int, n_days: int) -> DataFrame:
-    """Raise PanelError naming every broken rule; else the summary row."""
-    found = violation_counts(panel, n_series, n_days).first().asDict()
+def _refuse(found: dict) -> None:
     broken = [text.format(found[rule]) for rule, text in _RULES.items() if found[rule]]
     if broken:
         raise PanelError("panel is not valid: " + "; ".join(broken))
+
+
+def validate(panel: DataFrame, n_series: int, n_days: int) -> DataFrame:
+    """Raise PanelError naming every broken rule; else the summary row."""
+    _refuse(violation_counts(panel, n_series, n_days).first().asDict())
     return summary(panel)
 
 
+# Distinct days are counted by a bitmap of fixed size, so that they can be observed while rows pass by.
+BITMAP_DAYS = 32_768
+
+
+def _day_bits(number: Column) -> Column:
+    return F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(number, F.lit(BITMAP_DAYS)) + 1))
+
+
+def observed_rules() -> list[Column]:
+    """What ``check_observed`` needs to know, as metrics for ``DataFrame.observe``."""
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("sales").isNull()).alias("null_sales"),
+        F.count_if(F.col("sales") < 0).alias("negative_sales"),
+        F.count_if((F.col("sales") > 0) & F.col("sell_price").isNull()).alias("sold_without_price"),
+        F.count_if(F.col("sales") == 0).alias("zeros"),
+        F.count_if(F.col("sell_price").isNull()).alias("no_price"),
+        _day_bits(F.col("d").cast("long")).alias("days"),
+        _day_bits(F.unix_date("date").cast("long")).alias("dates"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+    ]
+
+
+def check_observed(found: dict, n_series: int, n_days: int) -> dict:
+    """Raise PanelError as ``validate`` does; else the values of ``summary``, unrounded and with the series as stated."""
+    if n_days > BITMAP_DAYS:
+        raise ValueError(f"over {BITMAP_DAYS} days: use validate")
+    days, dates = (sum(byte.bit_count() for byte in bytes(found[name])) for name in ("days", "dates"))
+    gaps = {"row_gap": abs(found["rows"] - n_series * n_days), "day_gap": abs(days - n_days), "date_gap": abs(dates - n_days)}
+    _refuse({**found, **gaps})
+    first, last, rows = found["first_date"], found["last_date"], found["rows"]
+    return {
+        "rows": rows,
+        "series": n_series,
+        "days": (last - first).days + 1,
+        "date_range": f"{first} to {last}",
+        "zero_sales_frac": found["zeros"] / rows,
+        "price_missing_frac": found["no_price"] / rows,
+    }
+
+
 def summary(panel: DataFrame) -> DataFrame:
     """Rows, series, days, date range, zero and missing-price fractions, in one row."""
     per_series = panel.groupBy("id").agg(

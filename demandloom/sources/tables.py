@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.operators.panel import BLOCK, day_block
+from demandloom.operators.panel import BLOCK, check_observed, day_block, observed_rules
 
 RUN_KEYS = ["model", "fold"]
 
@@ -32,6 +32,19 @@ def write_panel(panel: DataFrame, path: str) -> None:
     write_table(panel.withColumn(BLOCK, day_block(F.col("d"))), path, [BLOCK])
 
 
+def write_checked_panel(panel: DataFrame, path: str, n_series: int, n_days: int) -> DataFrame:
+    """Write the panel and check it in the same pass; the summary row.
+
+    The rules are observed on the rows as they are written. A panel that breaks some raises PanelError with all of them; what was
+    written then is not to be used.
+    """
+    seen = Observation()
+    write_panel(panel.observe(seen, *observed_rules()), path)
+    kinds = "rows long, series long, days long, date_range string, zero_sales_frac double, price_missing_frac double"
+    row = panel.sparkSession.createDataFrame([check_observed(seen.get, n_series, n_days)], kinds)
+    return row.withColumns({c: F.round(c, 4) for c in ("zero_sales_frac", "price_missing_frac")})
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """One folder per store, in a single job.
 
@@ -49,7 +62,8 @@ def read_features(
     min_day: int | None = None,
     stores: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Stores prune folders, ``min_day`` prunes row groups, ``columns`` prune the rest."""
+    """Stores prune folders, ``columns`` prune the rest; ``min_day`` is a filter at the scan, which skips few row groups
+    since a store's files are in the order of series."""
     table = spark.read.parquet(path)
     if stores is not None:
         table = table.where(F.col("store_id").isin(*stores))

@@ -93,8 +93,12 @@ def test_event_and_weekly_price(panel, rows):
         assert [r["sell_price"] for r in seen] == [PRICES.get((store, item, _week(i))) for i in range(DAYS)]
 
 
-def test_valid_panel_gives_summary(panel):
-    row = P.validate(panel, 2, DAYS).first()
+@pytest.mark.parametrize("written", [False, True])
+def test_valid_panel_gives_summary(spark, panel, tmp_path, written):
+    path = str(tmp_path / "panel")
+    row = (tables.write_checked_panel(panel, path, 2, DAYS) if written else P.validate(panel, 2, DAYS)).first()
+    if written:
+        assert spark.read.parquet(path).count() == 2 * DAYS
     assert (row.rows, row.series, row.days) == (2 * DAYS, 2, DAYS)
     assert row.date_range == f"{START} to {START + dt.timedelta(days=DAYS - 1)}"
     assert row.zero_sales_frac == round((NORTH_SALES + SOUTH_SALES).count(0) / (2 * DAYS), 4)
@@ -111,9 +115,12 @@ def test_valid_panel_gives_summary(panel):
         (lambda p: p.withColumn("date", F.expr("if(d = 9, date_sub(date, 1), date)")), "distinct dates"),
     ],
 )
-def test_each_violation_is_reported(panel, change, message):
-    with pytest.raises(P.PanelError, match=message):
+def test_each_violation_is_reported(panel, tmp_path, change, message):
+    with pytest.raises(P.PanelError, match=message) as found:
         P.validate(change(panel), 2, DAYS)
+    with pytest.raises(P.PanelError) as seen:
+        tables.write_checked_panel(change(panel), str(tmp_path / "panel"), 2, DAYS)
+    assert str(seen.value) == str(found.value)
 
 
 def test_all_violations_at_once(panel):
