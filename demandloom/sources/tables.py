@@ -46,13 +46,14 @@ def write_checked_panel(panel: DataFrame, path: str, n_series: int, n_days: int)
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """One folder per store, in a single job.
+    """One folder per store and block of days, in a single job.
 
-    The rebalance hint gives each store few files and still splits a store that
+    The rebalance hint gives each folder few files and still splits a folder that
     holds most of the rows over several tasks.
     """
-    placed = features.hint("rebalance", F.col("store_id")).sortWithinPartitions("store_id", "id", "d")
-    write_table(placed, path, ["store_id"])
+    blocked = features.withColumn(BLOCK, day_block(F.col("d")))
+    placed = blocked.hint("rebalance", F.col("store_id"), F.col(BLOCK)).sortWithinPartitions("store_id", BLOCK, "id", "d")
+    write_table(placed, path, ["store_id", BLOCK])
 
 
 def read_features(
@@ -62,14 +63,13 @@ def read_features(
     min_day: int | None = None,
     stores: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Stores prune folders, ``columns`` prune the rest; ``min_day`` is a filter at the scan, which skips few row groups
-    since a store's files are in the order of series."""
+    """Stores and the blocks before ``min_day`` prune folders, ``columns`` prune the rest."""
     table = spark.read.parquet(path)
     if stores is not None:
         table = table.where(F.col("store_id").isin(*stores))
     if min_day is not None:
-        table = table.where(F.col("d") >= min_day)
-    return table.select(*columns) if columns else table
+        table = table.where((F.col(BLOCK) >= day_block(F.lit(min_day))) & (F.col("d") >= min_day))
+    return table.select(*columns) if columns else table.drop(BLOCK)
 
 
 def _write_runs(df: DataFrame, path: str) -> None:

@@ -189,6 +189,17 @@ def test_feature_store_partitions_and_pruning(spark, tmp_path):
     assert tables.read_features(spark, path, ["id"], stores=["S2"]).collect() == [("b",)]
 
 
+def test_recent_features_open_recent_folders_only(spark, tmp_path):
+    path = str(tmp_path / "features")
+    days = spark.range(1, 1001).selectExpr("'S1' AS store_id", "'a' AS id", "cast(id AS int) AS d", "id * 0.5 AS x")
+    tables.write_features(days, path)
+    recent = tables.read_features(spark, path, min_day=900)
+    assert recent.count() == 101 and recent.columns == ["id", "d", "x", "store_id"]
+    scan = recent._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull({P.BLOCK}" in scan and "PushedFilters: [IsNotNull(d), GreaterThanOrEqual(d,900)]" in scan
+    assert len({p.name for p in Path(path).rglob(f"{P.BLOCK}=*")}) == 6
+
+
 def test_rerun_replaces_only_its_runs(spark, tmp_path, rows):
     root = str(tmp_path / "runs")
     schema = "model string, fold int, id string, d int, yhat double"
