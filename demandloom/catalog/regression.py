@@ -113,7 +113,7 @@ def _linear(spark, sf):
 
 
 # Small forests keep the catalog's queries short; the library's defaults are larger.
-SMALL = {"tweedie_trees": {"rounds": 12, "depth": 4, "step": 0.2}, "boosted_trees": {"rounds": 8, "depth": 4, "step": 0.2}}
+SMALL = {"tweedie_trees": {"rounds": 6, "depth": 4, "step": 0.3}, "boosted_trees": {"rounds": 6, "depth": 4, "step": 0.3}}
 
 
 def _tweedie_forest(spark, sf):
