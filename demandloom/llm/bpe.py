@@ -4,7 +4,7 @@ A join encodes a window around the border again. The window grows until the
 tokens on its two edges form, with their neighbours outside, pairs that the
 merges leave apart. A sequence whose neighbouring pairs all stay apart is the encoding of its
 bytes, so nothing outside the window can change and the joined sequence is final.
-Decoding is one flat join of the bytes of all ids of a text, not a tree: the bytes are the same in any grouping.
+Decoding concatenates up the tree: the bytes of runs of ids are the leaves, and neighbours are joined level by level.
 
 The pieces that the split pattern cuts out never merge with each other; joining them is
 concatenation. Only inside a piece do borders matter, so an endless run of letters
@@ -20,6 +20,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,12 @@ from demandloom.llm.tables import pick
 LEAF_BYTES = 8
 # Entries of a worker's memory of pieces, leaves, windows and pairs before it starts afresh.
 MEMORY = 200_000
+# Longer pieces are encoded each time, so the memory is bounded in bytes too.
+REMEMBERED = 64
+# Ids of a leaf of the decoding tree.
+LEAF_IDS = 1024
+# Pieces of a text that are held at once.
+PIECES = 1 << 16
 
 
 class Codec:
@@ -40,7 +47,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.matches = regex.compile(pattern).finditer
         self._merged = _Memory(self._merge)
         self._apart = _Memory(self._pair_stays_apart)
         self._pieces = _Memory(self._piece)
@@ -104,14 +111,21 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._pieces.__getitem__, self.split(text)))
+        pieces = map(regex.Match.group, self.matches(text))
+        runs = [b"".join(map(self._pieces.__getitem__, run)) for run in batched(pieces, PIECES)]
+        return b"".join(runs)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """Bytes of the ids: leaves of ``LEAF_IDS`` ids, joined two by two until one is left."""
+        numbers, token = np.frombuffer(ids, "<u4"), self.token.__getitem__
+        parts = [b"".join(map(token, numbers[low : low + LEAF_IDS].tolist())) for low in range(0, len(numbers), LEAF_IDS)]
+        while len(parts) > 1:
+            parts = [b"".join(parts[at : at + 2]) for at in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 class _Memory(dict):
-    """Results by argument; emptied when full, so a worker's memory stays bounded."""
+    """Results of short arguments; emptied when full, so a worker's memory stays bounded."""
 
     def __init__(self, compute):
         super().__init__()
@@ -119,6 +133,8 @@ class _Memory(dict):
 
     def __missing__(self, key):
         value = self.compute(key)
+        if len(key) > REMEMBERED:
+            return value
         if len(self) >= MEMORY:
             self.clear()
         self[key] = value

@@ -18,8 +18,9 @@ and groups that hang together never list their pairs.
 
 Defined results: words are runs of letters, digits and characters beyond ASCII,
 lower-cased. A document of fewer than five words is one shingle; one without words is
-like no other and is its own class. Rows that repeat an id are one document, whose first text
-(by hash) counts; a null id is a document like any other that never joins a class.
+like no other and is its own class. A document is an id with a text: rows that repeat both are one
+document, rows that repeat an id with another text are another one, and both texts may have copies. A null id
+comes after all others; a class of documents without ids only has a null class id.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
 
 
 def _signature_rows(size: int, bands: int, rows: int, components: int):
-    """(id, h, t1, t2, n_words, bands, signature): 128 bits naming the word sequence, one hash per band, one byte per component."""
+    """(doc, h, t1, t2, n_words, bands, signature): 128 bits naming the word sequence, one hash per band, one byte per component."""
     spread = H._power_tables(H.WORD_BASES[1], rows)[0][:rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def _signature_rows(size: int, bands: int, rows: int, components: int):
                 short = (drawn >> np.uint64(56)).astype(np.uint8)
                 yield pa.record_batch(
                     {
-                        "id": part.column("id"),
+                        "doc": part.column("doc"),
                         "h": part.column("h"),
                         "t1": pa.array(whole[0]),
                         "t2": pa.array(whole[1]),
@@ -284,28 +285,32 @@ def near_duplicates(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """(doc_id, class_id, n_links), one row per document.
+    """(doc_id, text_hash, class_id, kept, n_rows, n_links), one row per document, an id with a text.
 
-    ``class_id`` is the smallest doc_id of the class; ``n_links`` counts the verified
-    links of the document's text to different texts (a spanning set, not all pairs).
+    ``class_id`` is the smallest doc_id of the class, and ``kept`` holds for one document of it, the first by
+    id and hash of text. ``n_rows`` counts the rows that repeat the document; ``n_links`` counts the
+    verified links of the document's text to different texts (a spanning set, not all pairs).
     """
-    source = pick(docs, id=doc_id, text=text).where("id IS NOT NULL")
-    source = source.select("id", F.xxhash64("text").alias("h"), F.lower("text").alias("text"))
-    id_type = source.schema["id"].dataType.simpleString()
+    source = pick(docs, doc=doc_id, text=text)
+    source = source.select("doc", F.xxhash64("text").alias("h"), F.lower("text").alias("text"))
+    id_type = source.schema["doc"].dataType.simpleString()
     components = max(COMPONENTS, bands * rows)
     signed = source.mapInArrow(
         _signature_rows(size, bands, rows, components),
-        f"id {id_type}, h long, t1 long, t2 long, n_words long, bands array<long>, signature binary",
+        f"doc {id_type}, h long, t1 long, t2 long, n_words long, bands array<long>, signature binary",
     )
-    # one text per id, then one document per text
-    one_text = F.min(F.struct("h", "t1", "t2", "n_words", "bands", "signature")).alias("s")
-    signed = stage(signed.groupBy("id").agg(one_text).select("id", "s.*"))
+    # one row per document; rows with the same text have the same signature
+    any_row = F.first(F.struct("t1", "t2", "n_words", "bands", "signature")).alias("s")
+    signed = stage(signed.groupBy("doc", "h").agg(any_row, F.count("*").alias("n_rows")).select("doc", "h", "n_rows", "s.*"))
+    place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "h")
     filled = signed.where("n_words > 0")
-    owners = filled.groupBy("t1", "t2").agg(F.min("id").alias("owner"))
-    owned = signed.select("id", "t1", "t2", "n_words").join(owners, ["t1", "t2"], "left")
-    owned = owned.select("id", F.when(F.col("n_words") > 0, F.col("owner")).otherwise(F.col("id")).alias("owner"))
+    # one node per text, numbered in a written table, so that it keeps its number in every use
+    nodes = filled.groupBy("t1", "t2").agg(F.min(place).alias("head"))
+    nodes = stage(nodes.select(F.monotonically_increasing_id().alias("id"), "t1", "t2", "head"))
+    owned = filled.select("doc", "h", "n_rows", "t1", "t2").join(nodes.drop("head"), ["t1", "t2"]).drop("t1", "t2")
 
-    heads = signed.join(owners.select(F.col("owner").alias("id")), "id", "left_semi")
+    head = nodes.select("id", F.col("head.doc").alias("head_doc"), F.col("head.h").alias("head_h"))
+    heads = filled.join(head, (F.col("h") == F.col("head_h")) & F.col("doc").eqNullSafe(F.col("head_doc")))
     spread = heads.select("id", "n_words", F.posexplode("bands").alias("band", "hash"))
     spread = spread.select("id", "n_words", "band", F.xxhash64("band", "hash").alias("bucket"))
     shared = spread.groupBy("bucket").agg(
@@ -313,9 +318,9 @@ def near_duplicates(
     )
     members = stage(spread.drop("n_words").join(shared.where("size > 1"), "bucket"))
     involved = members.select("id").distinct()
-    names = heads.join(involved, "id", "left_semi").select("id", "h", "bands", "signature")
-    texts = source.join(names, ["id", "h"]).select("id", "bands", "signature", "text")
-    texts = stage(texts.dropDuplicates(["id"]))
+    names = heads.join(involved, "id", "left_semi").select("id", "head_doc", "head_h", "bands", "signature")
+    texts = source.join(names, (F.col("h") == F.col("head_h")) & F.col("doc").eqNullSafe(F.col("head_doc")))
+    texts = stage(texts.select("id", "bands", "signature", "text").dropDuplicates(["id"]))
 
     pairs = members.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
     links = _verified(pairs, texts.select("id", "text"), size, similarity)
@@ -328,18 +333,23 @@ def near_duplicates(
         labels = connected_components(links)
 
     ends = links.distinct()
-    ends = ends.select(F.col("a").alias("owner")).union(ends.select(F.col("b").alias("owner")))
-    counts = ends.groupBy("owner").agg(F.count("*").alias("n_links"))
-    placed = owned.join(labels.withColumnRenamed("node", "owner"), "owner", "left").join(counts, "owner", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "owner"))
-    # a component is known by some member; the class is named after its smallest document
-    smallest = placed.groupBy("component").agg(F.min("id").alias("class_id"))
-    found = placed.join(smallest, "component").select(
-        "id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    )
-    unknown = pick(docs, id=doc_id).where("id IS NULL")
-    unknown = unknown.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return found.union(unknown).withColumnRenamed("id", "doc_id")
+    ends = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id")))
+    counts = ends.groupBy("id").agg(F.count("*").alias("n_links"))
+    placed = owned.join(labels.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "id")).drop("id")
+    # a component is known by some node; the class is named after its first document
+    first = placed.groupBy("component").agg(F.min(place).alias("head"))
+    none = F.lit(0).cast("long")
+    found = placed.join(first, "component").select(
+        F.col("doc").alias("doc_id"), F.col("h").alias("text_hash"), F.col("head.doc").alias("class_id"),
+        (F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("h") == F.col("head.h"))).alias("kept"),
+        "n_rows", F.coalesce("n_links", none).alias("n_links"),
+    )
+    alone = signed.where("n_words = 0").select(
+        F.col("doc").alias("doc_id"), F.col("h").alias("text_hash"), F.col("doc").alias("class_id"),
+        F.lit(True).alias("kept"), "n_rows", none.alias("n_links"),
+    )
+    return found.union(alone)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:

@@ -40,7 +40,7 @@ def on(work: Callable[..., DataFrame], *tables: str, sql: str | None = None) ->
 
 def near_duplicate_query(documents: DataFrame) -> DataFrame:
     """doc_id, class_id and n_links of every document."""
-    return minhash.near_duplicates(documents)
+    return minhash.near_duplicates(documents).select("doc_id", "class_id", "n_links")
 
 
 def bpe_query(documents: DataFrame) -> DataFrame:

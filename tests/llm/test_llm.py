@@ -123,6 +123,20 @@ def test_bpe_equals_library(spark, codecs):
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_bpe_of_long_pieces_and_no_rows(spark, codecs):
+    own, theirs = codecs
+    rng = random.Random(4)
+    runs = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    text = runs + " " + " ".join(prose(5, bpe.PIECES))
+    ids = own.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == theirs.encode_ordinary(text) and own.decode(ids) == text.encode()
+    assert max(map(len, own._pieces)) <= bpe.REMEMBERED
+    twice = spark.createDataFrame([(1, "same row"), (1, "same row"), (1, "else")], "doc_id long, text string")
+    got = bpe.bpe_digest(twice, RANKS, public_tokenizers.PATTERN)
+    assert sorted(r.n_tokens for r in got.collect()) == sorted(len(theirs.encode_ordinary(t)) for t in ("same row", "same row", "else"))
+    assert bpe.bpe_digest(twice.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
     scores = by_id(quality.quality_scores(docs, labels))
@@ -343,6 +357,27 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+ALIKE, OTHER = " ".join(prose(21, 60)), " ".join(prose(22, 60))
+REPEATED = [(5, ALIKE), (5, OTHER), (9, OTHER), (11, ALIKE), (11, ALIKE), (12, "lone words"), (12, "lone words"), (13, None), (None, OTHER), (None, "")]
+
+
+def test_near_duplicates_of_rows_that_repeat_an_id(spark):
+    found = minhash.near_duplicates(spark.createDataFrame(REPEATED, "doc_id long, text string")).collect()
+    expected = [(5, 5, 1, True), (5, 5, 1, True), (9, 5, 1, False), (11, 5, 2, False), (12, 12, 2, True), (13, 13, 1, True)]
+    expected += [(None, 5, 1, False), (None, None, 1, True)]
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.class_id, r.n_rows, r.kept)) for r in found)
+    unknown = spark.createDataFrame([(None, ALIKE), (None, ALIKE + " more")], "doc_id long, text string")
+    assert sorted((r.class_id, r.kept) for r in minhash.near_duplicates(unknown).collect()) == [(None, False), (None, True)]
+
+
+def test_one_document_of_each_group_stays(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in REPEATED], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).collect()
+    expected = [(5, ALIKE), (5, OTHER), (12, "lone words"), (13, None), (None, "")]
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.text)) for r in left)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF_DIR).count() == 0
+
+
 def test_probability_jaccard_of_weighted_sets():
     rng = np.random.default_rng(0)
     for _ in range(50):
