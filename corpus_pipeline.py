@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from demandloom.llm import bpe, decontaminate, line_dedup, minhash, quality
 from demandloom.llm.queries import RANKS, public_tokenizers
-from demandloom.llm.tables import load, pick, same
-from demandloom.session import scratch_path
+from demandloom.llm.tables import load, pick, same, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,9 +30,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every class; rows that repeat an id stand or fall together."""
-    classes = minhash.near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("copy"))
-    return docs.join(classes, docs["doc_id"] == classes["copy"], "left_anti").select(*COLUMNS)
+    """One document of every class, the first by id and text; of rows that repeat id and text of words, one."""
+    found = stage(minhash.near_duplicates(docs).select("doc_id", "text_hash", "kept", "n_rows"))
+    marked = docs.withColumn("text_hash", F.xxhash64("text"))
+    copies, repeated = found.where("NOT kept"), found.where("kept AND n_rows > 1")
+    left = marked.join(copies, same(marked, copies, "doc_id", "text_hash"), "left_anti")
+    single = left.join(repeated, same(left, repeated, "doc_id", "text_hash"), "left_anti")
+    several = left.join(repeated, same(left, repeated, "doc_id", "text_hash"), "left_semi")
+    return single.union(several.dropDuplicates(["doc_id", "text_hash"])).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir))
     return docs
