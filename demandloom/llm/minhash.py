@@ -173,12 +173,19 @@ def _verify_rows(size: int, similarity: float):
 
 
 def _spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, band, size, words, id, component) of the members of buckets that span several components."""
+    """(bucket, blocks, half, band, id, component) of the members of buckets that span several components.
+
+    A bucket is cut into blocks of bounded members and words, and ``half`` is the block of the member. Buckets
+    meet their members block by block, so a hot bucket is dealt over tasks.
+    """
     placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
-    spans = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = placed.join(spans.where("low < high").select("bucket"), "bucket", "left_semi")
-    return placed.select("bucket", "band", "size", "words", "id", "component")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    placed = placed.withColumn("blocks", blocks).withColumn("half", F.pmod(F.hash("id"), F.col("blocks")))
+    spans = placed.groupBy("bucket", "blocks").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    halves = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("half")
+    placed = placed.join(spans.where("low < high").select("bucket", halves), ["bucket", "half"], "left_semi")
+    return placed.select("bucket", "blocks", "half", "band", "id", "component")
 
 
 def _cross_rows(cut: float, size: int, similarity: float):
@@ -258,12 +265,9 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 def _cross_links(spanning: DataFrame, texts: DataFrame, size: int, similarity: float, components: int) -> DataFrame:
     """(a, b): verified links among members of one bucket and different components, found block by block.
 
-    A bucket is cut into blocks of bounded members and words, and every two blocks meet in a group of their
-    own. What leaves a task is linear in what it has read.
+    Every two blocks of a bucket meet in a group of their own. What leaves a task is linear in what it has read.
     """
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
-    placed = spanning.withColumn("blocks", blocks).withColumn("half", F.pmod(F.hash("id"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = spanning.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
         "bucket", F.least("half", "other").alias("left"), F.greatest("half", "other").alias("right"),
         "half", "band", "id", "component",
