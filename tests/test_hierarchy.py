@@ -29,13 +29,10 @@ def _crossed(spark):
 
 
 def _wide(spark):
-    """140 leaves: 10 stores in 3 states, 7 departments in 3 categories, 2 items each."""
-    stores = [(f"CA_{i}", "CA") for i in range(1, 5)] + [(f"{s}_{i}", s) for s in ("TX", "WI") for i in range(1, 4)]
-    depts = [("F1", "F"), ("F2", "F"), ("F3", "F"), ("H1", "H"), ("H2", "H"), ("O1", "O"), ("O2", "O")]
-    rows = [
-        (f"{dept}_{k}_{store}", f"{dept}_{k}", dept, cat, store, state)
-        for store, state in stores for dept, cat in depts for k in (1, 2)
-    ]
+    """Uneven: eight stores in four states, five departments in two categories, one to three items each."""
+    stores = [(f"{state}{k}", state) for state, n in (("dune", 1), ("fen", 4), ("moor", 1), ("reef", 2)) for k in range(n)]
+    items = [(f"{dept}-{k}", dept, cat) for dept, cat, n in (("ink", "desk", 3), ("pen", "desk", 1), ("jam", "shelf", 2), ("oil", "shelf", 2), ("tea", "shelf", 1)) for k in range(n)]
+    rows = [(f"{item}@{store}", item, dept, cat, store, state) for store, state in stores for item, dept, cat in items]
     return spark.createDataFrame(rows, META)
 
 
@@ -51,8 +48,8 @@ def _dict(df, value="yhat"):
 def test_level_sizes(spark):
     got = {r.level: r.n_nodes for r in H.level_sizes(_wide(spark)).collect()}
     assert got == {
-        "total": 1, "state": 3, "store": 10, "category": 3, "department": 7, "state_category": 9,
-        "state_department": 21, "store_category": 30, "store_department": 70, "item": 14, "item_state": 42, "item_store": 140,
+        "total": 1, "state": 4, "store": 8, "category": 2, "department": 5, "state_category": 8,
+        "state_department": 20, "store_category": 16, "store_department": 40, "item": 9, "item_state": 36, "item_store": 72,
     }
 
 
@@ -241,7 +238,7 @@ def test_shelf_leaves_meet_the_full_levels(spark):
     shelves = H.regroup_to_shelves(leaves, ["sales"])
     upper = _dict(H.aggregate(shelves, ["sales"], ("d",), H.UPPER_LEVELS), "sales")
     full = _dict(H.aggregate(leaves, ["sales"]), "sales")
-    assert upper == {k: v for k, v in full.items() if k in upper} and len(upper) == 154
+    assert upper == {k: v for k, v in full.items() if k in upper} and len(upper) == 104
 
 
 def test_flat_base_is_incoherent(spark):
