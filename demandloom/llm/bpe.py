@@ -37,8 +37,8 @@ MEMORY = 200_000
 REMEMBERED = 64
 # Ids of a leaf of the decoding tree.
 LEAF_IDS = 1024
-# Pieces of a text that are held at once.
-PIECES = 1 << 16
+# Pieces of a longer text, in characters, are held this many at a time.
+LONG, PIECES = 1 << 20, 1 << 16
 
 
 class Codec:
@@ -47,7 +47,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.matches = regex.compile(pattern).finditer
+        self.pattern = regex.compile(pattern)
         self._merged = _Memory(self._merge)
         self._apart = _Memory(self._pair_stays_apart)
         self._pieces = _Memory(self._piece)
@@ -111,7 +111,9 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        pieces = map(regex.Match.group, self.matches(text))
+        if len(text) <= LONG:
+            return b"".join(map(self._pieces.__getitem__, self.pattern.findall(text)))
+        pieces = map(regex.Match.group, self.pattern.finditer(text))
         runs = [b"".join(map(self._pieces.__getitem__, run)) for run in batched(pieces, PIECES)]
         return b"".join(runs)
 

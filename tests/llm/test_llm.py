@@ -123,7 +123,9 @@ def test_bpe_equals_library(spark, codecs):
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
-def test_bpe_of_long_pieces_and_no_rows(spark, codecs):
+@pytest.mark.parametrize("long", [bpe.LONG, 1000])
+def test_bpe_of_long_pieces_and_no_rows(spark, codecs, long, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", long)
     own, theirs = codecs
     rng = random.Random(4)
     runs = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
