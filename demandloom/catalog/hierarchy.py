@@ -21,6 +21,7 @@ from demandloom.operators.panel import ID_COLS, day_slice, series_dimension
 from demandloom.plans import retail
 from demandloom.plans.backtest import baseline_forecasts
 from demandloom.plans.stages import panel_table
+from demandloom.session import cut_lineage
 
 BASE_DAYS = 28
 _LEAF_MODEL = "seasonal_naive_7"
@@ -97,17 +98,21 @@ def _coherence(spark, sf):
 
 
 def _upper(spark, sf):
-    """(meta, node history, base, residuals) of the nine upper levels."""
-    dimension = H.shelf_meta(meta(spark, sf))
-    history = H.regroup_to_shelves(_recent(spark, sf), ["sales"])
-    leaf = H.regroup_to_shelves(H.with_keys(_leaf_forecast(spark, sf), meta(spark, sf)), ["yhat"]).select("id", "d", "yhat")
-    known = H.flat_node_base(history, leaf, TRAIN_END, HORIZON, BASE_DAYS, H.UPPER_LEVELS)
-    nodes = H.aggregate(history, ["sales"], ("d",), H.UPPER_LEVELS)
-    return dimension, nodes, known
+    """(meta, leaf history, node history, base) of the nine upper levels.
+
+    All are read many times, and small beside the panel: the panel is passed over once for each.
+    """
+    series = cut_lineage(meta(spark, sf))
+    dimension = cut_lineage(H.shelf_meta(series))
+    history = cut_lineage(H.regroup_to_shelves(_recent(spark, sf), ["sales"]))
+    leaf = H.regroup_to_shelves(H.with_keys(_leaf_forecast(spark, sf), series), ["yhat"]).select("id", "d", "yhat")
+    known = cut_lineage(H.flat_node_base(history, leaf, TRAIN_END, HORIZON, BASE_DAYS, H.UPPER_LEVELS))
+    nodes = cut_lineage(H.aggregate(history, ["sales"], ("d",), H.UPPER_LEVELS))
+    return dimension, history, nodes, known
 
 
 def _mint(spark, sf, shrink):
-    dimension, nodes, known = _upper(spark, sf)
+    dimension, _, nodes, known = _upper(spark, sf)
     weights = H.residual_variance(nodes)
     residuals = H.residuals(nodes) if shrink else None
     return known, dimension, weights, MT.mint(known, dimension, weights, H.UPPER_LEVELS, shrink, residuals)
@@ -131,9 +136,8 @@ def _mint_all_levels(spark, sf):
 
 
 def _upper_wape(spark, sf):
-    dimension, nodes, known = _upper(spark, sf)
+    dimension, history, nodes, known = _upper(spark, sf)
     weights = H.residual_variance(nodes)
-    history = H.regroup_to_shelves(_recent(spark, sf), ["sales"])
     actual = H.aggregate(
         H.regroup_to_shelves(_test(spark, sf), ["sales"]), ["sales"], ("d",), H.UPPER_LEVELS
     )

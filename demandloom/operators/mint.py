@@ -17,6 +17,7 @@ joins the two solutions. So no round knows of the residuals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,6 +43,8 @@ from demandloom.session import cut_lineage
 # Rounds between two checkpoints of the solver's state, and entries of a matrix column that one task takes.
 CHECKPOINT_ROUNDS = 3
 COLUMN_ENTRIES = 4096
+# Entries and nodes that one task of a round takes: the matrix, not the session, says how many tasks there are.
+TASK_ENTRIES, TASK_NODES = 1 << 15, 1 << 11
 # Random right-hand sides that are solved along: their directions spare the days rounds.
 HELPERS = 24
 # A direction of which the others leave less than this share (of its square) is dropped.
@@ -110,15 +113,20 @@ def _sum_arrays(column: str, weight: str | None = None) -> Column:
     return vector_to_array(Summarizer.sum(array_to_vector(F.col(column)), *weighted))
 
 
-def _dealt(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(matrix with salt, (node, diag, fan)): a column of many entries is dealt out over ``fan`` salts."""
-    entries = F.ceil(F.count("*") / COLUMN_ENTRIES).cast("int")
+def _dealt(matrix: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(matrix with salt, (node, diag, fan), tasks of a round): a column of many entries is dealt out over ``fan`` salts.
+
+    The tasks follow the matrix and not the session, so a small matrix lies in one partition.
+    """
+    fan = F.ceil(F.col("entries") / COLUMN_ENTRIES).cast("int")
     diagonal = F.max(F.when(F.col("row") == F.col("col"), F.col("m")))
-    columns = cut_lineage(matrix.groupBy("col").agg(entries.alias("fan"), diagonal.alias("diag")))
+    counted = matrix.groupBy("col").agg(F.count("*").alias("entries"), diagonal.alias("diag"))
+    columns = cut_lineage(counted.withColumn("fan", fan))
     salted = matrix.join(columns.select("col", "fan"), "col").withColumn("salt", F.pmod(F.hash("row"), F.col("fan")))
-    parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = salted.select("row", "col", "salt", "m").repartition(parts, "col", "salt").persist(StorageLevel.MEMORY_AND_DISK)
-    return placed, columns.select(F.col("col").alias("node"), "diag", "fan")
+    entries, n_nodes = columns.agg(F.coalesce(F.sum("entries"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, math.ceil(entries / TASK_ENTRIES), math.ceil(n_nodes / TASK_NODES))
+    placed = salted.select("row", "col", "salt", "m").repartition(tasks, "col", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    return placed, columns.select(F.col("col").alias("node"), "diag", "fan"), tasks
 
 
 def _stacked(column: pa.Array) -> np.ndarray:
@@ -194,7 +202,7 @@ def _solve(matrix: DataFrame, rhs: DataFrame, size: int, tol: float, max_iter: i
     Block conjugate gradients preconditioned by the diagonal, with orthonormal directions in the diagonal's metric. Rounds
     are held in memory and on disk, and every CHECKPOINT_ROUNDS rounds the state is checkpointed.
     """
-    placed, nodes = _dealt(matrix)
+    placed, nodes, tasks = _dealt(matrix)
     wanted, size = size, size + HELPERS
     zero, none = F.array_repeat(F.lit(0.0), size), F.array().cast("array<double>")
     helper = F.transform(F.sequence(F.lit(1), F.lit(HELPERS)), lambda i: F.xxhash64("node", i) / float(1 << 63) * F.sqrt("diag"))
@@ -217,11 +225,10 @@ def _solve(matrix: DataFrame, rhs: DataFrame, size: int, tol: float, max_iter: i
             salts = F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt")
             own = F.struct("diag", "fan", "p", "x", "r")
             sent = state.select(F.col("node").alias("col"), "p", own.alias("own"), salts)
-            product = placed.join(sent, ["col", "salt"]).groupBy(F.col("row").alias("node"))
-            product = product.agg(
-                _sum_arrays("p", "m").alias("q"), F.first(F.when(F.col("row") == F.col("col"), F.col("own")), True).alias("own")
-            )
-            here = product.select("node", "q", "own.*").persist(StorageLevel.MEMORY_AND_DISK)
+            met = placed.join(sent, ["col", "salt"])
+            met = met.select(F.col("row").alias("node"), "m", "p", F.when(F.col("row") == F.col("col"), F.col("own")).alias("own"))
+            product = met.groupBy("node").agg(_sum_arrays("p", "m").alias("q"), F.first("own", True).alias("own"))
+            here = product.select("node", "q", "own.*").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
             parts = here.select("p", "q", "r", "diag").mapInArrow(_round_products(size), "flat array<double>")
             pq, pr, qr, qq, rr = _square(parts, 5, size)
             if old is not None:

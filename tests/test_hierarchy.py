@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from demandloom.catalog import hierarchy as C
 from demandloom.operators import hierarchy as H
 from demandloom.operators import mint as MT
 
@@ -219,6 +222,50 @@ def test_block_solver_equals_dense_solve(spark, monkeypatch, entries):
     assert all(not any(r.x) for r in MT._solve(matrix, zero, 7, 1e-11, 60).collect())
 
 
+def _banded(spark, n):
+    rows = [(f"n{i}", f"n{j}", 4.0 if i == j else 1.0) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n]
+    return spark.createDataFrame(rows, "row string, col string, m double")
+
+
+@pytest.mark.parametrize(("entries", "nodes", "wanted"), [(1 << 15, 1 << 11, 1), (30, 1 << 11, 4), (1 << 15, 8, 5)])
+def test_tasks_of_a_round_follow_the_matrix(spark, monkeypatch, entries, nodes, wanted):
+    """118 entries of 40 nodes, whatever number of shuffle partitions the session asks for."""
+    monkeypatch.setattr(MT, "TASK_ENTRIES", entries)
+    monkeypatch.setattr(MT, "TASK_NODES", nodes)
+    matrix, before = _banded(spark, 40), spark.conf.get("spark.sql.shuffle.partitions")
+    rhs = matrix.select(F.col("row").alias("node"), F.array(F.lit(1.0)).alias("gap")).distinct()
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        placed = MT._dealt(matrix)[0]
+        assert placed.rdd.getNumPartitions() == wanted and placed.count() == 118
+        placed.unpersist()
+        got = MT._solve(matrix, rhs, 1, 1e-11, 60)
+        assert got.rdd.getNumPartitions() <= wanted
+        dense = np.diag(np.full(40, 4.0)) + np.diag(np.ones(39), 1) + np.diag(np.ones(39), -1)
+        x = {r.node: r.x[0] for r in got.collect()}
+        np.testing.assert_allclose([x[f"n{i}"] for i in range(40)], np.linalg.solve(dense, np.ones(40)), rtol=1e-8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_upper_tables_are_read_without_the_panel(spark, tmp_path):
+    """Series, shelves, history and base are made once; only the actuals of the score still read the panel."""
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    shipped = [date(1995, 1, 2) + timedelta(days=C.TRAIN_END - 1 + k) for k in (-20, -9, -2, 0, 3, 11)]
+    lines = [(k, k % 3, k % 2, 2.0 + k, 20.0 + k, datetime(d.year, d.month, d.day)) for k, d in enumerate(shipped)]
+    made = {
+        "region": spark.createDataFrame([(0, "ASIA"), (1, "EUROPE")], "r_regionkey long, r_name string"),
+        "nation": spark.createDataFrame([(0, 0), (1, 1)], "n_nationkey long, n_regionkey long"),
+        "supplier": spark.createDataFrame([(0, 0), (1, 1)], "s_suppkey long, s_nationkey long"),
+        "part": spark.createDataFrame([(0, "TIN", 3), (1, "TIN", 40), (2, "ZINC", 7)], "p_partkey long, p_type string, p_size long"),
+        "lineitem": spark.createDataFrame(lines, line),
+    }
+    for name, df in made.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for df in C._upper(spark, str(tmp_path)):
+        assert not df.inputFiles() and not df.isEmpty()
+
+
 def test_solver_reports_no_convergence(spark):
     meta = _crossed(spark)
     base = _base(spark, meta)
